@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words (free style).
 
 Each block of documents is cut into pre-tokens; a pre-token's position is kept as its number in the
-block's word list. The block's distinct words are shuffled by word, so that equal words of all
-blocks meet and each is encoded once; the ids go back to their block and are put in place by
-position. The positions of a block travel as one compressed row.
+block's word list. The block's distinct words are dealt by word into buckets, one packed row for
+each bucket, so that equal words of all blocks meet in a task and each is encoded once; the ids go
+back to their block and are put in place by position. The number of buckets follows the number of
+input partitions, so a bucket has about as many words whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from graphweft.llm.common import once_per_worker
 
 BLOCK_CHARS = 24_000_000
-_ROWS = 50_000
+_ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,55 +50,70 @@ def _unpack(data: bytes) -> np.ndarray:
 _MIXED = T.StructType(
     [
         T.StructField("block", T.LongType()),
-        T.StructField("at", T.IntegerType()),
-        T.StructField("word", T.BinaryType()),
-        T.StructField("doc_ids", T.ArrayType(T.StringType())),
-        T.StructField("counts", T.ArrayType(T.LongType())),
-        T.StructField("positions", T.BinaryType()),
+        T.StructField("bucket", T.LongType()),  # -1: the block's documents and positions
+        T.StructField("data", T.BinaryType()),
     ]
 )
+_MIXED_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
+_DONE = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, words), "<u4", len(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class _Block:
     """Documents until the block is full: the distinct words, and each position as a word's number."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
+        self.words = _Numbers()
         self.doc_ids: list[str | None] = []
         self.counts: list[int] = []
         self.positions: list[np.ndarray] = []
         self.chars = 0
 
     def add(self, doc_id: str | None, text: str, split) -> None:
-        words = self.words
-        own = [words.setdefault(w, len(words)) for w in split(text)]
+        own = np.array(list(map(self.words.__getitem__, split(text))), np.uint32)
         self.doc_ids.append(doc_id)
         self.counts.append(len(own))
-        self.positions.append(np.array(own, np.uint32))
+        self.positions.append(own)
         self.chars += len(text)
 
-    def rows(self, block: int, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """First the positions (at = -1), then the words, sorted so that they compress."""
-        positions = _pack(np.concatenate(self.positions))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type) for v, f in zip(([block], [-1], [None], [self.doc_ids], [self.counts], [positions]), kinds)], schema=kinds
-        )
-        words = sorted(self.words.items())
-        for k in range(0, len(words), _ROWS):
-            some = words[k : k + _ROWS]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * n, kinds[0].type), pa.array([at for _, at in some], kinds[1].type), pa.array([w.encode("utf-8", "surrogatepass") for w, _ in some], kinds[2].type),
-                    *(pa.nulls(n, f.type) for f in list(kinds)[3:]),
-                ],
-                schema=kinds,
-            )
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary(), T.StringType(): pa.string()}
-    return pa.schema([(f.name, pa.list_(kinds[f.dataType.elementType]) if isinstance(f.dataType, T.ArrayType) else kinds[f.dataType]) for f in schema])
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row with the documents and positions, and one with the words of each bucket."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))  # equal prefixes meet and compress
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        positions = np.concatenate(self.positions)
+        common = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")  # small numbers for common words
+        number = np.empty(len(words), np.uint32)
+        number[common] = np.arange(len(words), dtype=np.uint32)
+        head = pickle.dumps((self.doc_ids, self.counts, _pack(number[positions]), _pack(place[common])))
+        sorted_buckets = bucket[order]
+        borders = [0, *(np.flatnonzero(np.diff(sorted_buckets)) + 1).tolist(), len(words)]
+        own = [(-1, head)]
+        own += [(int(sorted_buckets[a]), _pack_words([words[i] for i in order[a:b]])) for a, b in zip(borders, borders[1:]) if b > a]
+        for k in range(0, len(own), _ROWS):
+            some = own[k : k + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary())], schema=_MIXED_ARROW)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -107,7 +125,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast((ranks, pattern))
     vocabulary_id = vocabulary._jbroadcast.id()
-    mixed_kinds = _arrow(_MIXED)
+    texts = docs.select(F.col("doc_id").cast("string"), "text")
+    buckets = 4 * max(1, texts.rdd.getNumPartitions())
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -118,18 +137,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 block.add(doc_id.as_py(), text.as_py() or "", split)
                 if block.chars >= block_chars:
-                    yield from block.rows(first + n, mixed_kinds)
+                    yield from block.rows(first + n, buckets)
                     block, n = _Block(), n + 1
         if block.doc_ids:
-            yield from block.rows(first + n, mixed_kinds)
-
-    exploded = docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(explode, _MIXED)
-
-    coded = T.StructType([T.StructField("ids", T.BinaryType()) if f.name == "word" else f for f in _MIXED])
-    coded_kinds = _arrow(coded)
+            yield from block.rows(first + n, buckets)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: equal words follow each other and are encoded once."""
+        """Rows come sorted by bucket; a bucket's words are kept until it ends, and each is encoded once."""
         import tiktoken
 
         def build() -> tiktoken.Encoding:
@@ -137,64 +151,67 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
             return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         single = once_per_worker(("bpe", vocabulary_id), build)._encode_single_piece
-        last, last_ids = None, None
+        now, known = None, {}
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                if word is not None and word != last:
-                    last, last_ids = word, np.array(single(word), "<u4").tobytes()
-                out.append(None if word is None else last_ids)
-            columns = [*batch.columns[:2], pa.array(out, pa.binary()), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, coded_kinds)], schema=coded_kinds)
-
-    met = exploded.repartition(F.coalesce(F.xxhash64("word"), F.lit(0)) + F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(0))
-    answered = met.sortWithinPartitions("word").mapInArrow(look_up, coded)
-
-    done = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done_kinds = _arrow(done)
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket == -1:
+                    out.append(data)
+                    continue
+                if bucket != now:
+                    now, known = bucket, {}
+                answers = []
+                for word in _unpack_words(data):
+                    if (ids := known.get(word)) is None:
+                        known[word] = ids = np.array(single(word), "<u4").tobytes()
+                    answers.append(ids)
+                out.append(_pack_words(answers))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=_MIXED_ARROW)
+
+    done_arrow = pa.schema([("doc_id", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block: the positions, then the words' ids in the order of their numbers."""
+        """Rows come sorted by block and bucket: the positions, then the words' ids."""
         head, ids = None, []
         for batch in batches:
-            blocks, ats = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            heads = np.flatnonzero(ats == -1)
-            answers = batch.column(2)
-            begin = 0
-            for h in [*heads.tolist(), len(ats)]:
-                ids.extend(answers.slice(begin, h - begin).to_pylist())
-                begin = h + 1
-                if h < len(ats):
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if bucket == -1:
                     if head is not None:
                         yield from place(head, ids)
-                    head, ids = [batch.column(c)[h].as_py() for c in (3, 4, 5)], []
-            del blocks
+                    head, ids = data.as_py(), []
+                else:
+                    ids += _unpack_words(data.as_py())
         if head is not None:
             yield from place(head, ids)
 
-    def place(head: list, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc_ids, counts, positions = head
+    def place(head: bytes, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        doc_ids, counts, positions, places = pickle.loads(head)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(ids) else np.zeros(0, np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        places = _unpack(places)
         positions = _unpack(positions)
         ends = np.cumsum(np.array(counts, np.int64))
         at = 0
         while at < len(doc_ids):  # some documents at a time, so that no column of a batch gets too large
+            before = int(ends[at - 1]) if at else 0
             upto = at + 1
-            while upto < len(doc_ids) and ends[upto] - ends[at] < 2_000_000:
+            while upto < len(doc_ids) and ends[upto] - before < 1_000_000:
                 upto += 1
-            own = positions[(ends[at - 1] if at else 0) : ends[upto - 1]]
+            own = places[positions[before : ends[upto - 1]]]
             n = lengths[own]
             total = np.concatenate(([0], np.cumsum(n)))
-            picked = flat[np.arange(total[-1]) + np.repeat(starts[own] - total[:-1], n)] if len(own) else flat[:0]
-            borders = total[np.concatenate(([0], ends[at:upto] - (ends[at - 1] if at else 0)))]
-            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(picked.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:upto], pa.string()), lists.cast(done_kinds[1].type)], schema=done_kinds)
+            picked = flat[np.arange(total[-1]) + np.repeat(starts[own] - total[:-1], n)]
+            borders = total[np.concatenate(([0], ends[at:upto] - before))]
+            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(picked, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:upto], pa.string()), lists], schema=done_arrow)
             at = upto
 
-    by_block = answered.repartition("block").sortWithinPartitions("block", "at")
-    return by_block.mapInArrow(reassemble, done).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "ids")
+    exploded = texts.mapInArrow(explode, _MIXED)
+    met = exploded.repartition(F.when(F.col("bucket") == -1, F.xxhash64("block")).otherwise(F.col("bucket")))
+    answered = met.sortWithinPartitions("bucket").mapInArrow(look_up, _MIXED)
+    by_block = answered.repartition("block").sortWithinPartitions("block", "bucket")
+    return by_block.mapInArrow(reassemble, _DONE).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "ids")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: str = "decoded") -> DataFrame:
