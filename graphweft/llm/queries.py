@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, decontam, langid, quality, simhash_dedup, toxicity
+from graphweft.llm import bpe, decontam, fingerprint, langid, pii, quality, simhash_dedup, toxicity
 from graphweft.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_pii": op6_pii,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language": op9_language,
 }
