@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, decontam, fingerprint, langid, pii, quality, simhash_dedup, toxicity
+from graphweft.llm import bpe, decontam, fingerprint, langid, linededup, pii, quality, simhash_dedup, toxicity, warc
 from graphweft.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -51,8 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_pii": op6_pii,
+    "op7_warc": op7_warc,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {}
