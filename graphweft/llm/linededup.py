@@ -19,6 +19,7 @@ from graphweft.llm.common import materialise
 
 LEAST = 5  # one edit in five words is a similarity of 0.8
 MOST_BROADCAST = 500_000  # rows of 50 bytes
+_PIECE = 512
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,10 +27,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(ord, h, line_no, words, n, lh): lines that hold a word; repeated documents count once each."""
-    each = docs.select("ord", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    each = each.select("ord", "h", "line_no", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("words")).filter(F.col("words")[0] != "")
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    return docs.select("ord", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    """(ord, h, line_no, words, n, lh, ...): the lines that hold a word; spaces separate words."""
+    each = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).drop("line").filter(F.size("words") > 0)
     return each.withColumn("n", F.size("words")).withColumn("lh", F.xxhash64("words"))
 
 
@@ -46,6 +50,46 @@ def _first(*more: str) -> Column:
     return F.min(F.struct("ord", "h", "line_no", *more))
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _without_each(here: Column, back: Column, base: Column) -> Column:
+    """For each place: base, what stands before it (here) and after it (back), combined."""
+
+    def step(a: Column, x: Column) -> Column:
+        after = a["after"].bitwiseXOR(x["back"])
+        out = F.concat(a["out"], F.array(a["before"].bitwiseXOR(after)))
+        return F.struct(a["before"].bitwiseXOR(x["here"]).alias("before"), after.alias("after"), out.alias("out"))
+
+    start = F.struct(base.alias("before"), _xor(back).alias("after"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(F.arrays_zip(here.alias("here"), back.alias("back")), start, step, lambda a: a["out"])
+
+
+def _variants(words: str) -> Column:
+    """array<bigint>: the hash of all words, then the hashes of the words less the first, the second, ...
+
+    The hash of a list combines the hashes of its words with their places, so that each variant
+    follows from the one before. Words are taken _PIECE at a time: the work grows with the words.
+    """
+    here = F.transform(words, lambda w, i: F.xxhash64(w, i))
+    back = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))  # its place once an earlier word is gone
+    pieces = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / _PIECE).cast("int"))
+    cut = lambda x, k: F.slice(x, k * _PIECE + 1, F.lit(_PIECE))
+
+    def each(x: Column) -> Column:
+        around = _without_each(F.transform(pieces, lambda k: _xor(cut(x["here"], k))), F.transform(pieces, lambda k: _xor(cut(x["back"], k))), F.lit(0).cast("bigint"))
+        cuts = _bound(around, lambda base: F.flatten(F.transform(pieces, lambda k: _without_each(cut(x["here"], k), cut(x["back"], k), F.get(base, k)))))
+        return F.concat(F.array(_xor(x["here"])), cuts)
+
+    return _bound(F.struct(here.alias("here"), back.alias("back")), each)
+
+
 def distance_one(a: Column, b: Column) -> Column:
     """Whether at most one word edit lies between two lists: what they share at both ends leaves one word."""
     longest = F.greatest(F.size(a), F.size(b))
@@ -71,20 +115,17 @@ def _near(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> DataFram
     suspects = materialise(spark, distinct.join(suspects, ["lh", "n", "kp"], "left_semi").select("lh", "n", "kp", "first"), "suspects")
     small = suspects.count() <= MOST_BROADCAST
     wanted = suspects.select(F.col("first.ord").alias("ord"), F.col("first.h").alias("h"), F.col("first.line_no").alias("line_no"), "kp")
-    lines = _lines(docs).join(F.broadcast(wanted) if small else wanted, ["ord", "h", "line_no"]).dropDuplicates(["ord", "h", "line_no"])
+    raw = _raw_lines(docs).join(F.broadcast(wanted) if small else wanted, ["ord", "h", "line_no"])
+    lines = _words(raw).dropDuplicates(["ord", "h", "line_no"])  # of repeated rows
     lines = materialise(spark, lines.select("lh", "n", "kp", F.struct("ord", "h", "line_no").alias("first"), "words"), "suspect-lines")
-    variants = F.concat(
-        F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("words").alias("z"))),
-        F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("n")))).alias("z"))),
-    )
-    emitted = lines.select("first", F.inline(variants))
+    emitted = lines.select("first", F.posexplode(_variants("words")).alias("i", "z"))
+    company = emitted.groupBy("z").agg(F.count("*").alias("c")).filter("c > 1").select("z")
+    met = materialise(spark, emitted.join(company, "z"), "equal-variants")
     # one word left out at the same place of two lines: replaced; of one line only: added or left out
-    groups = emitted.groupBy("z", "i").agg(F.min("first").alias("m"), F.count("*").alias("c"))
-    by_z = groups.groupBy("z").agg(F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("m"))).alias("cut"), F.sum("c").alias("c")).filter("c > 1")
-    earliest = groups.join(by_z.drop("c"), "z").select(
-        "z", "i", F.when(F.col("i") == 0, F.col("cut")).otherwise(F.least("m", "whole")).alias("partner")
-    )
-    pairs = emitted.join(earliest, ["z", "i"]).filter("partner < first").select("first", "partner").distinct()
+    groups = met.groupBy("z", "i").agg(F.min("first").alias("m"))
+    by_z = groups.groupBy("z").agg(F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("m"))).alias("cut"))
+    earliest = groups.join(by_z, "z").select("z", "i", F.when(F.col("i") == 0, F.least("cut", "whole")).otherwise(F.least("m", "whole")).alias("partner"))
+    pairs = met.join(earliest, ["z", "i"]).filter("partner < first").select("first", "partner").distinct()
     text = lines.select("first", "words", "lh", "n", "kp")
     other = lines.select(F.col("first").alias("partner"), F.col("words").alias("partner_words"), F.col("n").alias("partner_n"))
     checked = pairs.join(text, "first").join(other, "partner")
@@ -96,7 +137,7 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     docs has ord, h and text. Only hashes are shuffled to find the lines, not texts.
     """
-    lines = _lines(docs.select("ord", "h", "text"))
+    lines = _words(_raw_lines(docs))
     p = F.when(F.col("n") >= 2, _half(F.greatest("n", F.lit(2)))).otherwise(F.lit(1))
     power = (F.col("n") >= 4) & (F.bit_count("n") == 1)  # one word less halves p
     hashed = lines.withColumn("p", p).withColumn("ends", _ends("words", F.col("p")))
