@@ -9,6 +9,7 @@ orders them by number, verifies the total length and decodes the chunked transfe
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -108,11 +109,17 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
 
     written = matched.select("page_id", "url", "payload", "refers_to").mapInArrow(records, "record binary")
     # a text row is written as it is: the separator ends each record as the format asks
-    written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+
+
+def inflated(content: bytes) -> bytes:
+    """The bytes of a file of any number of gzip members, or of a plain one."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of an archive file; field names in small letters."""
+    content = inflated(content)
     at = 0
     while at < len(content):
         if content[at : at + 5] != b"WARC/":
