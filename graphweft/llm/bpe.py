@@ -21,13 +21,14 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphweft.llm.common import once_per_worker
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
+_BITS_AT_ONCE = 1 << 17
 _ROWS = 500
 
 
@@ -37,14 +38,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    """Numbers as four byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^31: their bit lengths, compressed, and then the bits below the first, by length."""
+    numbers = numbers.astype(np.uint32) + np.uint32(1)
+    length = (np.frexp(numbers.astype(np.float64))[1] - 1).astype(np.uint8)
+    out = [zstandard.ZstdCompressor(level=3).compress(length.tobytes())]
+    for n in range(1, 32):
+        own = numbers[length == n].astype("<u4")
+        for k in range(0, len(own), _BITS_AT_ONCE):
+            some = own[k : k + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 4)
+            out.append(np.packbits(np.unpackbits(some, axis=1, count=n, bitorder="little")).tobytes())
+    return len(out[0]).to_bytes(8, "little") + b"".join(out)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    at = 8 + int.from_bytes(data[:8], "little")
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:at]), np.uint8)
+    numbers = np.ones(len(length), np.uint32)
+    for n in range(1, 32):
+        where = np.flatnonzero(length == n)
+        for k in range(0, len(where), _BITS_AT_ONCE):
+            m = len(where[k : k + _BITS_AT_ONCE])
+            size = (m * n + 7) // 8
+            bits = np.zeros((m, 32), np.uint8)
+            bits[:, :n] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=m * n).reshape(m, n)
+            bits[:, n] = 1
+            numbers[where[k : k + _BITS_AT_ONCE]] = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+            at += size
+    return numbers - np.uint32(1)
 
 
 _MIXED = T.StructType(
@@ -99,7 +120,8 @@ class _Block:
         """A row with the documents and positions, and one with the words of each bucket."""
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))  # equal prefixes meet and compress
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # equal prefixes meet and compress
+        order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         positions = np.concatenate(self.positions)
@@ -110,15 +132,18 @@ class _Block:
         sorted_buckets = bucket[order]
         borders = [0, *(np.flatnonzero(np.diff(sorted_buckets)) + 1).tolist(), len(words)]
         own = [(-1, head)]
-        own += [(int(sorted_buckets[a]), _pack_words([words[i] for i in order[a:b]])) for a, b in zip(borders, borders[1:]) if b > a]
+        own += [(int(sorted_buckets[a]), _pack_words([words[i] for i in order[a:b].tolist()])) for a, b in zip(borders, borders[1:]) if b > a]
         for k in range(0, len(own), _ROWS):
             some = own[k : k + _ROWS]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary())], schema=_MIXED_ARROW)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS, finish: tuple | None = None) -> DataFrame:
     """(doc_id, ids array<int>): the ids of each whole text of docs (doc_id, text), without special tokens.
 
+    finish, a schema and a function from a batch of doc_id and ids to a batch of that schema, runs
+    in the worker that puts the ids in place, which saves a second one.
+
     A null text is empty and gives no ids. Repeated rows and null ids stay. Other columns are
     ignored. No documents give no rows. A text longer than a block is a block of its own.
     """
@@ -204,14 +229,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
             picked = flat[np.arange(total[-1]) + np.repeat(starts[own] - total[:-1], n)]
             borders = total[np.concatenate(([0], ends[at:upto] - before))]
             lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(picked, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:upto], pa.string()), lists], schema=done_arrow)
+            batch = pa.RecordBatch.from_arrays([pa.array(doc_ids[at:upto], pa.string()), lists], schema=done_arrow)
+            yield finish[1](batch) if finish else batch
             at = upto
 
     exploded = texts.mapInArrow(explode, _MIXED)
     met = exploded.repartition(F.when(F.col("bucket") == -1, F.xxhash64("block")).otherwise(F.col("bucket")))
     answered = met.sortWithinPartitions("bucket").mapInArrow(look_up, _MIXED)
     by_block = answered.repartition("block").sortWithinPartitions("block", "bucket")
-    return by_block.mapInArrow(reassemble, _DONE).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "ids")
+    done = by_block.mapInArrow(reassemble, finish[0] if finish else _DONE)
+    return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def spelt(ids: list[int], by_id: dict[int, bytes]) -> bytes:
+    """The bytes of the ids, each joined with its row of the token-byte table."""
+    return b"".join(map(by_id.__getitem__, ids))
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -224,8 +256,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], column: str = "ids", into:
 
     @F.pandas_udf(T.BinaryType())
     def spell(ids: pd.Series) -> pd.Series:
-        by_id = tokens.value
-        return pd.Series([None if x is None else b"".join(map(by_id.__getitem__, x.tolist())) for x in ids], dtype=object)
+        return pd.Series([None if x is None else spelt(x.tolist(), tokens.value) for x in ids], dtype=object)
 
     return coded.withColumn(into, spell(F.col(column)))
 
@@ -235,18 +266,31 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return read_ranks(path)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
-    both = decode(encode(docs, ranks, pattern), ranks)
+def _digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool) -> DataFrame:
+    tokens = docs.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    names = ["doc_id", "n_tokens", "ids" if with_ids else "ids_sha256", "decoded_sha256"]
 
-    @F.pandas_udf("string")
-    def sha_of_ids(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids], dtype=object)
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        borders, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        counts, own, decoded = [], [], []
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            ids = flat[a:b]
+            counts.append(b - a)
+            own.append(None if with_ids else hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(spelt(ids.tolist(), tokens.value)).hexdigest())
+        second = lists if with_ids else pa.array(own, pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), second, pa.array(decoded, pa.string())], names=names)
 
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha_of_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    kinds = [T.StringType(), T.LongType(), T.ArrayType(T.IntegerType()) if with_ids else T.StringType(), T.StringType()]
+    return encode(docs, ranks, pattern, finish=(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]), finish))
+
+
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
+    return _digests(docs, ranks, pattern, False)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The last step of a corpus: doc_id, n_tokens, ids and the sha256 of the decoded text."""
-    both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _digests(docs, ranks, pattern, True)
