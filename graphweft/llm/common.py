@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 
 def once_per_worker(key: tuple, make: Callable):
-    """make() of the first call with this key in a Python worker, which serves many tasks."""
+    """make() of the first call with this key in a Python worker, which serves many tasks.
+
+    Of each kind (the first part of the key) only the last is kept, so that a worker that outlives
+    many queries holds one automaton and one vocabulary.
+    """
     kept = sys.modules.setdefault("_graphweft_worker", types.ModuleType("_graphweft_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(key[0], (None,))[0] != key:
+        kept.pop(key[0], None)
+        kept[key[0]] = key, make()
+    return kept[key[0]][1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
