@@ -27,7 +27,7 @@ MOST_TERMS = 20_000  # words in the lexicon, at most
 PRIOR = 1_000.0  # pseudo-documents of the corpus prior
 LEAST_Z = 3.0
 LOSS = 0.35
-_FLUSH = 400_000
+_FLUSH = 100_000  # words that a worker counts before it passes them on
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -215,5 +215,7 @@ def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that score 0.5 or more; the columns stay as they are."""
     model = fit(spark, docs, labels)
-    carried = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return score(spark, carried, model).filter("score < 0.5").select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    carried = docs.select("text", F.struct(*rest).alias("row"))  # the text once, in and out of Python
+    kept = score(spark, carried, model).filter("score < 0.5")
+    return kept.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
