@@ -157,25 +157,28 @@ def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, l
     yield block
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000, finish: tuple | None = None) -> DataFrame:
     """docs' (doc_id, text) with n_words, hit spans of word positions, and the item ids that occur.
 
     Each block of at most `block_words` benchmark words is broadcast and becomes one automaton in
     each Python worker; all documents stream past it. Several blocks take several passes, each
     written to the shared folder. Words that no item has cut a text into runs; shorter runs than
-    the shortest window can't match and are skipped.
+    the shortest window can't match and are skipped. `finish` (schema, function of a batch) is applied
+    to the last pass's batches in the worker that scanned them.
     """
     frame = docs.select(
         "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
     )
     schema = frame.schema
     blocks = _blocks(benchmark, block_words)
-    first = True
-    for block in blocks:
+    first, block = True, next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        last = finish if following is None else None
         sent = spark.sparkContext.broadcast(block)
         key = ("decontam", sent._jbroadcast.id(), window)
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key, last=last) -> Iterator[pa.RecordBatch]:
             automaton = once_per_worker(key, lambda: SuffixAutomaton(sent.value, window))
             for batch in batches:
                 n_words, spans, items = [], [], []
@@ -187,14 +190,15 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
                     spans.append([{"first": a, "last": b} for a, b in _merge([*[(s["first"], s["last"]) for s in old_spans[k]], *hit])] if hit else old_spans[k])
                     items.append(sorted({*old_items[k], *found}) if found else old_items[k])
                 kinds = batch.schema
-                yield pa.RecordBatch.from_arrays(
+                done = pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kinds.field(3).type), pa.array(items, kinds.field(4).type)],
                     names=["doc_id", "text", "n_words", "spans", "items"],
                 )
+                yield last[1](done) if last else done
 
         if not first:
             frame = materialise(spark, frame, "decontam")
-        frame, first = frame.mapInArrow(scan, schema), False
+        frame, first, block = frame.mapInArrow(scan, last[0] if last else schema), False, following
     return frame
 
 
@@ -245,18 +249,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]
     carried = docs.select("text", F.struct("doc_id", *rest).alias("doc_id"))
-    found = matches(spark, carried, benchmark, window)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                texts.append(cut_spans(text.as_py(), [(s["first"], s["last"]) for s in spans.as_py()]) if len(spans.as_py()) else text.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(s) > 0 for s in batch.column(2).to_pylist()])], names=["doc_id", "text", "cut"])
-
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
-    kept = found.filter((F.size("spans") == 0) | (n_hit <= F.col("n_words") * most_coverage)).select("doc_id", "text", "spans")
-    done = kept.mapInArrow(cut, T.StructType([*kept.schema.fields[:2], T.StructField("cut", T.BooleanType())]))
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, texts, changed = [], [], []
+        for k, (text, n_words, spans) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            own = [(s["first"], s["last"]) for s in spans]
+            if sum(b - a + 1 for a, b in own) <= n_words * most_coverage:
+                kept.append(k)
+                texts.append(cut_spans(text.as_py(), own) if own else text.as_py())
+                changed.append(bool(own))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["doc_id", "text", "cut"])
+
+    kind = T.StructType([carried.schema["doc_id"], carried.schema["text"], T.StructField("cut", T.BooleanType())])
+    done = matches(spark, carried, benchmark, window, finish=(kind, cut))
     out = {c: F.col(f"doc_id.`{c}`") for c in ["doc_id", *rest]} | {"text": F.col("text")}
     if "n_chars" in rest:
         out["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
