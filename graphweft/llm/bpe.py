@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import once_per_worker
+from graphweft.llm.common import once_per_worker, small_batches, tidy
 
 BLOCK_CHARS = 16_000_000
 _BITS_AT_ONCE = 1 << 17
 _ROWS = 500
+_PLACED_AT_ONCE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +42,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2^31: their bit lengths, compressed, and then the bits below the first, by length."""
     numbers = numbers.astype(np.uint32) + np.uint32(1)
-    length = (np.frexp(numbers.astype(np.float64))[1] - 1).astype(np.uint8)
+    length = np.empty(len(numbers), np.uint8)
+    for k in range(0, len(numbers), _BITS_AT_ONCE):
+        length[k : k + _BITS_AT_ONCE] = np.frexp(numbers[k : k + _BITS_AT_ONCE].astype(np.float64))[1] - 1
     out = [zstandard.ZstdCompressor(level=3).compress(length.tobytes())]
     for n in range(1, 32):
         own = numbers[length == n].astype("<u4")
@@ -148,6 +151,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
     ignored. No documents give no rows. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = spark.sparkContext.broadcast((ranks, pattern))
     vocabulary_id = vocabulary._jbroadcast.id()
     texts = docs.select(F.col("doc_id").cast("string"), "text")
@@ -221,7 +225,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
         while at < len(doc_ids):  # some documents at a time, so that no column of a batch gets too large
             before = int(ends[at - 1]) if at else 0
             upto = at + 1
-            while upto < len(doc_ids) and ends[upto] - before < 1_000_000:
+            while upto < len(doc_ids) and ends[upto] - before < _PLACED_AT_ONCE:
                 upto += 1
             own = places[positions[before : ends[upto - 1]]]
             n = lengths[own]
@@ -233,11 +237,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
             yield finish[1](batch) if finish else batch
             at = upto
 
-    exploded = texts.mapInArrow(explode, _MIXED)
+    exploded = texts.mapInArrow(tidy(explode), _MIXED)
     met = exploded.repartition(F.when(F.col("bucket") == -1, F.xxhash64("block")).otherwise(F.col("bucket")))
-    answered = met.sortWithinPartitions("bucket").mapInArrow(look_up, _MIXED)
+    answered = met.sortWithinPartitions("bucket").mapInArrow(tidy(look_up), _MIXED)
     by_block = answered.repartition("block").sortWithinPartitions("block", "bucket")
-    done = by_block.mapInArrow(reassemble, finish[0] if finish else _DONE)
+    done = by_block.mapInArrow(tidy(reassemble), finish[0] if finish else _DONE)
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

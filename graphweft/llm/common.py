@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,34 @@ def once_per_worker(key: tuple, make: Callable):
     return kept[key[0]][1]
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Whole texts cross to Python in batches of about this size, unless the session names its own.
+
+    A batch exists up to four times (in and out of Python, on both sides) for each task of an executor.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, most)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, a function for mapInArrow, that gives back at its end the memory it no longer needs.
+
+    An idle worker otherwise holds what its allocators kept, beside the executor's next stage.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

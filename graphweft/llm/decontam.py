@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import materialise, once_per_worker
+from graphweft.llm.common import materialise, once_per_worker, small_batches, tidy
 
 # Fixed by the contract: A-Z become a-z, every other ASCII character that is no digit separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -166,6 +166,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     the shortest window can't match and are skipped. `finish` (schema, function of a batch) is applied
     to the last pass's batches in the worker that scanned them.
     """
+    small_batches(spark)
     frame = docs.select(
         "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
     )
@@ -198,7 +199,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
 
         if not first:
             frame = materialise(spark, frame, "decontam")
-        frame, first, block = frame.mapInArrow(scan, last[0] if last else schema), False, following
+        frame, first, block = frame.mapInArrow(tidy(scan), last[0] if last else schema), False, following
     return frame
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import bounded_labels, distinct_text_sample, held_out
+from graphweft.llm.common import bounded_labels, distinct_text_sample, held_out, small_batches, tidy
 
 FOLDS, HELD_OUT = 5, 0
 MOST_LABELLED = 40_000  # labelled rows to learn from, at most
@@ -85,7 +85,7 @@ def corpus_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
         if sums[0]:
             yield rows()
 
-    parts = labelled.mapInArrow(count, "word string, n bigint, toxic bigint, clean bigint")
+    parts = labelled.mapInArrow(tidy(count), "word string, n bigint, toxic bigint, clean bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -134,7 +134,7 @@ def _scan(frame: DataFrame, words, column: str = "text") -> DataFrame:
                 found.append([{"first": a, "last": b, "score": s} for a, b, s in segments(hits, LOSS)] if hits else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(found, kind)], names=[*batch.schema.names, "n_tokens", "segments"])
 
-    return frame.mapInArrow(scan, schema)
+    return frame.mapInArrow(tidy(scan), schema)
 
 
 def _features(lam: float, log_k: float):
@@ -170,6 +170,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
     distinct text; the prior counts all documents. Without labels of both kinds the lexicon is
     empty and every document gets the labels' smoothed share.
     """
+    small_batches(spark)
     sample = distinct_text_sample(docs, bounded_labels(labels, "toxic", FOLDS, HELD_OUT, MOST_LABELLED)).collect()
     sample = spark.createDataFrame([(r["doc_id"], int(r["label"] > 0)) for r in sample], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
     words = lexicon(corpus_counts(docs, sample))
