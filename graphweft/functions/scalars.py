@@ -47,3 +47,9 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def rotate_to_least(values: Column) -> Column:
+    """The array turned so that its smallest element comes first."""
+    at = F.array_position(values, F.array_min(values)).cast("int")
+    return F.concat(F.slice(values, at, F.size(values)), F.slice(values, F.lit(1), at - 1))

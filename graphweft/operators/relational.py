@@ -51,3 +51,32 @@ def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """For each point (key, point_id, at) the span (key, span_id, first, last) around it that begins last, then ends first."""
     around = points.join(spans, key).filter("at between first and last")
     return around.groupBy(key, "point_id").agg(F.max_by("span_id", F.struct(F.col("first"), -F.col("last"), -F.col("span_id"))).alias("span_id"))
+
+
+def counted_with_samples(frame: DataFrame, group: str, item: str, k: int) -> DataFrame:
+    """(group, n, samples): the rows of each group, and its first k items joined by bars.
+
+    The count and the k first are taken before the shuffle too, so a group of any size goes through.
+    """
+    first = top_per_group(frame.select(group, item), group, [item], k)
+    samples = first.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(item)), "|").alias("samples"))  # k each
+    return frame.groupBy(group).agg(F.count("*").alias("n")).join(samples, group)
+
+
+def median_of_counts(frame: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median, newer): the upper median of each group and how many rows lie above it.
+
+    Equal values are counted first: what a task sorts are the distinct values of a group.
+    """
+    counted = frame.groupBy(group, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(group).orderBy(value))
+    ranked = counted.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy(group)))
+    half = F.floor(F.col("n") / 2) + 1
+    at = ranked.filter((F.col("upto") >= half) & (F.col("upto") - F.col("c") < half))
+    return at.select(group, F.col(value).alias("median"), (F.col("n") - F.col("upto")).alias("newer"))
+
+
+def with_reserve(main: DataFrame, extra: DataFrame, order: str, limit: int, reserved: int) -> DataFrame:
+    """A page of main's first rows, in which up to `reserved` places go to extra's first rows."""
+    page = extra.orderBy(order).limit(reserved).withColumn("p", F.lit(0)).unionByName(main.orderBy(order).limit(limit).withColumn("p", F.lit(1)))
+    return page.orderBy("p", order).limit(limit).drop("p")

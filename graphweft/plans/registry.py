@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,27 +9,10 @@ from graphweft import model
 from graphweft.functions import scalars
 from graphweft.operators import relational as rel
 from graphweft.operators import search, traverse
+from graphweft.plans import closures, merges, ranking  # noqa: F401  their queries register themselves
+from graphweft.plans.base import QUERIES, SQL, in_list, query  # noqa: F401
 from graphweft.sources import testgraph as tg
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, graph: bool = True):
-    """Register a query under its function's name; the SQL may use nodes, edges and trade."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"with recursive {tg.SQL} {sql}" if graph else sql
-        return f
-
-    return add
-
-
-def _in(names: list[str]) -> str:
-    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
-
 
 # Counts
 
@@ -89,7 +69,7 @@ def g8_inter_cluster_edges(spark, d):
     return joined.filter("src_type <> dst_type").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query(f"select provenance, count(*) as n, round(100.0 * count(*) / (select count(*) from edges where relation in {_in(model.CALL)}), 1)::double as pct from edges where relation in {_in(model.CALL)} group by 1")
+@query(f"select provenance, count(*) as n, round(100.0 * count(*) / (select count(*) from edges where relation in {in_list(model.CALL)}), 1)::double as pct from edges where relation in {in_list(model.CALL)} group by 1")
 def g9_provenance_mix(spark, d):
     own = tg.edges(spark, d).filter(F.col("relation").isin(model.CALL)).groupBy("provenance").agg(F.count("*").alias("n"))
     return own.select("provenance", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 1).alias("pct"))  # a row a provenance
@@ -254,7 +234,7 @@ _IMPACT = """, walk(id, depth) as (select 'P1', 0 union select e.from_id, w.dept
 select e.from_id, e.to_id, e.relation, min(w.depth + 1)::int as depth from walk w join edges e on e.to_id = w.id where e.relation in {r} and w.depth < 2 group by all"""
 
 
-@query(_IMPACT.format(r=_in(model.IMPACT)))
+@query(_IMPACT.format(r=in_list(model.IMPACT)))
 def t3_impact_min_depth(spark, d):
     return traverse.reach(tg.edges(spark, d), ["P1"], model.IMPACT, 2)
 
