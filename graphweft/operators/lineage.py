@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Where spark.checkpoint.dir says; only a session without that setting (a test) gets a folder of its own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphweft-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, checkpointed where spark.checkpoint.dir says; only a session without one gets a folder of its own."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graphweft-"))
-    return frame.checkpoint()
+    """The frame, written once as a table in the shared folder and read back; the table goes with the driver's JVM.
+
+    Unlike a checkpoint, the last stage runs once, and the planner knows the table's size.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.operators.lineage import cut
+
 
 def reach(edges: DataFrame, seeds: list[str], relations: list[str] | None, depth: int, incoming: bool = True) -> DataFrame:
     """Edges that lead to the seeds (or from them) within `depth` hops, each with its smallest depth.
 
     The nodes seen so far are kept out of the next frontier, so cycles end and no path is counted
-    twice. Hops are planned as one query; the number of hops is small by the interface's limit of 10.
+    twice. Each frontier is written to the shared folder: the plan grows by one join a hop, and a
+    frontier is broadcast only if its size on disk allows.
     """
     here, there = ("to_id", "from_id") if incoming else ("from_id", "to_id")
     own = edges if relations is None else edges.filter(F.col("relation").isin(relations))
@@ -21,7 +24,7 @@ def reach(edges: DataFrame, seeds: list[str], relations: list[str] | None, depth
         step = own.join(frontier, own[here] == frontier["node"]).drop("node").withColumn("depth", F.lit(hop))
         found = step if found is None else found.unionByName(step)
         if hop < depth:
-            frontier = step.select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti")
+            frontier = cut(step.select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti"))
             seen = seen.unionByName(frontier)
     return found.groupBy("from_id", "to_id", "relation").agg(F.min("depth").alias("depth"))
 
@@ -35,23 +38,24 @@ def per_depth(edges: DataFrame, seeds: list[str], relations: list[str], depth: i
 
 def shortest_hops(pairs: DataFrame, start: int, most: int) -> DataFrame:
     """(node, hops) over (src, dst), up to `most` hops from start."""
+    pairs = cut(pairs.select("src", "dst").distinct())
     seen = pairs.sparkSession.createDataFrame([(start, 0)], "node int, hops int")
     frontier = seen
     for hop in range(1, most + 1):
         step = pairs.join(frontier, pairs.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        frontier = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def simple_cycles(pairs: DataFrame, longest: int) -> DataFrame:
     """(length, path): cycles of up to `longest` nodes, each once, starting at its smallest node."""
-    pairs = pairs.filter("src <> dst").select("src", "dst").distinct()
+    pairs = cut(pairs.filter("src <> dst").select("src", "dst").distinct())
     paths = pairs.filter("src < dst").select(F.array("src", "dst").alias("p"))
     found = None
     for length in range(2, longest + 1):
         closed = paths.join(pairs, (F.element_at("p", -1) == F.col("src")) & (F.col("p")[0] == F.col("dst"))).select(F.lit(length).alias("length"), F.array_join(F.col("p").cast("array<string>"), ">").alias("path"))
         found = closed if found is None else found.unionByName(closed)
         grown = paths.join(pairs, F.element_at("p", -1) == F.col("src"))
-        paths = grown.filter((F.col("dst") > F.col("p")[0]) & ~F.array_contains("p", F.col("dst"))).select(F.concat("p", F.array("dst")).alias("p"))
+        paths = cut(grown.filter((F.col("dst") > F.col("p")[0]) & ~F.array_contains("p", F.col("dst"))).select(F.concat("p", F.array("dst")).alias("p")))
     return found
