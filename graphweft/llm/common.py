@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession, most: str = "4m") -> None:
 
     A batch exists up to four times (in and out of Python, on both sides) for each task of an executor.
     """
-    if not spark.sparkContext.getConf().contains(_BATCH):
+    if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, most)
 
 
