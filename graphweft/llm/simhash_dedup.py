@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.llm import shingle_sets
 from graphweft.llm.common import materialise
 from graphweft.llm.components import connected_components
 
@@ -24,21 +25,28 @@ SEED = 42
 _FEW = 1 << 15
 
 
-def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
-    """The fingerprint of one text as an unsigned integer; no words give 0."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 of each run of words of a text, some at a time; a shorter text is one run, no words give none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
     if not words:
-        return 0
+        return
     n = max(1, len(words) - words_per_shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, _FEW):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _FEW], ends[at : at + _FEW])], dtype="<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _FEW], ends[at : at + _FEW])], dtype="<u8")
+
+
+def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
+    """The fingerprint of one text as an unsigned integer; no words give 0."""
+    ones = np.zeros(64, np.int64)
+    n = 0
+    for hashes in shingle_hashes(text, words_per_shingle):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -104,8 +112,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words_per_shingle: int
     )
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs, one per component: that of the smallest doc_id. Rows with a null doc_id stay."""
-    found = near_duplicates(spark, docs, words_per_shingle, radius)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one per group of near copies: that of the smallest doc_id. Rows with a null doc_id stay.
+
+    Texts whose sets of word shingles have a Jaccard index of `similarity` or more are near copies,
+    and so are those linked through others (shingle_sets.near_copies).
+    """
+    marked = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = shingle_sets.near_copies(spark, marked.filter("doc_id is not null").select("doc_id", "_h", "text"), words_per_shingle, similarity)
+    kept = known.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("kept")).select("kept.doc_id", "kept._h")
+    # one row by id and text: of repeated ids the text that was chosen stays
+    one = marked.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return one.unionByName(docs.filter("doc_id is null"))

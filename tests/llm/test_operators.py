@@ -170,6 +170,41 @@ def test_simhash_components(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 4, 5, 6, 7]
 
 
+def test_near_copies_against_brute_force(spark):
+    import random
+
+    import corpus_pipeline
+    from graphweft.llm.shingle_sets import shingle_set
+
+    random.seed(3)
+    word = lambda: f"w{random.randint(0, 5000)}"
+    shared = [word() for _ in range(40)]
+    texts = []
+    for _ in range(25):  # a passage that many share, and copies with more and more words replaced
+        base = shared + [word() for _ in range(random.randint(20, 200))]
+        for edits in (0, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(edits):
+                copy[random.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    base = [word() for _ in range(300)]
+    for _ in range(60):  # a large group
+        copy = list(base)
+        for _ in range(random.randint(1, 8)):
+            copy[random.randrange(300)] = word()
+        texts.append(" ".join(copy))
+    random.shuffle(texts)
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    docs = docs_of(spark, list(enumerate(texts)))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(root)) and len(kept) < len(texts) - 80
+
+
 def test_line_dedup(spark, odd, none):
     long = " ".join(f"w{i}" for i in range(1100))
     texts = [(1, "a b c d e f\nx y\n\nkeep me"), (2, "A b c d e f\na b c Z e f"), (3, "x y\na b c d e\nq r s t"), (4, "q r s u"), (5, long), (6, long.replace("w700 ", "")), (7, long.replace("w3 ", "k ").replace("w9 ", "k ")), (8, None)]
