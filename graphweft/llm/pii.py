@@ -24,7 +24,13 @@ PATTERNS = {
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_OTHER = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "date", "ssn"))
+#: Groups of digits, 13 digits or more, up to where another kind begins; cards are looked for inside.
+_RUN = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHER})\d++)*+"
+_ANY = "|".join(f"(?:{p})" for p in [*(v for k, v in PATTERNS.items() if k != "card"), _RUN])
+#: The usual groupings of card numbers: none, 4-4-4-4, 4-4-4-4-3, 4-6-5 and 4-6-4.
+_USUAL = r"(?:^|[ -])(\d{13,19}|\d{4}(?:(?: \d{4}){3}(?: \d{3})?|(?:-\d{4}){3}(?:-\d{3})?| \d{6} \d{4,5}|-\d{6}-\d{4,5}))$"
+_NEARBY = 40  # more characters than 19 digits, 18 separators and one before them
 
 
 def feistel(left: Column, right: Column, left_size: int | Column, right_size: int | Column, kind: str, key: str) -> Column:
@@ -149,10 +155,58 @@ def kind_of(m: Column) -> Column:
         .when(whole("date"), F.when(_parse_date(m).isNotNull(), F.lit("date")))
         .when(m.startswith("+"), F.lit("phone"))
         .when(whole("ssn"), F.lit("ssn"))
-        .when(_one(_digits(m), lambda d: F.pmod(luhn_sum(d), F.lit(10)) == 0), F.lit("card"))
+        .when(whole("card"), _one(_digits(m), lambda d: F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, F.lit("card"))))
     )
 
 
+_PART = "array<struct<kind:string,value:string>>"
+
+
+def _split_run(run: Column, candidates) -> Column:
+    """array<struct<kind, value>>: a run of groups of digits, cut into valid cards and what lies between.
+
+    candidates(text) are the strings at the end of a text that may be a card. Groups are taken from
+    the left; the first valid candidate that ends with a group is a card.
+    """
+
+    def step(x: Column, token: Column) -> Column:
+        def tried(text: Column) -> Column:
+            valid = lambda c: (c != "") & (F.pmod(luhn_sum(_digits(c)), F.lit(10)) == 0)
+            found = F.get(F.filter(candidates(F.substring(text, -_NEARBY, _NEARBY)), valid), F.lit(0))
+
+            def taken(card: Column) -> Column:
+                before = F.substring(text, F.lit(1), F.length(text) - F.length(card))
+                parts = F.array(F.struct(F.lit(None).cast("string").alias("kind"), before.alias("value")), F.struct(F.lit("card").alias("kind"), card.alias("value")))
+                return F.struct(
+                    F.when(card.isNull(), x["out"]).otherwise(F.concat(x["out"], parts.cast(_PART))).alias("out"),
+                    F.when(card.isNull(), text).otherwise(F.lit("")).alias("rest"),
+                )
+
+            return _one(found, taken)
+
+        return _one(F.concat(x["rest"], token), tried)
+
+    def end(x: Column) -> Column:
+        return F.concat(x["out"], F.array(F.struct(F.lit(None).cast("string").alias("kind"), x["rest"].alias("value"))).cast(_PART))
+
+    start = F.struct(F.array().cast(_PART).alias("out"), F.lit("").alias("rest"))
+    return F.aggregate(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), start, step, end)
+
+
+def cards_in(run: Column) -> Column:
+    """array<struct<kind, value>> of a run: cards in a usual grouping first, then any 13 to 19 digits between separators."""
+    usual = _split_run(run, lambda t: F.array(F.regexp_extract(t, _USUAL, 1)))
+    any_ = lambda t: F.array(*[F.regexp_extract(t, rf"(?:^|[ -])(\d(?:[ -]?\d){{{k - 1}}})$", 1) for k in range(19, 12, -1)])
+    rest = lambda v: F.length(_digits(v)) >= 13
+    return F.flatten(F.transform(usual, lambda p: F.when(p["kind"].isNull() & rest(p["value"]), _split_run(p["value"], any_)).otherwise(F.array(p))))
+
+
+def parts_of(m: Column) -> Column:
+    """array<struct<kind, value>>: a match of the pattern, cut where cards stand beside other digits; kind is null for what stays."""
+    run = m.rlike(r"^\d[\d -]*$") & (F.length(_digits(m)) >= 13)
+    return F.when(run, cards_in(m)).otherwise(F.array(F.struct(kind_of(m).alias("kind"), m.alias("value"))))
+
+
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     ssn = _refill(m, permute_string(_digits(m), 10, "ssn", key), r"\d")
     return (
@@ -170,13 +224,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     values = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
     marked = docs.drop("found").withColumn("found", F.coalesce(values, F.array().cast("array<string>")))
-    graded = F.transform("found", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    marked = marked.withColumn("found", graded)
-    done = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    marked = marked.withColumn("found", done)
+    marked = marked.withColumn("found", F.transform("found", parts_of))
+    named = lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))
+    marked = marked.withColumn("found", F.transform("found", lambda parts: F.transform(parts, named)))
     gaps = F.split("text", _ANY)
-    woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("found.pseudonym").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
-    return marked.withColumn("text", F.when(F.size("found") > 0, woven).otherwise(F.col("text"))).withColumn("found", F.filter("found", lambda x: x["kind"].isNotNull()))
+    woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.transform("found", lambda parts: F.array_join(parts["pseudonym"], "")).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+    return marked.withColumn("text", F.when(F.size("found") > 0, woven).otherwise(F.col("text"))).withColumn("found", F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull()))
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -137,6 +137,21 @@ def test_pseudonyms(spark, odd, none):
     assert {r.text for r in pii.report(odd).collect()} == {t for _, t in ODD}
 
 
+def test_cards_beside_digits(spark):
+    card, spaced = "4539578763621486", "4539 5787 6362 1486"
+    texts = [f"{card} 12/27", f"{card} 123", f"no 7 {card}", f"{spaced} 123", f"12 34 {spaced}", f"{card} {spaced}", f"{card} 31/12/2001", f"{card} 2001-02-28", f"{card} 123-45-6789", "1234 5678 9012 3456 7", f"{card} " + "7 " * 3000, "4539-57876362-1486 12"]
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, list(enumerate(texts)))).collect()}
+    plain = {f.value: f.pseudonym for f in rows[0].found}
+    for i in (0, 1, 2, 6, 7, 8, 10):
+        assert {f.value: f.pseudonym for f in rows[i].found if f.kind == "card"} == plain and list(plain) == [card]
+    new = plain[card]
+    assert [rows[i].text for i in (0, 1, 2)] == [f"{new} 12/27", f"{new} 123", f"no 7 {new}"]
+    new_spaced = " ".join(new[k : k + 4] for k in (0, 4, 8, 12))
+    assert [rows[i].text for i in (3, 4, 5)] == [f"{new_spaced} 123", f"12 34 {new_spaced}", f"{new} {new_spaced}"]
+    assert [[f.kind for f in rows[i].found] for i in (6, 7, 8, 9, 10)] == [["card", "date"], ["card", "date"], ["card", "ssn"], [], ["card"]]
+    assert [f.value for f in rows[11].found] == ["4539-57876362-1486"] and rows[10].text == f"{new} " + "7 " * 3000
+
+
 def test_warc(spark, tmp_path):
     big = "".join(f"<p>é{i}</p>\r\n\r\nWARC/1.1\r\n" for i in range(9000))
     rows = [(1, "u", "a"), (2, "u", None), (3, "u", ""), (4, "u", big), (5, "u v", big), (None, None, "a"), (6, "u", "b")]
