@@ -103,10 +103,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words_per_shingle: int
     null, or null if there is none. Other columns are ignored. No documents give no rows.
     """
     fps = materialise(spark, fingerprints(docs, words_per_shingle), "fingerprints")
-    nodes = materialise(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = close_links(nodes.filter("node is not null"), radius)
-    components = connected_components(spark, links)
-    known = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialise(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    links = close_links(nodes.filter("least is not null").select("fp", F.col("fp").alias("node")), radius)
+    components = connected_components(spark, links).withColumnRenamed("node", "fp")
+    grouped = nodes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = grouped.join(least, "component").select("fp", "component_id")
     return fps.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

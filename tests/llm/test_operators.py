@@ -185,6 +185,20 @@ def test_simhash_components(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 4, 5, 6, 7]
 
 
+def test_repeated_ids_keep_components_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    docs = docs_of(spark, [(1, one), (1, two), (2, one), (3, two), (4, three), (5, three)])
+    found = {r.fingerprint for r in simhash_dedup.near_duplicates(spark, docs).collect()}
+    assert len(found) == 3
+    assert sorted((r.doc_id, r.text) for r in simhash_dedup.keep_one(spark, docs).collect()) == [(1, one), (1, two), (4, three)]
+    # a near copy of one text has a lesser id: the other text of id 1 doesn't follow
+    bases = (" ".join(f"d{k}x{i}" for i in range(300)) for k in range(200))
+    apart = lambda a, b: (simhash_dedup.fingerprint_of(a) ^ simhash_dedup.fingerprint_of(b)).bit_count()
+    long, near = next((t, f"{t} e") for t in bases if 1 <= apart(t, f"{t} e") <= 2)
+    rows = simhash_dedup.near_duplicates(spark, docs_of(spark, [(0, near), (1, long), (1, two), (2, two)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
 def test_near_copies_against_brute_force(spark):
     import random
 
