@@ -62,26 +62,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    A local session without that setting (a test) gets a temporary folder of its own. On a cluster
+    executors wouldn't see each other's files there, so that a missing setting is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="graphweft-")
     context.setCheckpointDir(own)
     return own
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared folder; it goes when the driver's JVM ends."""
+    """A new folder in the shared folder; it goes with `discard`, or when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/graphweft/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, system = _file_system(spark, path)
+    system.deleteOnExit(hadoop)
+    _scratch.append(path)
     return path
 
 
+def scratch_mark() -> int:
+    """Names the scratch folders made so far."""
+    return len(_scratch)
+
+
+def discard(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Delete the scratch folders made since a mark, but for `keep`: for who has written what was read from them."""
+    for path in _scratch[since:]:
+        if path != keep:
+            hadoop, system = _file_system(spark, path)
+            system.delete(hadoop, True)
+    _scratch[since:] = [path for path in _scratch[since:] if path == keep]
+
+
 def materialise(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     """Write the frame as a table in the shared folder and read it back: lineage ends there."""
     path = scratch_path(spark, label)
@@ -89,6 +114,13 @@ def materialise(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def materialise_last(spark: SparkSession, frame: DataFrame, label: str, since: int) -> DataFrame:
+    """materialise, after which the scratch folders made since a mark are no longer needed and go."""
+    done = materialise(spark, frame, label)
+    discard(spark, since, keep=_scratch[-1])
+    return done
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True for the rows that no model may learn from; a null id is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))

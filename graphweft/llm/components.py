@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import materialise
+from graphweft.llm.common import materialise, materialise_last, scratch_mark
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -22,6 +22,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     are plain sort-merge joins, which Spark splits where one hub has most of the links.
     No links give an empty frame.
     """
+    mark = scratch_mark()
     now = materialise(
         spark,
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
@@ -35,7 +36,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = materialise(spark, large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        now = materialise_last(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star", mark)
         after = _signature(now)
         if after == before:
             break
