@@ -2,8 +2,11 @@
 
 Card numbers with a valid check digit, phone numbers, IPv4 addresses, social security numbers, dates
 that exist and the names in mail addresses are found by one pattern, validated, and replaced by the
-value to which a keyed permutation of all values of that format sends them. Equal values get equal
-pseudonyms in every document, and different values different ones.
+value to which a keyed permutation of all valid values of that format sends them. Equal values get
+equal pseudonyms in every document, however they are spaced, and different values different ones.
+
+The pattern takes time in proportion to the text: each alternative starts at a border only, and its
+unbounded parts give nothing back.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "graphweft"  # a deployment gives its own
+_PIECE = 512
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Fixed patterns, in the order of preference at one place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<!\d)(?:(?:1[89]|2[01])\d\d-\d\d-\d\d|\d\d/\d\d/(?:1[89]|2[01])\d\d|\d\d\.\d\d\.(?:1[89]|2[01])\d\d)(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
@@ -31,6 +34,9 @@ _ANY = "|".join(f"(?:{p})" for p in [*(v for k, v in PATTERNS.items() if k != "c
 #: The usual groupings of card numbers: none, 4-4-4-4, 4-4-4-4-3, 4-6-5 and 4-6-4.
 _USUAL = r"(?:^|[ -])(\d{13,19}|\d{4}(?:(?: \d{4}){3}(?: \d{3})?|(?:-\d{4}){3}(?:-\d{3})?| \d{6} \d{4,5}|-\d{6}-\d{4,5}))$"
 _NEARBY = 40  # more characters than 19 digits, 18 separators and one before them
+#: The country codes of phone numbers: one digit, two digits of these ranges, else three.
+_COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999  # 001 to 899 without 666; 01 to 99; 0001 to 9999
 
 
 def feistel(left: Column, right: Column, left_size: int | Column, right_size: int | Column, kind: str, key: str) -> Column:
@@ -72,13 +78,24 @@ def permute_string(s: Column, radix: int, kind: str, key: str) -> Column:
 
 
 def _refill(shape: Column, new: Column, what: str) -> Column:
-    """shape with its characters of the class `what` replaced, in order, by those of new."""
+    """shape with its characters of the class `what` replaced, in order, by those of new.
+
+    Characters are taken _PIECE at a time: the work grows with the length.
+    """
+
+    def weave(own: Column) -> Column:
+        def put(x: Column, c: Column) -> Column:
+            hit = c.rlike(what)
+            return F.struct((x["at"] + hit.cast("int")).alias("at"), F.concat(x["out"], F.when(hit, F.get(own["new"], x["at"])).otherwise(c)).alias("out"))
 
-    def put(x: Column, c: Column) -> Column:
-        hit = c.rlike(what)
-        return F.struct((x["at"] + hit.cast("int")).alias("at"), F.concat(x["out"], F.when(hit, F.substring(new, x["at"], F.lit(1))).otherwise(c)).alias("out"))
+        def piece(x: Column, k: Column) -> Column:
+            done = F.aggregate(F.slice(own["shape"], k * _PIECE + 1, F.lit(_PIECE)), F.struct(x["at"].alias("at"), F.lit("").alias("out")), put)
+            return _one(done, lambda d: F.struct(d["at"].alias("at"), F.concat(x["out"], F.array(d["out"])).alias("out")))
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), put, lambda x: x["out"])
+        pieces = F.sequence(F.lit(0), F.floor((F.size(own["shape"]) - 1) / _PIECE).cast("int"))
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), piece, lambda x: F.array_join(x["out"], ""))
+
+    return _one(F.struct(F.split(shape, "").alias("shape"), F.split(new, "").alias("new")), weave)
 
 
 def _digits(m: Column) -> Column:
@@ -103,9 +120,27 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}?(?=[ .(-])|^\+\d", 0)
-    rest = F.substring(m, F.length(country) + 1, F.length(m))
-    return F.concat(country, _one(rest, lambda r: _refill(r, permute_string(_digits(r), 10, "phone", key), r"\d")))
+    """The digits after the country code, permuted; how the number is grouped stays and doesn't matter."""
+
+    def dial(digits: Column) -> Column:
+        country = F.regexp_extract(digits, _COUNTRY, 0)
+        return F.concat(country, permute_string(F.substring(digits, F.length(country) + 1, F.length(digits)), 10, "phone", key))
+
+    return _refill(m, _one(_digits(m), dial), r"\d")
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Area and group are one side, the serial number the other; every value of both is valid."""
+    part = lambda first, n: F.substring(m, F.lit(first), F.lit(n)).cast("bigint")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    new = feistel(area * _GROUPS + part(5, 2) - 1, part(8, 4) - 1, _AREAS * _GROUPS, _SERIALS, "ssn", key)
+
+    def spell(x: Column) -> Column:
+        at = F.floor(x["left"] / _GROUPS)
+        number = lambda v, n: F.lpad(v.cast("string"), n, "0")
+        return F.concat_ws("-", number(at + F.when(at >= 665, 2).otherwise(1), 3), number(x["left"] % _GROUPS + 1, 2), number(x["right"] + 1, 4))
+
+    return _one(new, spell)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -139,8 +174,7 @@ def _email(m: Column, key: str) -> Column:
     name = F.lower(F.substring_index(m, "@", 1))
 
     def spell(s: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 12).cast("int")), lambda k: permute_string(F.substring(s, k * 12 + 1, F.lit(12)), 36, "email", key))
-        return F.array_join(pieces, "")
+        return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(".{1,12}"), F.lit(0)), lambda x: permute_string(x, 36, "email", key)), "")
 
     new = _one(F.regexp_replace(name, "[^a-z0-9]", ""), spell)
     return F.concat(_refill(name, new, "[a-z0-9]"), F.lit("@"), F.substring_index(m, "@", -1))
@@ -162,66 +196,97 @@ def kind_of(m: Column) -> Column:
 _PART = "array<struct<kind:string,value:string>>"
 
 
-def _split_run(run: Column, candidates) -> Column:
-    """array<struct<kind, value>>: a run of groups of digits, cut into valid cards and what lies between.
+def _cards(tokens: Column, candidates) -> Column:
+    """array<struct<first, last>>: the places of the valid cards in an array of groups of digits.
 
     candidates(text) are the strings at the end of a text that may be a card. Groups are taken from
-    the left; the first valid candidate that ends with a group is a card.
+    the left; the first valid candidate that ends with a group is a card. Each step looks at the last
+    19 groups and 40 characters, so that long runs take time in proportion to their length.
     """
 
-    def step(x: Column, token: Column) -> Column:
-        def tried(text: Column) -> Column:
-            valid = lambda c: (c != "") & (F.pmod(luhn_sum(_digits(c)), F.lit(10)) == 0)
-            found = F.get(F.filter(candidates(F.substring(text, -_NEARBY, _NEARBY)), valid), F.lit(0))
+    def step(x: Column, last: Column) -> Column:
+        begin = F.greatest(x["free"], last - 18)
+        text = F.substring(F.array_join(F.slice(tokens, begin + 1, last - begin + 1), ""), -_NEARBY, _NEARBY)
+        valid = lambda c: (c != "") & (F.pmod(luhn_sum(_digits(c)), F.lit(10)) == 0)
 
-            def taken(card: Column) -> Column:
-                before = F.substring(text, F.lit(1), F.length(text) - F.length(card))
-                parts = F.array(F.struct(F.lit(None).cast("string").alias("kind"), before.alias("value")), F.struct(F.lit("card").alias("kind"), card.alias("value")))
-                return F.struct(
-                    F.when(card.isNull(), x["out"]).otherwise(F.concat(x["out"], parts.cast(_PART))).alias("out"),
-                    F.when(card.isNull(), text).otherwise(F.lit("")).alias("rest"),
-                )
+        def taken(card: Column) -> Column:
+            first = last + 1 - F.size(F.split(card, "[ -]"))
+            found = F.array(F.struct(first.cast("int").alias("first"), last.alias("last")))
+            return F.when(card.isNull(), x).otherwise(F.struct(F.concat(x["found"], found).alias("found"), (last + 1).alias("free")))
 
-            return _one(found, taken)
+        return _one(_one(text, lambda t: F.get(F.filter(candidates(t), valid), F.lit(0))), taken)
 
-        return _one(F.concat(x["rest"], token), tried)
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("found"), F.lit(0).alias("free"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda x: x["found"])
 
-    def end(x: Column) -> Column:
-        return F.concat(x["out"], F.array(F.struct(F.lit(None).cast("string").alias("kind"), x["rest"].alias("value"))).cast(_PART))
 
-    start = F.struct(F.array().cast(_PART).alias("out"), F.lit("").alias("rest"))
-    return F.aggregate(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), start, step, end)
+def _split_run(run: Column, candidates, gap=None) -> Column:
+    """array<struct<kind, value>>: a run of groups of digits, cut into valid cards and what lies between.
+
+    gap, if given, cuts what lies between further.
+    """
+    other = lambda v: F.array(F.struct(F.lit(None).cast("string").alias("kind"), v.alias("value"))).cast(_PART)
+    between = gap or other
+    text = lambda tokens, a, b: F.array_join(F.slice(tokens, a + 1, F.greatest(b - a, F.lit(0))), "")
+
+    def cut(tokens: Column) -> Column:
+        def weave(found: Column) -> Column:
+            def one(card: Column, k: Column) -> Column:
+                before = F.when(k > 0, F.get(found, k - 1)["last"] + 1).otherwise(0)
+
+                def sealed(own: Column) -> Column:
+                    mark = F.regexp_extract(own, "^[ -]?", 0)
+                    number = F.struct(F.lit("card").alias("kind"), F.substring(own, F.length(mark) + 1, F.length(own)).alias("value"))
+                    return F.concat(between(text(tokens, before, card["first"])), other(mark), F.array(number).cast(_PART))
+
+                return _one(text(tokens, card["first"], card["last"] + 1), sealed)
+
+            end = F.when(F.size(found) > 0, F.get(found, F.size(found) - 1)["last"] + 1).otherwise(0)
+            return F.concat(F.flatten(F.transform(found, one)), between(text(tokens, end, F.size(tokens))))
+
+        return _one(_cards(tokens, candidates), weave)
+
+    return _one(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), cut)
 
 
 def cards_in(run: Column) -> Column:
     """array<struct<kind, value>> of a run: cards in a usual grouping first, then any 13 to 19 digits between separators."""
-    usual = _split_run(run, lambda t: F.array(F.regexp_extract(t, _USUAL, 1)))
     any_ = lambda t: F.array(*[F.regexp_extract(t, rf"(?:^|[ -])(\d(?:[ -]?\d){{{k - 1}}})$", 1) for k in range(19, 12, -1)])
-    rest = lambda v: F.length(_digits(v)) >= 13
-    return F.flatten(F.transform(usual, lambda p: F.when(p["kind"].isNull() & rest(p["value"]), _split_run(p["value"], any_)).otherwise(F.array(p))))
+
+    def gap(text: Column) -> Column:
+        whole = F.array(F.struct(F.lit(None).cast("string").alias("kind"), text.alias("value"))).cast(_PART)
+        return F.when(F.length(_digits(text)) >= 13, _split_run(text, any_)).otherwise(whole)
+
+    return _split_run(run, lambda t: F.array(F.regexp_extract(t, _USUAL, 1)), lambda v: _one(v, gap))
 
 
 def parts_of(m: Column) -> Column:
     """array<struct<kind, value>>: a match of the pattern, cut where cards stand beside other digits; kind is null for what stays."""
-    run = m.rlike(r"^\d[\d -]*$") & (F.length(_digits(m)) >= 13)
-    return F.when(run, cards_in(m)).otherwise(F.array(F.struct(kind_of(m).alias("kind"), m.alias("value"))))
+    run = m.rlike(r"^\d[\d -]*+$") & (F.length(_digits(m)) >= 13)
+    part = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    marks = F.regexp_extract(m, "^[._%+-]*+", 0)  # before the name of a mail address
+    mail = F.array(part(F.lit(None).cast("string"), marks), part(F.lit("email"), F.substring(m, F.length(marks) + 1, F.length(m))))
+    return F.when(m.contains("@"), mail.cast(_PART)).when(run, cards_in(m)).otherwise(F.array(part(kind_of(m), m)).cast(_PART))
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
-    ssn = _refill(m, permute_string(_digits(m), 10, "ssn", key), r"\d")
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key))
-        .when(kind == "phone", _phone(m, key)).when(kind == "ssn", ssn).when(kind == "card", _card(m, key)).otherwise(m)
+        .when(kind == "phone", _phone(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "card", _card(m, key)).otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with the text's personal values replaced, and found array<struct<kind, value, pseudonym>>.
 
-    Matches that aren't valid (no such day, wrong check digit) stay. A null text stays null with
-    nothing found. All rows and other columns stay; a column named found is replaced. The same
-    value has the same pseudonym in each document; a pseudonym is valid in its format.
+    The key is a secret of the deployment; without one this is an error. Matches that aren't valid (no
+    such day, wrong check digit) stay. A null text stays null with nothing found, an empty one empty;
+    texts of any length take time in proportion to it. All rows, repeated ones too, and other columns
+    stay; a column named found is replaced. The same value has the same pseudonym in each document, and a
+    pseudonym is a valid value of its format. No documents give no rows.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     values = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
     marked = docs.drop("found").withColumn("found", F.coalesce(values, F.array().cast("array<string>")))
     marked = marked.withColumn("found", F.transform("found", parts_of))
@@ -232,8 +297,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     return marked.withColumn("text", F.when(F.size("found") > 0, woven).otherwise(F.col("text"))).withColumn("found", F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull()))
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """One row per document: doc_id, n_found, kinds (count by kind) and text, the pseudonymised text."""
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """One row per document: doc_id, n_found, n_<kind> for each kind, and text, the pseudonymised text.
+
+    Nulls, empty and long texts and repeated rows as in pseudonymise; a null doc_id stays null. Other
+    columns are ignored.
+    """
     done = pseudonymise(docs.select("doc_id", "text"), key)
     n = [(F.size("found") - F.size(F.array_remove("found.kind", k))).alias(f"n_{k}") for k in PATTERNS]
     return done.select("doc_id", F.size("found").alias("n_found"), *n, "text")

@@ -11,6 +11,9 @@ from graphweft.llm import bpe, decontam, fingerprint, langid, linededup, pii, qu
 from graphweft.llm.common import table
 
 
+PII_KEY = "spark.graphweft.pii.key"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +36,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    # the fallback is for the synthetic tables only; a deployment sets its secret
+    return pii.report(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, "synthetic tables"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
