@@ -14,17 +14,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.llm.common import materialise
 
 LEAST = 5  # one edit in five words is a similarity of 0.8
 MOST_BROADCAST = 500_000  # rows of 50 bytes
+HOT = 10_000  # a line that is more than this part of all lines is hot: there are fewer such lines
 _PIECE = 512
 
 
+def _order(doc_id: Column, kind: T.DataType) -> Column:
+    """What documents are ordered by: whole numbers as such, other ids as their strings; a null id comes last."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(doc_id.cast("bigint"), F.lit((1 << 63) - 1))
+    return F.coalesce(F.concat(F.lit("0"), doc_id.cast("string")), F.lit("1"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with ord and h, which order documents; a null id comes last, a null text is empty."""
-    return docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """(row, ord, h, text): the other columns in one struct, what orders documents, and a hash of the text; a null text is empty."""
+    order = _order(F.col("doc_id"), docs.schema["doc_id"].dataType)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), order.alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
@@ -135,7 +146,8 @@ def _near(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> DataFram
 def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(ord, h, drops array<int>): for each document with repeated lines, the numbers of those lines.
 
-    docs has ord, h and text. Only hashes are shuffled to find the lines, not texts.
+    docs has ord, h and text. Only hashes are shuffled to find the lines, not texts. Lines with many copies
+    meet their first in a broadcast, the others in a shuffle.
     """
     lines = _words(_raw_lines(docs))
     p = F.when(F.col("n") >= 2, _half(F.greatest("n", F.lit(2)))).otherwise(F.lit(1))
@@ -149,39 +161,62 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     distinct = hashed.groupBy("lh", "n", "kp", "ks", "more").agg(_first().alias("first"), F.count("*").alias("copies"))
     distinct = materialise(spark, distinct, "distinct-lines")
     near = _near(spark, docs, distinct).withColumn("near", F.lit(True))
-    doubtful = distinct.join(near, ["lh", "n", "kp"], "left").filter("near or copies > 1").select("lh", "n", "kp", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    here = F.struct("ord", "h", "line_no")
-    gone = hashed.join(doubtful, ["lh", "n", "kp"]).filter(F.col("near") | (here != F.col("first")))
+    joined = distinct.join(near, ["lh", "n", "kp"], "left").filter("near or copies > 1")
+    doubtful = joined.select("lh", "n", "kp", F.struct("first", F.coalesce("near", F.lit(False)).alias("near")).alias("line"), "copies")
+    doubtful = materialise(spark, doubtful, "doubtful-lines")
+    least = hashed.count() // HOT
+    hot = doubtful.filter(F.col("copies") > least).select("lh", "n", "kp", F.col("line").alias("hot"))
+    marked = hashed.join(F.broadcast(hot), ["lh", "n", "kp"], "left")  # fewer than HOT rows: no task gets all copies of a line
+    common = marked.filter("hot is not null").select("ord", "h", "line_no", F.col("hot").alias("line"))
+    rare = marked.filter("hot is null").join(doubtful.filter(F.col("copies") <= least), ["lh", "n", "kp"]).select("ord", "h", "line_no", "line")
+    gone = common.unionAll(rare).filter(F.col("line.near") | (F.struct("ord", "h", "line_no") != F.col("line.first")))
     return gone.groupBy("ord", "h").agg(F.collect_set("line_no").alias("drops"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any other columns) with n_lines, n_dropped, and the text without repeated lines.
-
-    Lines without a word are never repeated lines. A null or empty text stays as it is. Rows with
-    equal id and text are one document: all keep the same lines. A null id comes after all others.
-    n_chars, if there is one, is counted anew for the texts that change.
-    """
+def _without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_dropped): docs with their texts cut; row holds the other columns."""
     keyed = _keyed(docs)
-    drops = duplicate_lines(spark, keyed)
-    joined = keyed.join(drops, ["ord", "h"], "left")
+    joined = keyed.join(duplicate_lines(spark, keyed), ["ord", "h"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     # array_except works by hash: linear in the lines, whatever their number
     text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("drops"), F.lit(0))).withColumn("new_text", text)
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("new_text")}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[out[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return joined.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"))
+
+
+def _as_before(docs: DataFrame, done: DataFrame, columns: list[str]) -> list[Column]:
+    """The named columns of docs from done; n_chars is counted anew for the texts that changed."""
+    out = {c: F.col(f"row.`{c}`") for c in columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return [out[c].alias(c) for c in columns]
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any other columns) with n_lines, n_dropped, and the text without repeated lines.
+
+    Lines without a word are never repeated lines. A null or empty text stays as it is, and has no or
+    one line. Rows with equal id and text are one document: all keep the same lines. A null id comes
+    after all others. Other columns keep their values whatever their names, but for n_lines and n_dropped, which
+    are replaced, and n_chars, which is counted anew for the texts that change. No documents give no rows.
+    """
+    done = _without_repeats(spark, docs)
+    return done.select(*_as_before(docs, done, [c for c in docs.columns if c not in ("n_lines", "n_dropped")]), "n_lines", "n_dropped")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped and text, what stays of it."""
+    """One row per document: doc_id, n_lines, n_dropped and text, what stays of it.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in dedup_lines; other columns are ignored.
+    """
     return dedup_lines(spark, docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def keep_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with repeated lines cut from the texts; documents of which nothing but white space is left go."""
-    done = dedup_lines(spark, docs)
-    return done.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    """docs, all its columns, with repeated lines cut from the texts.
+
+    Documents of which cutting leaves nothing but white space go; those that were null, empty or white space
+    before stay, as do repeated rows. Otherwise as dedup_lines.
+    """
+    done = _without_repeats(spark, docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return done.select(*_as_before(docs, done, docs.columns))
