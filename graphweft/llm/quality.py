@@ -34,7 +34,7 @@ def statistics(text: str | None) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return np.zeros(30)
+        return np.zeros(29)
     each = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     kinds = np.bincount(_CLASSES, weights=each, minlength=9) / len(raw)
     n = len(words)
@@ -53,7 +53,7 @@ def statistics(text: str | None) -> np.ndarray:
             np.log1p(n), np.log1p(len(lines)), lengths.mean(), np.log1p(lengths.max()), lengths.std(), *kinds[1:9],
             len(count) / n, top / n, pairs / max(1, n - 1), float(-(share * np.log(share)).sum()), len(set(lines)) / len(lines), n / len(lines) / (10 + n / len(lines)),
             float((_CLASSES[ends] == 7).mean()), float((_CLASSES[ends] == 6).mean()), float((lengths == 1).mean()), shouting / n, each[ord("|")] / n, each[_MARKS].sum() / n,
-            float(-(chars * np.log(chars)).sum()), lower.count(b"http") / n, lower.count(b"lorem") / n, sum(map(bytes.isdigit, words)) / n, float(raw.count(b"\n\n")) / len(lines),
+            float(-(chars * np.log(chars)).sum()), lower.count(b"http") / n, sum(map(bytes.isdigit, words)) / n, float(raw.count(b"\n\n")) / len(lines),
         ]
     )
 
@@ -79,21 +79,29 @@ def fourier(stats: np.ndarray, model: dict) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit: pooled neighbours, each at its mean x."""
-    order = np.argsort(x, kind="stable")
+    """Knots of the non-decreasing least-squares fit: pooled neighbours, each at its mean x, levels rising.
+
+    Equal x are pooled first, so that the order of the rows doesn't matter. The levels are drawn towards one
+    half by the weight of a single row, which keeps their order.
+    """
+    at, where = np.unique(x, return_inverse=True)
+    n = np.bincount(where, minlength=len(at)).astype(float)
+    sums = np.bincount(where, weights=y, minlength=len(at))
     blocks: list[list[float]] = []  # sum of y, weight, sum of x
-    for a, b in zip(x[order], y[order]):
-        blocks.append([b, 1.0, a])
+    for value, weight, total in zip(at.tolist(), n.tolist(), sums.tolist()):
+        blocks.append([total, weight, value * weight])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
-    return np.array([s / n for _, n, s in blocks]), np.array([(s + 0.5) / (n + 1) if n > 1 else s for s, n, _ in blocks])
+    levels = np.array([total / weight for total, weight, _ in blocks])
+    return np.array([value / weight for _, weight, value in blocks]), (levels * len(x) + 0.5) / (len(x) + 1)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
     """The model. At most MOST_LABELLED labelled rows outside the held-out fold are learnt from, one
-    for each distinct text. One in five of them fits the calibration, the rest the ridge. Without
-    labels every score is one half."""
+    for each distinct text. One in five of them fits the calibration, the rest the ridge; if that leaves
+    none to calibrate with, all do. Without labels every score is one half; labels of one kind only give
+    all texts about that kind's score. Null and empty texts are learnt from like any other."""
     sample = distinct_text_sample(docs, bounded_labels(labels, "quality", FOLDS, HELD_OUT, MOST_LABELLED))
     sample = sample.select("doc_id", (F.col("label") > 0).cast("int").alias("label")).collect()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -127,7 +135,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
     a = sum(np.frombuffer(p["a"]).reshape(FEATURES + 1, -1) for p in parts)
     b = sum(np.frombuffer(p["b"]) for p in parts)
     model["weights"] = np.linalg.solve(a + RIDGE * np.eye(len(b)), b)
-    held = rows.filter("calibrating").select("label", "stats").collect() or rows.select("label", "stats").limit(100).collect()
+    held = rows.filter("calibrating").select("label", "stats").collect() or rows.select("label", "stats").collect()  # MOST_LABELLED rows at most
     rows.unpersist()
     raw = fourier(np.array([r["stats"] for r in held]), model) @ model["weights"]
     model["knots"], model["levels"] = isotonic(raw, np.array([r["label"] for r in held], float))
@@ -149,13 +157,19 @@ def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
                 scores = np.full(batch.num_rows, 0.5)
             else:
                 raw = fourier(np.array(batch.column(1).to_pylist()), model) @ model["weights"]
-                scores = np.clip(np.interp(raw, model["knots"], model["levels"]) + 1e-4 * (np.clip(raw, 0, 1) - 0.5), 0, 1)  # ties keep the ridge's order
+                # within a level the ridge's order stays
+                scores = np.clip(np.interp(raw, model["knots"], model["levels"]) + 1e-4 * (np.clip(raw, 0, 1) - 0.5), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     return stats.mapInArrow(rate, docs.select("doc_id").withColumn("score", F.lit(0.0)).schema)
 
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. A null doc_id counts as held out."""
+    """One row per document: doc_id, held_out, score, predicted.
+
+    A null doc_id counts as held out. A null text is empty, and an empty one is scored by its zero
+    statistics; whole texts of any length count. Repeated rows are scored each, and alike. No documents
+    give no rows. Other columns are ignored.
+    """
     scored = score(spark, docs, fit(spark, docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
