@@ -23,7 +23,6 @@ from graphweft.llm.common import bounded_labels, distinct_text_sample, held_out,
 
 FOLDS, HELD_OUT = 5, 0
 MOST_LABELLED = 40_000  # labelled rows to learn from, at most
-MOST_TERMS = 20_000  # words in the lexicon, at most
 PRIOR = 1_000.0  # pseudo-documents of the corpus prior
 LEAST_Z = 3.0
 LOSS = 0.35
@@ -90,7 +89,11 @@ def corpus_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> list[tuple[str, float, float]]:
-    """(word, log-odds, share among the clean words) of the words that mark toxic documents."""
+    """(word, log-odds, share among the clean words) of the words that mark toxic documents.
+
+    Only words of the bounded sample's toxic documents, several of which must hold a word for it to reach
+    LEAST_Z, can be in the list: it doesn't grow with the corpus.
+    """
     totals = counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     prior = F.col("w.n") / F.col("s.n") * PRIOR + 0.5
     t, c = F.col("toxic") + prior, F.col("clean") + prior
@@ -100,7 +103,7 @@ def lexicon(counts: DataFrame) -> list[tuple[str, float, float]]:
         counts.filter("toxic > 0").alias("w").crossJoin(F.broadcast(totals.filter("n is not null and t > 0 and c > 0")).alias("s"))  # one row
         .select("word", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"), (c / size_c).alias("share"))
     )
-    best = scored.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MOST_TERMS)
+    best = scored.filter(F.col("z") >= LEAST_Z).orderBy("word")
     return [(r["word"], r["odds"], r["share"]) for r in best.collect()]
 
 
@@ -138,20 +141,22 @@ def _scan(frame: DataFrame, words, column: str = "text") -> DataFrame:
 
 
 def _features(lam: float, log_k: float):
-    """Columns: bits of the best segment, and the logarithm of the bits of all segments together."""
+    """Columns: the bits of the best segment, drawn below 40 without losing their order, and the logarithm of the bits of all."""
     chance = F.log(F.greatest("n_tokens", F.lit(1)).cast("double")) + log_k
     bits = F.transform("segments", lambda s: F.greatest(s["score"] * lam - chance, F.lit(0.0)))
     best = F.coalesce(F.array_max(bits), F.lit(0.0))
     whole = F.log1p(F.aggregate(bits, F.lit(0.0), lambda a, b: a + b))
-    return F.least(best, F.lit(40.0)), whole
+    return best * 40.0 / (best + 40.0), whole
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method; the intercept comes first. One class only gives its smoothed share."""
+    """Newton's method; the intercept comes first. No rows give a quarter for everything: nothing is known to be toxic."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    share = (y.sum() + 0.5) / (len(y) + 2)
     w[0] = math.log(share / (1 - share))
+    if not len(y):
+        return w
     penalty = np.eye(len(w)) * ridge
     penalty[0, 0] = 1e-6
     for _ in range(30):
@@ -168,7 +173,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
 
     At most MOST_LABELLED labelled rows outside the held-out fold are learnt from, one for each
     distinct text; the prior counts all documents. Without labels of both kinds the lexicon is
-    empty and every document gets the labels' smoothed share.
+    empty and every document gets the toxic labels' share, without labels a quarter.
     """
     small_batches(spark)
     sample = distinct_text_sample(docs, bounded_labels(labels, "toxic", FOLDS, HELD_OUT, MOST_LABELLED)).collect()
@@ -214,7 +219,12 @@ def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that score 0.5 or more; the columns stay as they are."""
+    """docs without the documents that score 0.5 or more; the columns stay as they are.
+
+    Null, empty and long texts and repeated rows are scored each as in score, so that null and empty ones stay
+    where clean-looking texts do. Other columns keep their values whatever their names. No labels, or clean
+    ones only, leave every document; toxic ones only leave none. No documents give no rows.
+    """
     model = fit(spark, docs, labels)
     rest = [c for c in docs.columns if c != "text"]
     carried = docs.select("text", F.struct(*rest).alias("row"))  # the text once, in and out of Python
