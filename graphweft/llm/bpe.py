@@ -4,13 +4,15 @@ Each block of documents is cut into pre-tokens; a pre-token's position is kept a
 block's word list. The block's distinct words are dealt by word into buckets, one packed row for
 each bucket, so that equal words of all blocks meet in a task and each is encoded once; the ids go
 back to their block and are put in place by position. The number of buckets follows the number of
-input partitions, so a bucket has about as many words whatever the size of the corpus.
+input partitions up to MOST_BUCKETS, so that the rows shuffled grow in proportion to the blocks; what a
+task keeps of a bucket's words is bounded by MOST_KNOWN.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -25,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import once_per_worker, small_batches, tidy
+from graphweft.llm.common import small_batches, tidy
 
 BLOCK_CHARS = 16_000_000
+MOST_BUCKETS = 4096
+MOST_KNOWN = 1_000_000  # words of a bucket whose ids a task keeps; beyond, it starts anew
+_LONG = 48  # bytes of a word from which merges are kept in a heap
+_NONE = 1 << 31  # above every rank
 _BITS_AT_ONCE = 1 << 17
 _ROWS = 500
 _PLACED_AT_ONCE = 250_000
@@ -39,6 +45,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: a word that is a token is that token; else, of all neighbouring parts that
+    together are a token, those of the lowest rank, the leftmost first, are merged for as long as there are any."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) >= _LONG:
+        return _encode_long(word, ranks)
+    parts = [word[k : k + 1] for k in range(len(word))]
+    get = ranks.get
+    pairs = [get(word[k : k + 2], _NONE) for k in range(len(word) - 1)]  # the rank of each part with the next
+    while pairs and (low := min(pairs)) != _NONE:
+        k = pairs.index(low)
+        parts[k] += parts.pop(k + 1)
+        del pairs[k]
+        if k < len(pairs):
+            pairs[k] = get(parts[k] + parts[k + 1], _NONE)
+        if k:
+            pairs[k - 1] = get(parts[k - 1] + parts[k], _NONE)
+    return [ranks[x] for x in parts]
+
+
+def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As encode_word, in n log n: a heap of (rank, place, end) over a chain of parts; stale entries are passed over."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins here
+    heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
+    heapq.heapify(heap)
+
+    def offer(at: int) -> None:
+        if at >= 0 and end[at] < n and (r := ranks.get(word[at : end[end[at]]])) is not None:
+            heapq.heappush(heap, (r, at, end[end[at]]))
+
+    while heap:
+        _, at, upto = heapq.heappop(heap)
+        middle = end[at]
+        if middle < 0 or middle >= n or end[middle] != upto:
+            continue
+        end[at], end[middle] = upto, -1
+        if upto < n:
+            before[upto] = at
+        offer(at)
+        offer(before[at])
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return out
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2^31: their bit lengths, compressed, and then the bits below the first, by length."""
     numbers = numbers.astype(np.uint32) + np.uint32(1)
@@ -153,9 +209,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast((ranks, pattern))
-    vocabulary_id = vocabulary._jbroadcast.id()
     texts = docs.select(F.col("doc_id").cast("string"), "text")
-    buckets = 4 * max(1, texts.rdd.getNumPartitions())
+    buckets = min(MOST_BUCKETS, 4 * max(1, texts.rdd.getNumPartitions()))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -173,13 +228,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket's words are kept until it ends, and each is encoded once."""
-        import tiktoken
-
-        def build() -> tiktoken.Encoding:
-            ranks, pattern = vocabulary.value
-            return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-        single = once_per_worker(("bpe", vocabulary_id), build)._encode_single_piece
+        own = vocabulary.value[0]
         now, known = None, {}
         for batch in batches:
             out = []
@@ -187,12 +236,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
                 if bucket == -1:
                     out.append(data)
                     continue
-                if bucket != now:
+                if bucket != now or len(known) > MOST_KNOWN:
                     now, known = bucket, {}
                 answers = []
                 for word in _unpack_words(data):
                     if (ids := known.get(word)) is None:
-                        known[word] = ids = np.array(single(word), "<u4").tobytes()
+                        known[word] = ids = np.array(encode_word(word, own), "<u4").tobytes()
                     answers.append(ids)
                 out.append(_pack_words(answers))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=_MIXED_ARROW)
@@ -291,10 +340,17 @@ def _digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: b
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256.
+
+    Null, empty and long texts, repeated rows, null ids and empty tables as in encode.
+    """
     return _digests(docs, ranks, pattern, False)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """The last step of a corpus: doc_id, n_tokens, ids and the sha256 of the decoded text."""
+    """The last step of a corpus: doc_id, n_tokens, ids and the sha256 of the decoded text.
+
+    Null, empty and long texts, repeated rows, null ids and empty tables as in encode; columns of docs but
+    doc_id and text are left out.
+    """
     return _digests(docs, ranks, pattern, True)
