@@ -118,12 +118,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "text", F.col("ahead.doc_id").alias("next_id"), F.coalesce("ahead.text", F.lit("")).alias("next_text"))
 
 
-def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def report(spark: SparkSession, docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
 
     The edited text has its last third replaced by as many first characters of the next document's
-    text. A null text is empty; an empty text has a fingerprint of zeros, and two empty texts are
-    alike. Repeated rows give one row; two texts under one id give two. Other columns are ignored.
+    text; n_near is, for the documents whose id is divisible by 20, how many other fingerprints the block
+    tables find within `radius` bits, and null for the rest. A null text is empty; an empty text has a
+    fingerprint of zeros, and two empty texts are alike. Repeated rows give a row each, all with the next
+    document of the last of them; two texts under one id give two. Other columns are ignored. No documents
+    give no rows.
     """
     pairs = with_next(docs)
     third = F.floor(F.col("n_chars") / 3).cast("int")
@@ -142,10 +145,19 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = materialise(spark, both, "fingerprints")
     ahead = both.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("hi0").alias("to_hi"), F.col("lo0").alias("to_lo"))
     joined = both.join(ahead, (F.col("next_id").eqNullSafe(F.col("to_id"))) & (F.col("next_h") == F.col("to_h")), "left")
+    queried = F.col("doc_id").cast("string").cast("decimal(38,0)") % 20 == 0
+    index = both.select(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")).distinct()
+    asked = both.filter(queried).select(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")).distinct()
+    near = search(asked, index, radius).filter("distance > 0 or query_hi <> hi or query_lo <> lo").groupBy("query_hi", "query_lo").agg(F.count("*").alias("n_near"))
+    joined = joined.join(near, (F.col("hi0") == F.col("query_hi")) & (F.col("lo0") == F.col("query_lo")), "left")
+    again = docs.groupBy(F.col("doc_id").alias("again_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("again_h")).agg(F.count("*").alias("copies")).filter("copies > 1")
+    joined = joined.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("h") == F.col("again_h")), "left")
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("hi0"), F.col("lo0")).alias("fingerprint"), as_hex(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
         likeness(F.col("hi0"), F.col("lo0"), F.col("hi1"), F.col("lo1")).alias("near_edited"),
         F.coalesce(likeness(F.col("hi0"), F.col("lo0"), F.col("to_hi"), F.col("to_lo")), F.lit(0.0)).alias("near_next"),
+        F.when(queried, F.coalesce("n_near", F.lit(0)).cast("bigint")).alias("n_near"),
     )
 
 
