@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,16 +13,28 @@ def stable_id(*parts: Column) -> Column:
 
 
 def glob_pattern(glob: str, star_crosses: bool = True) -> str:
-    """An anchored regular expression; a star crosses slashes in one dialect, only ** does in the other."""
+    """An anchored regular expression; a star crosses slashes in one dialect, only ** does in the other.
+
+    Where a star crosses, a question mark is any character and brackets are a class, with ! for its opposite;
+    in the other dialect both stand for themselves.
+    """
     out = ""
-    i = 0
-    while i < len(glob):
-        if glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            out, i = out + (".*" if star_crosses else "[^/]*"), i + 1
+    rest = glob
+    while rest:
+        here, rest = rest[0], rest[1:]
+        closing = rest.find("]", 1) if rest[:1] != "!" else rest.find("]", 2)
+        if here == "*" and rest[:1] == "*":
+            out, rest = out + ".*", rest[1:]
+        elif here == "*":
+            out += ".*" if star_crosses else "[^/]*"
+        elif star_crosses and here == "?":
+            out += "."
+        elif star_crosses and here == "[" and closing > 0:
+            inner, rest = rest[:closing], rest[closing + 1 :]
+            opposite = inner.startswith("!")
+            out += "[" + "^" * opposite + re.sub(r"([\\\[\]^&])", r"\\\1", inner[opposite:]) + "]"
         else:
-            out, i = out + ("." if glob[i] == "?" else "\\" + glob[i] if not glob[i].isalnum() else glob[i]), i + 1
+            out += re.escape(here) if here != "/" else here
     return f"^{out}$"
 
 

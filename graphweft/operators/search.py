@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,44 @@ def lexical(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
+MOST_TOKENS = 8
+
+
+def query_tokens(query: str) -> list[str]:
+    """What a query asks for: its first MOST_TOKENS runs of letters and digits, in small letters."""
+    return re.findall("[a-z0-9]+", query.lower())[:MOST_TOKENS]
+
+
 def prefix_tokens(docs: DataFrame, prefixes: list[str]) -> DataFrame:
-    """(doc_id, hits): documents with a token for each prefix, and how many tokens match."""
-    tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).filter("token <> ''")
-    wanted = [F.startswith(F.col("token"), F.lit(p)) for p in prefixes]
-    each = tokens.groupBy("doc_id").agg(*(F.count_if(w).alias(f"h{k}") for k, w in enumerate(wanted)))
-    ok, hits = F.lit(True), F.lit(0)
+    """(doc_id, hits): documents with a token for each prefix, and how many tokens match; within the row, no shuffle."""
+    tokens = F.split(F.lower("text"), "[^a-z0-9]+")
+    counts = F.transform(F.array(tokens), lambda own: F.array(*[F.size(F.filter(own, lambda t: F.startswith(t, F.lit(p)))) for p in prefixes]))[0]
+    counted = docs.select("doc_id", counts.alias("counts")).filter(F.forall("counts", lambda n: n > 0))
+    return counted.select("doc_id", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("hits"))
+
+
+def full_text(docs: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
+    """(key, score): the best documents that hold a token for each prefix of the query, by BM25.
+
+    A prefix counts as a term: its frequency is the number of tokens that it begins, its document frequency
+    the number of documents that hold one. One pass counts in each row; the totals are one row. A query
+    without tokens finds nothing.
+    """
+    prefixes = query_tokens(query)
+    if not prefixes:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    own = F.transform(F.array(tokens), lambda ts: F.struct(F.size(ts).alias("n"), F.array(*[F.size(F.filter(ts, lambda t: F.startswith(t, F.lit(p)))) for p in prefixes]).alias("tf")))[0]
+    counted = docs.select(key, own.alias("own")).select(key, "own.n", "own.tf")
+    held = [F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(prefixes))]
+    totals = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *held)  # one row
+    hits = counted.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(totals))
+    score = F.lit(0.0)
     for k in range(len(prefixes)):
-        ok, hits = ok & (F.col(f"h{k}") > 0), hits + F.col(f"h{k}")
-    return each.filter(ok).select("doc_id", hits.alias("hits"))
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        tf = F.col("tf")[k]
+        score = score + idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
+    return hits.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def nearest(vectors: DataFrame, query_id: int, k: int) -> DataFrame:

@@ -2,48 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def alignment_distance(a: str, b: str, most: int) -> int:
-    """Edits between two strings, a swap of neighbours counting as one; most + 1 stands for more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
-            if two and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, two[j - 2] + 1)
-            now.append(cost)
-        if min(now) > most:
-            return most + 1
-        two, one = one, now
-    return min(one[-1], most + 1)
+from graphweft.functions.names import leaf_of
 
 
-def suggestions(nodes: DataFrame, name: str, limit: int) -> DataFrame:
-    """(label, rank): the best labels for a missed name; equal, prefix, contained, then by edits.
+def alignment_distance(text: Column, name: str, most: int) -> Column:
+    """Edits between a column and a name, a swap of neighbours counting as one; most + 1 stands for more.
 
-    Edits are bounded by a sixth of the name's length, from one to three. Only distinct labels
-    of about the name's length reach Python.
+    A column expression: one fold over the characters of the text carries the last two rows of the table of
+    distances. Only the band of 2 most + 1 cells around the diagonal is filled: a cell further off costs more.
     """
-    q, most = name.lower(), min(3, max(1, len(name) // 6))
+    far = F.lit(most + 1)
+    n = len(name)
+    chars = F.split(text, "")
+
+    def cell(row: Column, j: int | Column) -> Column:
+        return F.get(row, F.lit(j) if isinstance(j, int) else j)
+
+    def fold(state: Column, x: Column) -> Column:
+        i, one, two = state["i"], state["one"], state["two"]
+
+        def fill(made: Column, j: Column) -> Column:
+            same = F.get(F.split(F.lit(name), ""), j - 1)
+            step = F.least(cell(one, j) + 1, F.get(made, F.size(made) - 1) + 1, cell(one, j - 1) + (x != same).cast("int"))
+            swap = (i > 0) & (j > 1) & (x == F.get(F.split(F.lit(name), ""), j - 2)) & (state["last"] == same)
+            value = F.when(swap, F.least(step, F.coalesce(cell(two, j - 2), far) + 1)).otherwise(step)
+            return F.concat(made, F.array(F.when(F.abs(j - i - 1) > most, far).otherwise(F.least(value, far))))
 
-    @F.pandas_udf("int")
-    def edits(labels: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in labels:
-            yield own.map(lambda x: alignment_distance(x, q, most)).astype("int32")
+        row = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(F.least(i + 1, far)), fill) if n else F.array(F.least(i + 1, far))
+        return F.struct((i + 1).alias("i"), row.alias("one"), one.alias("two"), x.alias("last"))
 
+    first = F.lit([min(j, most + 1) for j in range(n + 1)]).cast("array<int>")
+    start = F.struct(F.lit(0).alias("i"), first.alias("one"), first.alias("two"), F.lit("").alias("last"))
+    folded = F.aggregate(chars, start, fold, lambda s: cell(s["one"], n))
+    gap = F.abs(F.length(text) - n)
+    return F.when(gap > most, far).when(F.length(text) == 0, F.least(F.lit(n), far)).otherwise(folded)
+
+
+def suggestions(nodes: DataFrame, name: str, limit: int) -> DataFrame:
+    """(label, rank): the best labels for a missed name; equal, its leaf, prefix, contained, then by edits of the leaf.
+
+    The leaf is what follows the last separator. Edits are bounded by a sixth of the name's length, from one
+    to three; a label whose plain edit distance is twice the bound or more can't be near and isn't folded.
+    """
+    q = name.lower()
+    leaf = q.replace("::", ".").rsplit(".", 1)[-1]
+    most = min(3, max(1, len(leaf) // 6))
     label = F.lower("label")
-    told = nodes.select("label").distinct().withColumn("rank", F.when(label == q, 0).when(label.startswith(q), 2).when(label.contains(q), 3))
+    own = F.lower(leaf_of(F.col("label")))
+    told = nodes.select("label").distinct().withColumn("rank", F.when(label == q, 0).when(own == leaf, 1).when(own.startswith(leaf), 2).when(label.contains(leaf), 3))
     plain = told.filter("rank is not null")
-    near = told.filter(F.col("rank").isNull() & (F.abs(F.length("label") - len(q)) <= most)).withColumn("rank", edits(label) + 4)
+    near = told.filter(F.col("rank").isNull() & (F.levenshtein(own, F.lit(leaf), 2 * most) >= 0))
+    near = near.withColumn("rank", alignment_distance(own, leaf, most) + 4)
     return plain.unionByName(near.filter(F.col("rank") <= 4 + most)).orderBy("rank", "label").limit(limit)
 
 

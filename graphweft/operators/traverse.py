@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.operators.arguments import depth_of
 from graphweft.operators.lineage import cut
 
 
-def reach(edges: DataFrame, seeds: list[str], relations: list[str] | None, depth: int, incoming: bool = True) -> DataFrame:
+def reach(edges: DataFrame, seeds: list[str] | DataFrame, relations: list[str] | None, depth: int, incoming: bool = True) -> DataFrame:
     """Edges that lead to the seeds (or from them) within `depth` hops, each with its smallest depth.
 
-    The nodes seen so far are kept out of the next frontier, so cycles end and no path is counted
-    twice. Each frontier is written to the shared folder: the plan grows by one join a hop, and a
-    frontier is broadcast only if its size on disk allows.
+    A node is in one frontier only, the first that meets it: cycles end, and each edge is found once. A hop's
+    edges are written to the shared folder once; the next frontier is read from there, and is broadcast only
+    if its size allows. The depth is held to 1 to 10.
     """
+    depth = depth_of(depth)
     here, there = ("to_id", "from_id") if incoming else ("from_id", "to_id")
-    own = edges if relations is None else edges.filter(F.col("relation").isin(relations))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(s,) for s in seeds], "node string")
-    seen, found = frontier, None
-    for hop in range(1, min(depth, 10) + 1):
-        step = own.join(frontier, own[here] == frontier["node"]).drop("node").withColumn("depth", F.lit(hop))
-        found = step if found is None else found.unionByName(step)
+    own = edges.select("from_id", "to_id", "relation", *(["confidence", "provenance", "source_line"] if "confidence" in edges.columns else []))
+    if relations is not None:
+        own = own.filter(F.col("relation").isin(relations))
+    if not isinstance(seeds, DataFrame):
+        seeds = edges.sparkSession.createDataFrame([(s,) for s in seeds], "node string")
+    frontier = seen = seeds.select("node").distinct()
+    found = None
+    for hop in range(1, depth + 1):
+        step = own.join(frontier, own[here] == frontier["node"], "left_semi").withColumn("depth", F.lit(hop))
         if hop < depth:
-            frontier = cut(step.select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti"))
+            step = cut(step)
+            frontier = step.select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti")
+            if hop > 1 or depth > 2:
+                frontier = cut(frontier)
             seen = seen.unionByName(frontier)
-    return found.groupBy("from_id", "to_id", "relation").agg(F.min("depth").alias("depth"))
+        found = step if found is None else found.unionByName(step)
+    return found
 
 
 def per_depth(edges: DataFrame, seeds: list[str], relations: list[str], depth: int, incoming: bool) -> DataFrame:

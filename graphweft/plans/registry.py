@@ -9,7 +9,7 @@ from graphweft import model
 from graphweft.functions import scalars
 from graphweft.operators import relational as rel
 from graphweft.operators import search, traverse
-from graphweft.plans import closures, merges, ranking, verbs  # noqa: F401  their queries register themselves
+from graphweft.plans import closures, merges, naming, ranking, verbs  # noqa: F401  their queries register themselves
 from graphweft.plans.base import QUERIES, SQL, in_list, query  # noqa: F401
 from graphweft.sources import testgraph as tg
 
@@ -106,7 +106,7 @@ def g24_rollup_to_parent(spark, d):
 
 @query("select e.from_id, n.label, e.provenance from edges e join nodes n on e.from_id = n.id where e.to_id = 'P1' and e.relation = 'REFERENCES'")
 def j1_callers_one_hop(spark, d):
-    e = tg.edges(spark, d).filter("to_id = 'P1' and relation = 'REFERENCES'")
+    e = tg.incoming(spark, d).filter("to_id = 'P1' and relation = 'REFERENCES'")
     return e.join(tg.nodes(spark, d).select("id", "label"), F.col("from_id") == F.col("id")).select("from_id", "label", "provenance")
 
 
@@ -152,7 +152,7 @@ def j11_innermost_interval(spark, d):
     e = tg.table(spark, d, "events").withColumn("at", F.unix_timestamp("ts"))
     points = e.filter("event_type <> 'click'").selectExpr("user_id", "event_id as point_id", "at")
     spans = e.filter("event_type = 'click'").selectExpr("user_id", "event_id as span_id", "at as first", "at + 21600 as last")
-    return rel.innermost(points, spans, "user_id")
+    return rel.innermost(points, spans, "user_id", width=21600)
 
 
 @query("select id, label from nodes where label ilike '%blue%'")
@@ -160,9 +160,54 @@ def p3_like(spark, d):
     return tg.nodes(spark, d).filter(F.lower("label").contains("blue")).select("id", "label")
 
 
-@query("select id, file_path from nodes where file_path like 'ASIA/%'")
+@query("select id, file_path from nodes where file_path glob 'A[SM]*/[!C]*[13579]'")
 def p4_glob(spark, d):
-    return tg.nodes(spark, d).filter(F.col("file_path").rlike(scalars.glob_pattern("ASIA/*"))).select("id", "file_path")
+    return tg.nodes(spark, d).filter(F.col("file_path").rlike(scalars.glob_pattern("A[SM]*/[!C]*[13579]"))).select("id", "file_path")
+
+
+@query("select id, file_path like 'ASIA/%' and not file_path like 'ASIA/%/%' as one, file_path like 'ASIA/%' as any_depth from nodes where file_path <> ''")
+def p5_f20_glob_of_segments(spark, d):
+    path = F.col("file_path")
+    matches = lambda glob: path.rlike(scalars.glob_pattern(glob, star_crosses=False))
+    return tg.nodes(spark, d).filter("file_path <> ''").select("id", matches("ASIA/*").alias("one"), matches("ASIA/**").alias("any_depth"))
+
+
+@query("select id, label from nodes where label like 'order\\_1_' escape '\\' or lower(label) like '%tin' or label like 'CUSTOMER%'")
+def p3_like_prefix_suffix_escape(spark, d):
+    label = F.col("label")
+    return tg.nodes(spark, d).filter(F.like(label, F.lit("order\\_1_")) | F.lower(label).endswith("tin") | label.startswith("CUSTOMER")).select("id", "label")
+
+
+@query("select from_id, to_id, relation from edges where from_id = 'O1' and relation = 'USES_TYPE'")
+def p1_edges_by_optional_keys(spark, d):
+    return rel.by_keys(tg.edges(spark, d), from_id="O1", relation="USES_TYPE", to_id=None).select("from_id", "to_id", "relation")
+
+
+@query("select id, type from nodes where id in (select unnest(['O1', 'P2', 'nothing', 'N3']))")
+def p7_ids_of_a_list(spark, d):
+    return rel.of_ids(tg.nodes(spark, d), '["O1", "P2", "nothing", "N3"]').select("id", "type")
+
+
+@query(
+    """select id, 'NODE ' || id || ' ' || lower(type) || ' ' || label || ' ' || case when file_path = '' then 'external' else file_path || ':' || case when type = 'Function' then 1 else 0 end end as line from nodes where type <> 'Type'"""
+)
+def p13_node_lines(spark, d):
+    n = tg.nodes(spark, d).filter("type <> 'Type'")
+    return n.select("id", rel.node_line(F.col("id"), F.col("type"), F.col("label"), F.col("file_path"), F.col("start_line")).alias("line"))
+
+
+@query(
+    """select from_id, to_id, '?:' || source_line || ' ' || from_id || ' CALLS ' || to_id || case when provenance = 'EXTRACTED' then '' when provenance = 'LSP_VERIFIED' then ' [lsp✓]' else ' prov=' || provenance end as compact,
+    'EDGE ' || from_id || '→' || to_id || ' CALLS ?:' || source_line || ' conf=0.90' || case when provenance = 'EXTRACTED' then '' when provenance = 'LSP_VERIFIED' then ' [lsp✓]' else ' prov=' || provenance end as verbose from edges where relation = 'CALLS'"""
+)
+def p13_edge_lines(spark, d):
+    e = tg.edges(spark, d).filter("relation = 'CALLS'").withColumn("source_file", F.lit(None).cast("string"))
+    return e.select("from_id", "to_id", rel.edge_line(e, compact=True).alias("compact"), rel.edge_line(e, compact=False).alias("verbose"))
+
+
+@query("select id, coalesce(nullif(file_path, ''), nullif(language, ''), '(none)') as place from nodes")
+def p14_sentinels(spark, d):
+    return tg.nodes(spark, d).select("id", F.coalesce(F.nullif("file_path", F.lit("")), F.nullif("language", F.lit("")), F.lit("(none)")).alias("place"))
 
 
 @query("select id from nodes where qname like '%.' || (select min(label) from nodes where type = 'Type')")
@@ -236,7 +281,7 @@ select e.from_id, e.to_id, e.relation, min(w.depth + 1)::int as depth from walk
 
 @query(_IMPACT.format(r=in_list(model.IMPACT)))
 def t3_impact_min_depth(spark, d):
-    return traverse.reach(tg.edges(spark, d), ["P1"], model.IMPACT, 2)
+    return traverse.reach(tg.incoming(spark, d), ["P1"], model.IMPACT, 2).select("from_id", "to_id", "relation", "depth")
 
 
 @query(
@@ -244,7 +289,7 @@ def t3_impact_min_depth(spark, d):
     select e.from_id, e.to_id, e.relation, min(w.depth + 1)::int as depth from walk w join edges e on e.from_id = w.id where e.relation in ('CALLS', 'REFERENCES') and w.depth < 2 group by all"""
 )
 def t2_callees(spark, d):
-    return traverse.reach(tg.edges(spark, d), ["C1"], ["CALLS", "REFERENCES"], 2, incoming=False)
+    return traverse.reach(tg.edges(spark, d), ["C1"], ["CALLS", "REFERENCES"], 2, incoming=False).select("from_id", "to_id", "relation", "depth")
 
 
 @query(
@@ -252,7 +297,7 @@ def t2_callees(spark, d):
     select depth, count(*) as n from (select id, min(depth)::int as depth from walk where depth > 0 group by id) group by depth"""
 )
 def t4_nodes_per_depth(spark, d):
-    return traverse.per_depth(tg.edges(spark, d), ["P2"], ["CALLS", "REFERENCES", "IMPORTS", "CONTAINS"], 3, True)
+    return traverse.per_depth(tg.incoming(spark, d), ["P2"], ["CALLS", "REFERENCES", "IMPORTS", "CONTAINS"], 3, True)
 
 
 @query(", walk(node, hops) as (select 0, 0 union select dst, hops + 1 from walk join trade on src = node where hops < 6) select node::int as node, min(hops)::int as hops from walk group by 1")

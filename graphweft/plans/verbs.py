@@ -42,7 +42,7 @@ def v20_report(spark, d):
 )
 def v26_whereis(spark, d):
     own = tg.nodes(spark, d).filter("label = 'blue rod'").select("id", "language")
-    wanted = tg.edges(spark, d).join(own.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("fan_in"))
+    wanted = tg.incoming(spark, d).join(own.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("fan_in"))
     found = own.join(wanted, "id", "left").select("id", "language", F.coalesce("fan_in", F.lit(0)).cast("bigint").alias("fan_in"))
     return rel.capped(found, [F.desc("fan_in"), "id"], 10)
 
@@ -102,6 +102,6 @@ def v33_preflight(spark, d):
     select from_id, label, to_id, relation, depth from hits join nodes on from_id = id order by depth, from_id, to_id, relation limit 100"""
 )
 def v34_callers(spark, d):
-    hits = traverse.reach(tg.edges(spark, d), ["P1"], model.CALL, 2)
+    hits = traverse.reach(tg.incoming(spark, d), ["P1"], model.CALL, 2).select("from_id", "to_id", "relation", "depth")
     top = hits.orderBy("depth", "from_id", "to_id", "relation").limit(100)  # each edge has its node: the cap comes first
     return top.join(tg.nodes(spark, d).select("id", "label"), F.col("from_id") == F.col("id")).select("from_id", "label", "to_id", "relation", "depth")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.operators import lineage
+from graphweft.sources import store
+
+_stored: dict[tuple[str, str], store.Graph] = {}
+_trades: dict[tuple[str, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +21,7 @@ def _node(frame: DataFrame, prefix: str, key: str, kind: str, **columns) -> Data
     return frame.selectExpr(f"concat('{prefix}', {key}) as id", f"'{kind}' as type", *(f"{v} as {k}" for k, v in own.items()))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, type, label, file_path, start_line, end_line, language, confidence, qname."""
     region, nation = (table(spark, sf_dir, t) for t in ("region", "nation"))
     places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).selectExpr("n_nationkey", "n_name", "concat(r_name, '/', n_name) as path")  # 25 rows by definition
@@ -40,7 +46,7 @@ def _edge(frame: DataFrame, start: str, end: str, relation: str, line: str = "0"
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """from_id, to_id, relation, source_line, confidence, provenance; unique by the first three."""
     read = lambda t: table(spark, sf_dir, t)
     items = read("lineitem")
@@ -64,7 +70,40 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def graph(spark: SparkSession, sf_dir: str) -> store.Graph:
+    """The stored graph of a folder of tables; the first call of a session writes it to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = lineage.scratch_path(spark, "stored")
+        store.save(_nodes(spark, sf_dir), lineage.cut(_edges(spark, sf_dir)), path)
+        _stored[key] = store.load(spark, path)
+    return _stored[key]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, type, label, file_path, start_line, end_line, language, confidence, qname."""
+    return graph(spark, sf_dir).nodes
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """from_id, to_id, relation, source_line, confidence, provenance; unique by the first three. Kept by from_id."""
+    return graph(spark, sf_dir).outgoing
+
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges, kept by to_id."""
+    return graph(spark, sf_dir).incoming
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_trade, stored with the first call of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trades:
+        _trades[key] = lineage.cut(_trade(spark, sf_dir))
+    return _trades[key]
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small graph with cycles: each nation's two largest supplying nations, (src, dst, n)."""
     read = lambda t: table(spark, sf_dir, t)
     sold = (

@@ -1,16 +1,15 @@
 """Operators on graphs small enough to see the answer."""
 
-import pytest
+from pyspark.sql import functions as F
 
 from graphweft.operators import algorithms, merge, suggest
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "most", "want"),
-    [("abc", "abc", 2, 0), ("abc", "acb", 2, 1), ("abc", "ab", 2, 1), ("", "ab", 2, 2), ("abcd", "", 2, 3), ("abcdef", "ghijkl", 3, 4), ("ca", "abc", 3, 3)],
-)
-def test_alignment_distance(a, b, most, want):
-    assert suggest.alignment_distance(a, b, most) == want
+def test_alignment_distance(spark):
+    cases = [("abc", "abc", 2, 0), ("abc", "acb", 2, 1), ("abc", "ab", 2, 1), ("", "ab", 2, 2), ("abcd", "", 2, 3), ("abcdef", "ghijkl", 3, 4), ("ca", "abc", 3, 3), ("ab", "ba", 1, 1)]
+    for a, b, most, want in cases:
+        got = spark.createDataFrame([(a,)], "a string").select(suggest.alignment_distance(F.col("a"), b, most).alias("d")).first().d
+        assert got == want, (a, b, most)
 
 
 def test_strong_components(spark):
