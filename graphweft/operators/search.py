@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions.scalars import cosine
+from graphweft.functions.verdicts import text_match
+from graphweft.operators.relational import top_per_group
 
 TYPE_SCORE = {"Function": 1000, "Method": 1000, "Class": 1000, "Interface": 500, "Type": 500, "Variable": 500}
 
@@ -72,3 +74,24 @@ def links(pages: DataFrame) -> DataFrame:
     """(page_id, target, n) of the link targets in each page."""
     found = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
     return found.groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+def across_layers(layers: list[DataFrame], needles: list[str], most: int) -> DataFrame:
+    """(layer, id, score): the best rows of each layer (layer, id, text, weight) for any of the needles.
+
+    A row scores its best match times its layer's weight; rows without a match drop out.
+    """
+    every = layers[0]
+    for layer in layers[1:]:
+        every = every.unionByName(layer)
+    score = F.greatest(*[text_match(F.col("text"), n) for n in needles]) if len(needles) > 1 else text_match(F.col("text"), needles[0])
+    scored = every.withColumn("score", score * F.col("weight")).filter("score > 0").groupBy("layer", "id").agg(F.max("score").alias("score"))
+    return top_per_group(scored, "layer", [F.desc("score"), "id"], most).select("layer", "id", "score")
+
+
+def miss_scope(nodes: DataFrame, searched: list[str]) -> DataFrame:
+    """(kind, present, searched): why a search may have missed: kinds that it didn't search, and kinds that there are none of."""
+    asked = nodes.sparkSession.createDataFrame([(k, True) for k in searched], "kind string, searched boolean")
+    there = nodes.select(F.col("type").alias("kind")).distinct().withColumn("present", F.lit(True))
+    both = there.join(asked, "kind", "full").select("kind", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("searched", F.lit(False)).alias("searched"))
+    return both.filter("not (present and searched)")

@@ -201,9 +201,9 @@ def f33_config_keys(spark, d):
     return tg.table(spark, d, "nation").select("n_nationkey", F.array_join(texts.config_keys(text, name), ",").alias("keys"))
 
 
-@query("select event_id, props ->> '$.page' as page from events", graph=False)
+@query("select event_id, props ->> '$.k' as k, props ->> '$.page' as page from events", graph=False)
 def f34_p6_json_field(spark, d):
-    return tg.table(spark, d, "events").select("event_id", names.json_field(F.col("props"), "page").alias("page"))
+    return tg.table(spark, d, "events").select("event_id", names.json_field(F.col("props"), "k").alias("k"), names.json_field(F.col("props"), "page").alias("page"))
 
 
 @query("select id, array_to_string(regexp_extract_all(lower(label), '[a-z0-9]+'), ' ') as tokens from nodes where type = 'Type'")
