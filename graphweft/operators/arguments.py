@@ -30,3 +30,23 @@ def limit_of(value: int) -> int:
 
 def hops_of(value: int) -> int:
     return held(value, MAX_HOPS)
+
+
+# Folders of the system and of secrets, and files that hold secrets.
+_SYSTEM = ("/etc", "/root", "/proc", "/sys", "/dev", "/boot", "/var/run", "/usr", "/bin", "/sbin", "c:/windows", "c:/program files")
+_SECRET_FOLDERS = {".ssh", ".aws", ".gnupg", ".kube", ".docker", ".azure"}
+_SECRET_FILES = {".env", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_ed25519", "credentials", ".git-credentials"}
+
+
+def is_sensitive(path: str) -> bool:
+    """Whether a path that a client passes leads into the system's folders or to secrets; .. is resolved first."""
+    parts: list[str] = []
+    given = path.replace("\\", "/").lower()
+    for part in given.split("/"):
+        if part == ".." and parts:
+            parts.pop()
+        elif part not in ("", ".", ".."):
+            parts.append(part)
+    whole = ("/" if given.startswith("/") else "") + "/".join(parts)
+    system = any(whole == folder or whole.startswith(f"{folder}/") for folder in _SYSTEM)
+    return system or bool(_SECRET_FOLDERS & set(parts)) or bool(parts) and parts[-1] in _SECRET_FILES

@@ -29,7 +29,7 @@ def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
     """Collections, one JSON document a file: the envelope's fields with their records in an array."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*").filter("schema_version = '0.2'")
 
 

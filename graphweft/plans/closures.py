@@ -14,7 +14,7 @@ from graphweft.sources import testgraph as tg
     """, targets as (select 'N3' as id union select to_id from edges where from_id = 'N3' and relation = 'CONTAINS')
     select from_id, count(*) as fan_in, arg_max(source_line, (confidence, -source_line)) as line from edges join targets on to_id = id group by 1"""
 )
-def t5_t6_rolled_up_callers(spark, d):
+def rolled_up_with_a_class(spark, d):
     e = tg.edges(spark, d)
     held = e.filter("from_id = 'N3' and relation = 'CONTAINS'").select(F.col("to_id").alias("id"))
     targets = held.union(spark.createDataFrame([("N3",)], "id string")).distinct()
@@ -41,7 +41,7 @@ def t7_w8_path_tree(spark, d):
     """, both_ways as (select src, dst from trade union select dst, src from trade), walk(node, hops) as (select 0, 0 union select dst, hops + 1 from walk join both_ways on src = node where hops < 6)
     select node::int as node, min(hops)::int as hops from walk group by 1"""
 )
-def t11_undirected_hops(spark, d):
+def undirected_hops(spark, d):
     t = tg.trade(spark, d).select("src", "dst")
     return traverse.shortest_hops(t.union(t.select("dst", "src")).distinct(), 0, 6)
 
@@ -98,7 +98,7 @@ def u2_undirected_neighbours(spark, d):
 
 
 @query("select split_part(file_path, '/', 1) as top, relation, count(*) as n, count(distinct from_id) as sources from edges join nodes on from_id = id where relation = 'CALLS' group by all")
-def t18_affected_by_top_folder(spark, d):
+def callers_by_top_folder(spark, d):
     n = tg.nodes(spark, d).select("id", F.substring_index("file_path", "/", 1).alias("top"))
     e = tg.edges(spark, d).filter("relation = 'CALLS'").join(n, F.col("from_id") == F.col("id"))
     return e.groupBy("top", "relation").agg(F.count("*").alias("n"), F.countDistinct("from_id").alias("sources"))

@@ -15,19 +15,18 @@ _ROUNDS = 6
 
 
 def _labels_sql(rounds: int) -> str:
-    """Label propagation with its rounds written out, then numbered."""
+    """Moves by gain of modularity with their rounds written out, then numbered."""
     out = [
         "und as (select least(src, dst) as a, greatest(src, dst) as b, sum(n)::bigint as w from trade where src <> dst group by all)",
         "links as (select a as src, b as dst, w from und union all select b, a, w from und)",
-        "l0 as (select distinct src as node, src as label from links)",
+        "degs as (select src as node, sum(w)::hugeint as k from links group by 1), whole as (select sum(k)::hugeint as m2 from degs)",
+        "l0 as (select node, node as label from degs)",
     ]
-    for k in range(rounds):
-        out.append(f"near{k} as (select src as node, label as seen, sum(w)::bigint as w from links join l{k} on dst = node group by all)")
-        out.append(f"best{k} as (select node, arg_min(seen, (-w, seen)) as label, max(w) as w from near{k} group by 1)")
-        out.append(
-            f"""l{k + 1} as (select l.node, case when l.node % 2 = {k % 2} and b.w > coalesce(n.w, 0) then b.label else l.label end as label
-            from l{k} l join best{k} b using (node) left join near{k} n on n.node = l.node and n.seen = l.label)"""
-        )
+    for r in range(rounds):
+        out.append(f"tot{r} as (select label as seen, sum(k)::hugeint as total from l{r} join degs using (node) group by 1)")
+        out.append(f"near{r} as (select node, seen, max(w) as w from (select src as node, label as seen, sum(w)::hugeint as w from links join l{r} on dst = node group by all union all select node, label, 0 from l{r}) group by 1, 2)")
+        out.append(f"sc{r} as (select node, label, seen, w * m2 - k * (total - case when seen = label then k else 0 end) as gain from near{r} join tot{r} using (seen) join l{r} using (node) join degs using (node), whole)")
+        out.append(f"l{r + 1} as (select node, case when node % 2 = {r % 2} and max(gain) > max(gain) filter (seen = label) then arg_min(seen, (-gain, seen)) else label end as label from sc{r} group by node, label)")
     out.append(f"sizes as (select label, count(*) as n, min(node) as least from l{rounds} group by 1)")
     out.append("numbers as (select label, row_number() over (order by n desc, least)::int as community from sizes)")
     out.append(f"classes as (select node, community from l{rounds} join numbers using (label))")

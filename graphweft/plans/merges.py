@@ -54,7 +54,7 @@ def m10_delete_cascade(spark, d):
     "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is distinct from event_type",
     graph=False,
 )
-def r5_cosmetic_changes_dropped(spark, d):
+def r5_equal_fingerprints_dropped(spark, d):
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return tg.table(spark, d, "events").withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
 
@@ -73,7 +73,7 @@ def u8_salvageable(spark, d):
 
 
 @query("select user_id, event_id from events e where not exists (select 1 from events f where f.user_id = e.user_id and f.event_type = e.event_type and f.event_type = 'click' and f.ts > e.ts)", graph=False)
-def j21_not_superseded(spark, d):
+def events_not_superseded(spark, d):
     e = tg.table(spark, d, "events")
     last = e.filter("event_type = 'click'").groupBy("user_id", "event_type").agg(F.max("ts").alias("last"))
     return e.join(last, ["user_id", "event_type"], "left").filter("last is null or ts >= last").select("user_id", "event_id")

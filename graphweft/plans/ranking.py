@@ -12,19 +12,13 @@ from graphweft.plans.base import in_list, query
 from graphweft.sources import testgraph as tg
 
 
-@query("select to_id, count(*) as n, count(*) filter (provenance = 'LSP_VERIFIED') as verified, count(*) > count(*) filter (provenance = 'LSP_VERIFIED') as upper_bound from edges where relation = 'CALLS' group by 1")
-def g7_upper_bound(spark, d):
-    own = tg.edges(spark, d).filter("relation = 'CALLS'").groupBy("to_id").agg(F.count("*").alias("n"), F.count_if(F.col("provenance") == model.VERIFIED).alias("verified"))
-    return own.withColumn("upper_bound", F.col("n") > F.col("verified"))
-
-
 @query(
     """select category, count(*) as n, string_agg(target, '|' order by target) filter (rn <= 5) as samples from (select *, row_number() over (partition by category order by target) as rn from
     (select target, case when starts_with(target, 'http') then 'external' when starts_with(target, '#') then 'anchor' when starts_with(target, '/') then 'rooted' else 'relative' end as category
     from (select distinct unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages))) group by 1""",
     graph=False,
 )
-def g15_w9_target_categories(spark, d):
+def w9_targets_with_samples(spark, d):
     targets = tg.table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target")).distinct()
     t = F.col("target")
     kind = F.when(t.startswith("http"), "external").when(t.startswith("#"), "anchor").when(t.startswith("/"), "rooted").otherwise("relative")

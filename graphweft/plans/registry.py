@@ -9,7 +9,7 @@ from graphweft import model
 from graphweft.functions import scalars
 from graphweft.operators import relational as rel
 from graphweft.operators import search, traverse
-from graphweft.plans import closures, clusters, linking, merges, naming, ranking, reading, verbs, walks  # noqa: F401  their queries register themselves
+from graphweft.plans import answers, closures, clusters, linking, merges, naming, ranking, reading, verbs, walks  # noqa: F401  their queries register themselves
 from graphweft.plans.base import QUERIES, SQL, in_list, query  # noqa: F401
 from graphweft.sources import testgraph as tg
 
@@ -62,7 +62,7 @@ def g6_inbound_evidence(spark, d):
 
 
 @query("select a.language as src, b.language as dst, count(*) as n from edges e join nodes a on e.from_id = a.id join nodes b on e.to_id = b.id where a.type <> b.type group by all")
-def g8_inter_cluster_edges(spark, d):
+def edges_between_languages(spark, d):
     nodes = tg.nodes(spark, d)
     ends = [nodes.select(F.col("id").alias(f"{k}_id"), F.col("language").alias(k), F.col("type").alias(f"{k}_type")) for k in ("src", "dst")]
     joined = tg.edges(spark, d).join(ends[0], F.col("from_id") == F.col("src_id")).join(ends[1], F.col("to_id") == F.col("dst_id"))
@@ -88,7 +88,7 @@ def g12_distinct_and_concat(spark, d):
 
 
 @query("select file_path, count(*) as n, min(source_line) as first_line, bool_or(provenance = 'LSP_VERIFIED') as verified from edges join nodes on to_id = id where relation = 'CALLS' group by 1")
-def g13_g14_by_file(spark, d):
+def calls_by_file(spark, d):
     nodes = tg.nodes(spark, d).select("id", "file_path")
     e = tg.edges(spark, d).filter("relation = 'CALLS'").join(nodes, F.col("to_id") == F.col("id"))
     return e.groupBy("file_path").agg(F.count("*").alias("n"), F.min("source_line").alias("first_line"), F.bool_or(F.col("provenance") == model.VERIFIED).alias("verified"))
@@ -211,7 +211,7 @@ def p14_sentinels(spark, d):
 
 
 @query("select id from nodes where qname like '%.' || (select min(label) from nodes where type = 'Type')")
-def p6_qname_suffix(spark, d):
+def qname_suffix(spark, d):
     n = tg.nodes(spark, d)
     least = n.filter("type = 'Type'").agg(F.min("label").alias("least"))  # one row
     return n.crossJoin(F.broadcast(least)).filter(F.endswith("qname", F.concat(F.lit("."), "least"))).select("id")
@@ -254,7 +254,7 @@ def w6_latest_per_key(spark, d):
 
 
 @query("select from_id, to_id, provenance, confidence, source_line from edges where relation = 'CALLS' order by (provenance = 'LSP_VERIFIED') desc, confidence desc, source_line, from_id, to_id limit 30")
-def k1_k3_ranked_budget(spark, d):
+def calls_ranked(spark, d):
     e = tg.edges(spark, d).filter("relation = 'CALLS'")
     order = [F.desc(F.col("provenance") == model.VERIFIED), F.desc("confidence"), "source_line", "from_id", "to_id"]
     return e.orderBy(*order).select("from_id", "to_id", "provenance", "confidence", "source_line").limit(30)
@@ -301,7 +301,7 @@ def t4_nodes_per_depth(spark, d):
 
 
 @query(", walk(node, hops) as (select 0, 0 union select dst, hops + 1 from walk join trade on src = node where hops < 6) select node::int as node, min(hops)::int as hops from walk group by 1")
-def t9_shortest_hops(spark, d):
+def hops_from_a_node(spark, d):
     return traverse.shortest_hops(tg.trade(spark, d), 0, 6)
 
 
@@ -351,7 +351,7 @@ def x8_nearest_vectors(spark, d):
 
 
 @query("""select page_id, target, count(*) as n from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages) group by all""", graph=False)
-def d1_page_links(spark, d):
+def page_links(spark, d):
     return search.links(tg.table(spark, d, "pages"))
 
 

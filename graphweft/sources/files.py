@@ -52,7 +52,8 @@ def is_ignored(path: Column, names: list[str], globs: list[str] | None = None, k
 def scan(spark: SparkSession, root: str, names: list[str] | None = None, globs: list[str] | None = None, most: int = MOST_BYTES, candidates: DataFrame | None = None) -> DataFrame:
     """(file_path, size, modified, language, content, skipped) of the files below root that aren't ignored.
 
-    A file longer than `most` bytes, or that isn't text, keeps its row without its content; skipped says why.
+    A file longer than `most` bytes, or that isn't text, keeps its row without its content; skipped says why. Spark
+    lists no files of no bytes.
     candidates (file_path), if given, are the files that a version control lists: others don't count.
     """
     base = root.rstrip("/")

@@ -51,7 +51,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return {}
-    return json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def brief(sections: DataFrame, title: str) -> str:
