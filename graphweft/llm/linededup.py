@@ -129,7 +129,8 @@ def _near(spark: SparkSession, docs: DataFrame, distinct: DataFrame) -> DataFram
     raw = _raw_lines(docs).join(F.broadcast(wanted) if small else wanted, ["ord", "h", "line_no"])
     lines = _words(raw).dropDuplicates(["ord", "h", "line_no"])  # of repeated rows
     lines = materialise(spark, lines.select("lh", "n", "kp", F.struct("ord", "h", "line_no").alias("first"), "words"), "suspect-lines")
-    emitted = lines.select("first", F.posexplode(_variants("words")).alias("i", "z"))
+    # written once: making variants costs more than reading them twice
+    emitted = materialise(spark, lines.select("first", F.posexplode(_variants("words")).alias("i", "z")), "variants")
     company = emitted.groupBy("z").agg(F.count("*").alias("c")).filter("c > 1").select("z")
     met = materialise(spark, emitted.join(company, "z"), "equal-variants")
     # one word left out at the same place of two lines: replaced; of one line only: added or left out
@@ -176,7 +177,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, n_dropped): docs with their texts cut; row holds the other columns."""
     keyed = _keyed(docs)
-    joined = keyed.join(duplicate_lines(spark, keyed), ["ord", "h"], "left")
+    # the side with the numbers of lines is the small one, and texts needn't be sorted
+    joined = keyed.join(duplicate_lines(spark, keyed).hint("shuffle_hash"), ["ord", "h"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     # array_except works by hash: linear in the lines, whatever their number
