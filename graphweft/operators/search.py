@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.functions.paths import is_generated
 from graphweft.functions.scalars import cosine
 from graphweft.functions.verdicts import text_match
 from graphweft.operators.relational import top_per_group
@@ -95,3 +96,28 @@ def miss_scope(nodes: DataFrame, searched: list[str]) -> DataFrame:
     there = nodes.select(F.col("type").alias("kind")).distinct().withColumn("present", F.lit(True))
     both = there.join(asked, "kind", "full").select("kind", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("searched", F.lit(False)).alias("searched"))
     return both.filter("not (present and searched)")
+
+
+def tokens_anywhere(nodes: DataFrame, query: str, limit: int) -> DataFrame:
+    """(id, score): nodes (id, type, label, file_path, place) that hold each token of a query in label or path.
+
+    Scored by type, by how the label matches, and by confidence; what lies in a generated place comes last.
+    """
+    tokens = query_tokens(query)
+    label, path = F.lower("label"), F.lower("file_path")
+    hit = F.lit(bool(tokens))
+    for t in tokens:
+        hit = hit & (F.contains(label, F.lit(t)) | F.contains(path, F.lit(t)))
+    q = " ".join(tokens)
+    kind = F.coalesce(*[F.when(F.col("type") == t, F.lit(s)) for t, s in TYPE_SCORE.items()], F.lit(100))
+    match = F.when(label == q, 500).when(label.startswith(q), 300).otherwise(100)
+    score = kind + match + F.col("confidence") * 10 - F.when(is_generated(F.col("place")), 2000).otherwise(0)
+    return nodes.filter(hit).select("id", score.cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def semantic(vectors: DataFrame, query_id: int, k: int, lexical: DataFrame) -> DataFrame:
+    """(vec_id, similarity, mode): the nearest vectors, or the first lexical hits (vec_id, similarity) where no vector is near."""
+    near = nearest(vectors, query_id, k)
+    found = near.agg(F.count("*").alias("n"))  # one row
+    other = lexical.orderBy(F.desc("similarity"), "vec_id").limit(k).crossJoin(F.broadcast(found)).filter("n = 0").drop("n")
+    return near.withColumn("mode", F.lit("semantic")).unionByName(other.withColumn("mode", F.lit("lexical")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.names import leaf_of
+from graphweft.functions.names import canonical_key, leaf_of
 
 
 def alignment_distance(text: Column, name: str, most: int) -> Column:
@@ -76,3 +76,33 @@ def resolved_suffixes(chains: DataFrame, most: int = 4) -> DataFrame:
     found = own.select("id", F.explode(tails).alias("suffix")).groupBy("suffix").agg(F.countDistinct("id").alias("n"), F.min("id").alias("least"))
     unique = F.col("n") == 1
     return found.select("suffix", "n", F.when(unique, F.col("least")).alias("resolved"), F.when(unique, "unique").otherwise("ambiguous_symbol").alias("verdict"))
+
+
+def cascade(nodes: DataFrame, symbol: str, most: int) -> DataFrame:
+    """(id, rule, total): what a name means, by the first rule that finds any: its label, its whole qualified name, a suffix of one, its leaf under its parent.
+
+    Nodes outside the project count only where no other is found. At most `most` are named, total says how many there are.
+    """
+    parts = [p for p in symbol.replace("::", ".").split(".") if p]
+    dotted, leaf, parent = ".".join(parts), parts[-1], parts[-2] if len(parts) > 1 else ""
+    qualified = len(parts) > 1
+    owner = F.element_at(F.split("qname", r"\."), -2)
+    rules = [F.col("label") == symbol, (F.col("qname") == dotted) & F.lit(qualified), F.endswith("qname", F.lit(f".{dotted}")) & F.lit(qualified), (F.col("label") == leaf) & (F.size(F.split("qname", r"\.")) > 1) & (owner == parent) & F.lit(qualified)]
+    rule = F.coalesce(*[F.when(r, k) for k, r in enumerate(rules)])
+    hits = nodes.select("id", (F.col("type") == "External").alias("outside"), rule.alias("rule")).filter("rule is not null")
+    best = hits.groupBy("rule", "outside").agg(F.count("*").alias("total")).orderBy("rule", "outside").limit(1)
+    return hits.join(F.broadcast(best), ["rule", "outside"]).select("id", "rule", "total").orderBy("id").limit(most)
+
+
+def ambiguity(nodes: DataFrame, shown: int) -> DataFrame:
+    """(key, members, shown, languages): nodes (id, type, label, qname, parent, file_path, confidence, language) of one name, by what they are.
+
+    Nodes outside the project drop out if there is any other. Of each group the surest node is shown.
+    """
+    concrete = nodes.filter("type <> 'External'")
+    any_ = concrete.agg((F.count("*") > 0).alias("some"))  # one row
+    own = nodes.crossJoin(F.broadcast(any_)).filter("not some or type <> 'External'")
+    keyed = own.withColumn("key", canonical_key(F.col("type"), F.col("qname"), F.col("parent"), F.col("label"), F.col("file_path")))
+    least = F.min(F.struct((-F.col("confidence")).alias("c"), "id"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("members"), least.alias("best"), F.countDistinct("language").alias("languages"))
+    return groups.select("key", "members", F.col("best.id").alias("shown"), "languages").orderBy(F.desc("members"), "key").limit(shown)
