@@ -244,8 +244,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     """docs (doc_id, text and any other columns) without benchmark passages.
 
     Every hit span is cut from its text; a document of which more than `most_coverage` of the words
-    is hit goes. n_chars, if there is one, is counted anew for the texts that change. Clean rows,
-    null texts included, are returned as they are.
+    is hit goes. n_chars, if there is one, is counted anew for the texts that change. Clean rows, null and
+    empty texts included, are returned as they are; repeated rows are each treated alike. Other columns keep
+    their values whatever their names. No benchmark changes nothing; no documents give no rows.
     """
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]

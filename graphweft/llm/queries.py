@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, decontam, fingerprint, langid, linededup, pii, quality, simhash_dedup, toxicity, warc
+from graphweft.llm import bpe, decontam, fingerprint, langid, linededup, oracles, pii, quality, simhash_dedup, toxicity, warc
 from graphweft.llm.common import table
 
 
@@ -69,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+#: The others have no SQL: it knows neither their hashes, nor their tokenizer, nor what they learn.
+SQL: dict[str, str] = {"op2_decontamination": oracles.DECONTAMINATION, "op7_warc": oracles.WARC, "op10_line_dedup": oracles.LINE_DEDUP}
