@@ -9,10 +9,12 @@ orders them by number, verifies the total length and decodes the chunked transfe
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -63,7 +65,7 @@ def records_of(page_id, url: str | None, payload: bytes, refers_to, nonce: str,
     name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {nonce}')}>"
     common = [("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
-        common.append(("WARC-Target-URI", "".join(url.split())))
+        common.append(("WARC-Target-URI", re.sub(r"\s", lambda m: quote(m.group()), url)))
     if page_id is not None:
         common.append(("WARC-Page-ID", str(page_id)))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -112,29 +114,109 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
     written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
-def inflated(content: bytes) -> bytes:
-    """The bytes of a file of any number of gzip members, or of a plain one."""
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+class Broken(ValueError):
+    """A record that can't be read."""
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive file; field names in small letters."""
-    content = inflated(content)
+_AT_ONCE = 1 << 16
+
+
+def _plain(content: bytes) -> Iterator[bytes]:
+    """The bytes of a file, plain or of any number of gzip members, some at a time; all there are before an error."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[k : k + _AT_ONCE] for k in range(0, len(content), _AT_ONCE))
+        return
     at = 0
     while at < len(content):
-        if content[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = content.index(_END, at)
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(fields["content-length"])
-        block = content[end + 4 : end + 4 + n]
-        if len(block) != n:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = end + 4 + n
-        while content[at : at + 2] == b"\r\n":
-            at += 2
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(content):
+                raise EOFError("a member is cut off")
+            some = content[at : at + _AT_ONCE]
+            at += len(some)
+            yield member.decompress(some)
+        at -= len(member.unused_data)
+
+
+class _Stream:
+    """Lines and blocks of a sequence of byte strings."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self._parts, self._held, self._at = parts, b"", 0
+
+    def _take(self, n: int) -> bytes:
+        out = self._held[self._at : self._at + n]
+        self._at += len(out)
+        return out
+
+    def _more(self) -> bool:
+        for part in self._parts:
+            if part:
+                self._held, self._at = self._held[self._at :] + part, 0
+                return True
+        return False
+
+    def readline(self) -> bytes:
+        while (end := self._held.find(b"\n", self._at)) < 0:
+            if not self._more():
+                return self._take(len(self._held))
+        return self._take(end + 1 - self._at)
+
+    def read(self, n: int) -> bytes:
+        out = [self._take(n)]
+        left = n - len(out[0])
+        while left and self._more():
+            out.append(self._take(left))
+            left -= len(out[-1])
+        return b"".join(out)
+
+
+def _until_record(stream: _Stream) -> bytes:
+    """The next line that begins a record; empty at the end. Empty lines between records are passed over."""
+    while line := stream.readline():
+        if line.startswith(b"WARC/"):
+            return line
+        if line.strip():
+            raise Broken("no record where one should begin")
+    return b""
+
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(fields, block) of each record of an archive file, plain or of any number of gzip members; field names in small letters.
+
+    Records are read one after another from the compressed bytes, so that one of them is in memory. A record that
+    can't be read has a block of None, and reading goes on at the next line that begins a record; compressed
+    bytes that are broken end the file.
+    """
+    stream = _Stream(_plain(content))
+    fields: dict[str, str] = {}
+    while True:
+        try:
+            if not fields.pop("", None) and not _until_record(stream):
+                return
+            fields = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            if not fields.get("content-length", "").isdigit():
+                raise Broken("no length")
+            block = stream.read(int(fields["content-length"]))
+            if len(block) != int(fields["content-length"]):
+                raise Broken("cut off")
+            yield fields, block
+            fields = {}
+        except Broken:
+            yield fields, None
+            fields = {}
+            while line := stream.readline():
+                if line.startswith(b"WARC/"):
+                    fields = {"": "begun"}
+                    break
+            else:
+                return
+        except (EOFError, zlib.error):
+            yield fields, None
+            return
 
 
 def payload_of(block: bytes) -> tuple[bytes, int]:
@@ -153,7 +235,10 @@ _PARSED_ARROW = pa.schema(
 
 
 def _finished(page_id: str | None, block: bytes, with_payload: bool) -> tuple:
-    payload, _ = payload_of(block)
+    try:
+        payload, _ = payload_of(block)
+    except ValueError:  # the chunked framing
+        return page_id, None, None, "broken", None, None, None, None, None, None
     return page_id, len(payload), base32_sha1(payload), "response", None, payload if with_payload else None, None, None, None, None
 
 
@@ -162,7 +247,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     Lengths and digests are taken from the reassembled, decoded payload; a revisit record has none
     and gives what its header says. Segments may be in any file and order. A record whose segments
-    are not complete, or don't add up to the total length, has null for these columns.
+    are not complete, or don't add up to the total length, has null for these columns; one that can't
+    be read, or whose chunks are broken, has null and the record_type `broken`, and the others are read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +257,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 out, size = [], 0
                 for fields, block in parse(content.as_py()):
                     kind, page_id = fields.get("warc-type"), fields.get("warc-page-id")
+                    if block is None:
+                        out.append((page_id, None, None, "broken", *[None] * 6))
+                        continue
                     number = fields.get("warc-segment-number")
                     if kind == "revisit":
                         digest = fields.get("warc-payload-digest", "").rpartition(":")[2]

@@ -166,6 +166,25 @@ def test_warc(spark, tmp_path):
     assert {bytes(r.payload) for r in warc.read_archives(spark, path).collect() if r.payload is not None} == {(t or "").encode() for _, _, t in rows}
 
 
+def test_broken_records_are_told_and_passed_over():
+    import gzip
+
+    one = lambda k, body: warc.records_of(k, f"http://x/a b{k}", body, None, "n")[0]
+    end = b"\r\n\r\n"
+    first, second = one(1, b"first"), one(2, b"second")
+    assert b"a%20b1" in first
+    read = lambda content: [(f.get("warc-page-id"), b is not None) for f, b in warc.parse(content)]
+    assert read(first + end + second + end) == [("1", True), ("2", True)]
+    assert read(gzip.compress(first + end) + gzip.compress(second + end)) == [("1", True), ("2", True)]
+    assert read(first + end + b"rubbish\r\n" + second + end) == [("1", True), (None, False), ("2", True)]
+    assert read(first.replace(b"Content-Length: ", b"Content-Length: x", 1) + end + second) == [("1", False), ("2", True)]
+    assert read(first + end + second[:-3]) == [("1", True), ("2", False)]
+    assert read(gzip.compress(first + end) + gzip.compress(second + end)[:-12])[0] == ("1", True)
+    assert read(b"") == []
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"
+    assert warc._finished("3", block, True)[:4] == ("3", None, None, "broken")
+
+
 def test_simhash_components(spark, odd, none):
     base = 0x0123456789ABCDEF
     fps = sorted({base ^ sum(1 << b for b in bits) for bits in itertools.combinations(range(0, 64, 9), 2)} | {base, 0, 1, 7, 63, (1 << 63) | 1})
