@@ -157,50 +157,87 @@ def _blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, l
     yield block
 
 
+_FRAME = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
+
+
+def _as_spans(spans: list) -> list[dict]:
+    return [{"first": a, "last": b} for a, b in spans]
+
+
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000, finish: tuple | None = None) -> DataFrame:
     """docs' (doc_id, text) with n_words, hit spans of word positions, and the item ids that occur.
 
-    Each block of at most `block_words` benchmark words is broadcast and becomes one automaton in
-    each Python worker; all documents stream past it. Several blocks take several passes, each
-    written to the shared folder. Words that no item has cut a text into runs; shorter runs than
-    the shortest window can't match and are skipped. `finish` (schema, function of a batch) is applied
-    to the last pass's batches in the worker that scanned them.
+    Each block of at most `block_words` benchmark words is broadcast and becomes one automaton in each Python
+    worker; all documents stream past it. Words that no item has cut a text into runs; shorter runs than
+    the shortest window can't match and are skipped. With several blocks each is a pass of its own that
+    writes only what it hits, by the hash of the text, once for equal texts; the passes are then joined back.
+    `finish` (schema, function of a batch) is applied to the batches in the worker that made them.
     """
     small_batches(spark)
-    frame = docs.select(
-        "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
-    )
-    schema = frame.schema
     blocks = _blocks(benchmark, block_words)
-    first, block = True, next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        last = finish if following is None else None
-        sent = spark.sparkContext.broadcast(block)
-        key = ("decontam", sent._jbroadcast.id(), window)
+    block, following = next(blocks), next(blocks, None)
+    schema = docs.select(
+        "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
+    ).schema
+
+    def told(batch: pa.RecordBatch, n_words: list, spans: list, items: list) -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip((n_words, spans, items), _FRAME))], names=["doc_id", "text", *_FRAME.names])
+        return finish[1](done) if finish else done
+
+    if following is None:
+        find = _finder(spark, block, window)
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = once_per_worker(key, lambda: SuffixAutomaton(sent.value, window))
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_words, spans, items = [], [], []
-                old_spans, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                for k, text in enumerate(batch.column(1)):
-                    words = words_of(text.as_py())
-                    hit, found = automaton.scan(words)
-                    n_words.append(len(words))
-                    spans.append([{"first": a, "last": b} for a, b in _merge([*[(s["first"], s["last"]) for s in old_spans[k]], *hit])] if hit else old_spans[k])
-                    items.append(sorted({*old_items[k], *found}) if found else old_items[k])
-                kinds = batch.schema
-                done = pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kinds.field(3).type), pa.array(items, kinds.field(4).type)],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
-                )
-                yield last[1](done) if last else done
-
-        if not first:
-            frame = materialise(spark, frame, "decontam")
-        frame, first, block = frame.mapInArrow(tidy(scan), last[0] if last else schema), False, following
-    return frame
+                found = [find(text.as_py()) for text in batch.column(1)]
+                yield told(batch, [n for n, _, _ in found], [_as_spans(s) for _, s, _ in found], [sorted(i) for _, _, i in found])
+
+        return docs.select("doc_id", "text").mapInArrow(tidy(scan), finish[0] if finish else schema)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hi"), F.xxhash64(F.lit(1), "text").alias("lo"))
+    parts = []
+    while block is not None:
+        parts.append(_hits(spark, keyed, _finder(spark, block, window)))
+        block, following = following, next(blocks, None)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy("hi", "lo").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row a block
+    joined = keyed.join(materialise(spark, merged, "decontam-hits"), ["hi", "lo"], "left").select("doc_id", "text", "spans", "items")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = [len(words_of(text.as_py())) for text in batch.column(1)]
+            spans = [_as_spans(_merge([(x["first"], x["last"]) for x in own or []])) for own in batch.column(2).to_pylist()]
+            yield told(batch, n_words, spans, [sorted(set(own or [])) for own in batch.column(3).to_pylist()])
+
+    return joined.mapInArrow(tidy(gather), finish[0] if finish else schema)
+
+
+def _finder(spark: SparkSession, block: list, window: int):
+    """A function from a text to its number of words, hit spans and items, for one block of the benchmark."""
+    sent = spark.sparkContext.broadcast(block)
+    key = ("decontam", sent._jbroadcast.id(), window)
+
+    def find(text: str | None) -> tuple[int, list, set[str]]:
+        words = words_of(text)
+        return len(words), *once_per_worker(key, lambda: SuffixAutomaton(sent.value, window)).scan(words)
+
+    return find
+
+
+def _hits(spark: SparkSession, keyed: DataFrame, find) -> DataFrame:
+    """(hi, lo, spans, items): what one block hits, one row for each text that it hits, written to the shared folder."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [find(text.as_py()) for text in batch.column(2)]
+            at = [k for k, (_, spans, _) in enumerate(found) if spans]
+            columns = [c.take(pa.array(at, pa.int64())) for c in (batch.column(0), batch.column(1))]
+            lists = [pa.array([_as_spans(found[k][1]) for k in at], _FRAME.field(1).type), pa.array([sorted(found[k][2]) for k in at], _FRAME.field(2).type)]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["hi", "lo", "spans", "items"])
+
+    own = keyed.select("hi", "lo", "text").mapInArrow(tidy(scan), f"hi bigint, lo bigint, spans {_SPANS}, items array<string>")
+    return materialise(spark, own.dropDuplicates(["hi", "lo"]), "decontam-block")
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
