@@ -157,7 +157,7 @@ def i8_cpp_frameworks(spark, d):
 @query(
     """select 'sh/s' || n_nationkey || '.comp' as shader, 0 as set_no, n_nationkey as binding, 'Cells' as name, 'src/m' || n_nationkey || '.cpp' as source_file from nation""", graph=False
 )
-def i9_f31_shader_bridge(spark, d):
+def i9_v29_shader_bridge(spark, d):
     n = tg.table(spark, d, "nation")
     shaders = n.selectExpr("concat('sh/s', n_nationkey, '.comp') as file_path", "'glsl' as language", "concat('layout(binding = ', n_nationkey, ') buffer Cells { int c; };') as content")
     code = n.selectExpr("concat('src/m', n_nationkey, '.cpp') as file_path", "'cpp' as language", "concat('load(\"s', n_nationkey, '.comp.spv\");') as content")

@@ -148,7 +148,7 @@ def j9_u3_orphans(spark, d):
     on p.user_id = s.user_id and p.at between s.first and s.last) where rn = 1""",
     graph=False,
 )
-def j11_innermost_interval(spark, d):
+def j11_w7_innermost_interval(spark, d):
     e = tg.table(spark, d, "events").withColumn("at", F.unix_timestamp("ts"))
     points = e.filter("event_type <> 'click'").selectExpr("user_id", "event_id as point_id", "at")
     spans = e.filter("event_type = 'click'").selectExpr("user_id", "event_id as span_id", "at as first", "at + 21600 as last")

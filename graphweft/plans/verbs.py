@@ -19,7 +19,7 @@ def v5_census(spark, d):
 
 
 @query("select id, file_path, language from nodes where label = 'blue rod' order by file_path, id limit 5")
-def v19_lookup(spark, d):
+def k6_v19_lookup(spark, d):
     return tg.nodes(spark, d).filter("label = 'blue rod'").orderBy(F.desc("confidence"), "file_path", "id").select("id", "file_path", "language").limit(5)
 
 
@@ -75,7 +75,7 @@ def v28_file_digest(spark, d):
     """select file, count(distinct (from_id, to_id, relation)) as degree from (select a.file_path as file, e.* from edges e join nodes a on from_id = a.id
     union all select b.file_path, e.* from edges e join nodes b on to_id = b.id) where file <> '' group by 1 order by degree desc, file limit 20"""
 )
-def v31_hot_files(spark, d):
+def j6_v31_hot_files(spark, d):
     """An edge inside a file counts once: of the two ends' files the second counts only if it differs."""
     n = tg.nodes(spark, d).select("id", "file_path")
     a, b = (n.select(F.col("id").alias(f"{k}_id"), F.col("file_path").alias(f"{k}_file")) for k in ("from", "to"))
@@ -101,7 +101,7 @@ def v33_preflight(spark, d):
     hits as (select e.from_id, e.to_id, e.relation, min(w.depth + 1)::int as depth from walk w join edges e on e.to_id = w.id where e.relation in {in_list(model.CALL)} and w.depth < 2 group by all)
     select from_id, label, to_id, relation, depth from hits join nodes on from_id = id order by depth, from_id, to_id, relation limit 100"""
 )
-def v34_callers(spark, d):
+def t1_v34_callers(spark, d):
     hits = traverse.reach(tg.incoming(spark, d), ["P1"], model.CALL, 2).select("from_id", "to_id", "relation", "depth")
     top = hits.orderBy("depth", "from_id", "to_id", "relation").limit(100)  # each edge has its node: the cap comes first
     return top.join(tg.nodes(spark, d).select("id", "label"), F.col("from_id") == F.col("id")).select("from_id", "label", "to_id", "relation", "depth")

@@ -25,7 +25,7 @@ _RANKS = " ".join(f"when '{r}' then {k}" for k, r in enumerate(_ROUTE, 1))
 
 
 @query(", " + _path_sql("R0", "P5", f"select from_id as a, to_id as b, relation, case relation {_RANKS} end as rank from edges where relation in {in_list(_ROUTE)}", 6))
-def t9_a14_shortest_path(spark, d):
+def t9_a14_v39_shortest_path(spark, d):
     return paths.shortest_path(tg.edges(spark, d), "R0", "P5", _ROUTE, 6)
 
 
@@ -65,7 +65,7 @@ def t7_t16_ranked_tree(spark, d):
 
 
 @query(_tree_sql(2, 3, "P1", True) + "select array_to_string(path, '>') as path, looped from tree order by len(path), ranks, path limit 9")
-def t16_hierarchy_with_a_total(spark, d):
+def t16_v14_hierarchy_with_a_total(spark, d):
     tree = paths.ranked_tree(tg.incoming(spark, d), ["P1"], _TREE, 2, 3, incoming=True, total=9)
     return tree.select(F.array_join("path", ">").alias("path"), "looped")
 
