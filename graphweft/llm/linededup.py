@@ -44,7 +44,8 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
 
 def _words(lines: DataFrame) -> DataFrame:
     """(ord, h, line_no, words, n, lh, ...): the lines that hold a word; spaces separate words."""
-    each = lines.withColumn("words", F.array_remove(F.split("line", " "), "")).drop("line").filter(F.size("words") > 0)
+    # lines without a word go by a look at the line: a filter on the words would split each line twice
+    each = lines.filter(F.trim("line") != "").withColumn("words", F.array_remove(F.split("line", " "), "")).drop("line")
     return each.withColumn("n", F.size("words")).withColumn("lh", F.xxhash64("words"))
 
 
