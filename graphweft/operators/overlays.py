@@ -32,8 +32,8 @@ def glob_column(glob: Column, star_crosses: bool = False) -> Column:
 def membership(files: DataFrame, features: DataFrame) -> DataFrame:
     """(file, feature): the features with a glob that a file (file) matches, each once.
 
-    Globs without a star are joined by equality; of the others each file tries those whose text before the
-    first star begins it by one folder, so that the pairs tried are few.
+    Globs without a star are joined by equality; of the others each file tries those that begin with its own
+    first folder. Only globs that begin with a star are tried on every file.
     """
     globs = features.select(F.col("id").alias("feature"), F.explode("files").alias("glob")).distinct()
     plain = globs.filter(~F.contains("glob", F.lit("*"))).select("feature", F.col("glob").alias("file"))
