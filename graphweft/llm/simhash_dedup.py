@@ -118,11 +118,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 5, s
     """The rows of docs, one per group of near copies: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Texts whose sets of word shingles have a Jaccard index of `similarity` or more are near copies,
-    and so are those linked through others (shingle_sets.near_copies).
+    and so are those linked through others (shingle_sets.near_copies); texts without words, null ones
+    too, have the same empty set. Of rows with equal id and text one stays. Other columns keep their values
+    whatever their names. No documents give no rows.
     """
-    marked = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    marked = docs.select("doc_id", "text", F.struct(*rest, F.lit(0)).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     known = shingle_sets.near_copies(spark, marked.filter("doc_id is not null").select("doc_id", "_h", "text"), words_per_shingle, similarity)
     kept = known.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("kept")).select("kept.doc_id", "kept._h")
     # one row by id and text: of repeated ids the text that was chosen stays
-    one = marked.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return one.unionByName(docs.filter("doc_id is null"))
+    one = marked.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    every = one.unionByName(marked.filter("doc_id is null"))
+    return every.select(*[(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
