@@ -26,7 +26,7 @@ def _labels_sql(rounds: int) -> str:
         out.append(f"tot{r} as (select label as seen, sum(k)::hugeint as total from l{r} join degs using (node) group by 1)")
         out.append(f"near{r} as (select node, seen, max(w) as w from (select src as node, label as seen, sum(w)::hugeint as w from links join l{r} on dst = node group by all union all select node, label, 0 from l{r}) group by 1, 2)")
         out.append(f"sc{r} as (select node, label, seen, w * m2 - k * (total - case when seen = label then k else 0 end) as gain from near{r} join tot{r} using (seen) join l{r} using (node) join degs using (node), whole)")
-        out.append(f"l{r + 1} as (select node, case when node % 2 = {r % 2} and max(gain) > max(gain) filter (seen = label) then arg_min(seen, (-gain, seen)) else label end as label from sc{r} group by node, label)")
+        out.append(f"l{r + 1} as (select node, case when (node::bigint >> {r // 2}) % 2 = {r % 2} and max(gain) > max(gain) filter (seen = label) then arg_min(seen, (-gain, seen)) else label end as label from sc{r} group by node, label)")
     out.append(f"sizes as (select label, count(*) as n, min(node) as least from l{rounds} group by 1)")
     out.append("numbers as (select label, row_number() over (order by n desc, least)::int as community from sizes)")
     out.append(f"classes as (select node, community from l{rounds} join numbers using (label))")
