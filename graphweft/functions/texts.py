@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADING_CHARS = 4000
@@ -154,3 +154,13 @@ def shader_bindings(code: Column) -> Column:
 
     return F.filter(F.transform(whole, one), lambda x: x["binding"].isNotNull())
 
+
+
+_DIAGNOSTIC = r"^(.+?):(\d+):(?:(\d+):)?\s*(?:fatal )?(error|warning|note):\s*(.*?)(?:\s*\[([^\[\]]+)\])?$"
+
+
+def compiler_lines(lines: DataFrame) -> DataFrame:
+    """(file, line, col, severity, message, code) of a compiler's output (value); lines that are no diagnostics drop out."""
+    part = lambda k: F.nullif(F.regexp_extract("value", _DIAGNOSTIC, k), F.lit(""))
+    found = lines.filter(F.col("value").rlike(_DIAGNOSTIC))
+    return found.select(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).cast("int").alias("col"), part(4).alias("severity"), part(5).alias("message"), part(6).alias("code"))

@@ -17,6 +17,10 @@ receive connect disconnect load save parse format json str int len map filter so
 clear reset error warn info debug toString valueOf hasOwnProperty constructor raise_for_status status_code text content
 data result request response handler callback resolve reject __init__ __str__ __repr__ self this cls super""".split()
 NOISE = """build process execute handle apply validate render toString equals hash size empty begin end next""".split()
+REPORT_NOISE = """close open read write get set json log print send parse init run test str int len __init__ __str__ __repr__
+raise_for_status toString""".split()
+BRIEF_NOISE = """close open read write get set json log print send parse init run test str int len __init__ __str__ __repr__
+raise_for_status toString handle make build map filter reduce push pop pipe next prev""".split()
 
 # Node counts up to which a tier holds, its name and its budget of tokens.
 BUDGETS = [(800, "tiny", 1500), (4000, "small", 2800), (15000, "medium", 4500), (40000, "large", 7000), (None, "huge", 10000)]
@@ -28,8 +32,10 @@ def task_status(status: Column) -> Column:
     return F.when(own.isin(CLOSED), "closed").when(own.isin(OPEN), "open").otherwise("unknown")
 
 
-def is_noise(label: Column) -> Column:
-    return F.coalesce(label.isin([*COMMON_NAMES, *NOISE]), F.lit(False))
+def is_noise(label: Column, where: str = "ranking") -> Column:
+    """Names that a ranking, a report or a brief leaves out."""
+    left_out = {"resolver": COMMON_NAMES, "ranking": [*COMMON_NAMES, *NOISE], "report": REPORT_NOISE, "brief": BRIEF_NOISE}[where]
+    return F.coalesce(label.isin(left_out), F.lit(False))
 
 
 def trust_level(unresolved: Column, weak: int = 2000, ok: int = 500) -> Column:
