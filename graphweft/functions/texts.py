@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# How many characters of headings are kept, and the patterns of fences and headings.
 HEADING_CHARS = 4000
 _FENCE = r"^ {0,3}(?:```|~~~)"
 _HEADING = r"^ {0,3}#{1,6}\s+(\S.*)$"
@@ -138,6 +139,7 @@ def dynamic_calls(code: Column, python: bool = False) -> Column:
     return F.filter(found, lambda x: x["n"] > 0)
 
 
+# Fixed value: a shader's layout declaration.
 _LAYOUT = r"layout\s*\(([^)]*)\)\s*((?:(?:readonly|writeonly|coherent|volatile|restrict|std430|std140|highp|mediump|lowp)\s+)*)(buffer|uniform)\s+([^;{]*?)\s*[;{]"
 
 

@@ -70,6 +70,7 @@ def risk_band(score: Column) -> Column:
     return F.when(score >= 6, "high").when(score >= 3, "medium").otherwise("low")
 
 
+# What evidence for a task's link says if it is strong, and if it is broad.
 _STRONG = r"(?i)\b(tag|custom[_ -]?field|component|commit|branch|path|file|files?_hint|symbol|anchor|code|diff):|\b(explicit task tags?|custom fields?|commit[- ]message|branch[- ]name|file paths? mentioned|files?_hint|code[- ]anchored)\b"
 _BROAD = r"(?i)\b(title|description|fuzzy|spec|future|roadmap|manual|broad):|\b(fuzzy title|fuzzy description|future work|broad mapping|manual mapping|spec work|roadmap)\b"
 
@@ -86,29 +87,42 @@ def link_strength(features: Column, declared: Column, evidence: Column, files: C
     )
 
 
+# Roles in their order; what path or label holds, what the label alone holds, the type that they need.
+ROLES = [
+    ("middleware", "middleware|kernel", "", ""),
+    ("handler", "controller", "", ""),
+    ("routing", "/route|router", "", ""),
+    ("entity", r"/entity/|/entities/|/models/|entity\.|model\.|record\.", "(entity|model|record)$", ""),
+    ("factory", "factory|builder|provider", "", ""),
+    ("repository", r"repository|repo\.|dao", "", ""),
+    ("request/validation", "/request|formrequest", "", "Class"),
+    ("service", "/service|/processor|/command|/job|/task", "", ""),
+    ("renderer", "", "render|format|serializ", ""),
+    ("storage", r"/storage/|/database/|/db\.|storage\.|/store/", "", ""),
+    ("pipeline", "resolve|orchestr|freshness|pipeline|ingest", "", ""),
+]
+PLAIN_ROLES = {"Class": "class", "Method": "method", "Function": "fn"}
+
+
 def role_of(label: Column, path: Column, kind: Column) -> Column:
-    """What part a symbol plays, by what its path and label hold; the first rule that holds."""
-    f, name = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(label, F.lit("")))
+    """What part a symbol plays: the first role whose words are there, else what its type says."""
+    where, name = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(label, F.lit("")))
 
-    def holds(*words: str) -> Column:
-        pattern = "|".join(w.replace(".", r"\.") for w in words)
-        return f.rlike(pattern) | name.rlike(pattern)
+    def plays(words: str, own: str, needs: str) -> Column:
+        hit = F.lit(False)
+        for text, pattern in ((where, words), (name, words), (name, own)):
+            hit = hit | text.rlike(pattern) if pattern else hit
+        return hit & (kind == needs) if needs else hit
 
-    return (
-        F.when(holds("middleware", "kernel"), "middleware").when(holds("controller"), "handler").when(holds("/route", "router", "/routes/"), "routing")
-        .when(holds("/entity/", "/entities/", "/models/", "entity.", "model.", "record.") | name.rlike("(entity|model|record)$"), "entity")
-        .when(holds("factory", "builder", "provider"), "factory").when(holds("repository", "repo.", "dao"), "repository")
-        .when(holds("/request", "formrequest") & (kind == "Class"), "request/validation").when(holds("/service", "/processor", "/command", "/job", "/task"), "service")
-        .when(name.rlike("render|format|serializ"), "renderer").when(holds("/storage/", "/database/", "/db.", "storage.", "/store/"), "storage")
-        .when(holds("resolve", "orchestr", "freshness", "pipeline", "ingest"), "pipeline")
-        .when(kind == "Class", "class").when(kind == "Method", "method").when(kind == "Function", "fn").otherwise(F.lower(F.coalesce(F.nullif(kind, F.lit("")), F.lit("symbol"))))
-    )
+    plain = [F.when(kind == k, F.lit(r)) for k, r in PLAIN_ROLES.items()]
+    return F.coalesce(*[F.when(plays(*conditions), F.lit(role)) for role, *conditions in ROLES], *plain, F.nullif(F.lower(kind), F.lit("")), F.lit("symbol"))
 
 
+# Modules that come with a language, and buckets of unresolved references in their order with their
+# relations, extractors (empty: any) and pattern of the target.
 _NODE = "assert|buffer|child_process|crypto|events|fs|http|https|net|os|path|process|stream|url|util|zlib"
 _PYTHON = """os|sys|re|json|math|time|datetime|typing|collections|functools|itertools|logging|pathlib|unittest|pytest|asyncio|subprocess|threading|socket|abc|dataclasses|enum|warnings|contextlib|io"""
 _WORD = "^[A-Za-z_][A-Za-z0-9_]*$"
-# Buckets of unresolved references in their order: relations, extractors (empty: any), pattern of the target.
 BUCKETS = [
     ("external-by-design:node-builtin", ["IMPORTS"], [], rf"^(node:[A-Za-z0-9_./-]+|{_NODE})(\.|$)"),
     ("external-by-design:npm", ["IMPORTS"], ["javascript", "typescript"], r"^(@[a-z0-9_~-]+/[a-z0-9_~-]+|[a-z@][a-z0-9@_-]*)(\.|$)"),

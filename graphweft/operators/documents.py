@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions import paths, texts
 
-# How sure a rule is.
+# How sure a rule is, and the patterns of links, code, paths and names in documents.
 CONFIDENCE = {"markdown": 0.95, "inline-path": 0.85, "path-suffix": 0.80, "qualified": 0.90, "path-scoped": 0.85}
 _LINK = r"\[[^\]\n]*\]\(\s*([^()\s]+?)(?:\s+[\"'][^\"']*[\"'])?\s*\)"
 _CODE = r"`([^`\n]+)`"
