@@ -123,17 +123,28 @@ def role_of(label: Column, path: Column, kind: Column) -> Column:
 _NODE = "assert|buffer|child_process|crypto|events|fs|http|https|net|os|path|process|stream|url|util|zlib"
 _PYTHON = """os|sys|re|json|math|time|datetime|typing|collections|functools|itertools|logging|pathlib|unittest|pytest|asyncio|subprocess|threading|socket|abc|dataclasses|enum|warnings|contextlib|io"""
 _WORD = "^[A-Za-z_][A-Za-z0-9_]*$"
+# Names that a script's runtime gives, and headers of the C++ standard library.
+SCRIPT_GLOBALS = """__dirname __filename require module exports process console globalThis global Buffer setTimeout setInterval
+clearTimeout clearInterval setImmediate clearImmediate queueMicrotask URL URLSearchParams TextEncoder TextDecoder""".split()
+STANDARD_HEADERS = """algorithm any array atomic barrier bit bitset cassert cctype cerrno cfenv cfloat charconv chrono cinttypes climits
+clocale cmath codecvt compare complex concepts condition_variable coroutine csetjmp csignal cstdarg cstaddef cstddef cstdint cstdio
+cstdlib cstring ctime cuchar cwchar cwctype deque exception execution expected filesystem format forward_list fstream functional
+future initializer_list iomanip ios iosfwd iostream istream iterator latch limits list locale map memory memory_resource mutex new
+numbers numeric optional ostream queue random ranges ratio regex scoped_allocator semaphore set shared_mutex source_location span
+sstream stack stdexcept stop_token streambuf string string_view strstream syncstream system_error thread tuple type_traits
+typeindex typeinfo unordered_map unordered_set utility valarray variant vector version""".split()
 BUCKETS = [
     ("external-by-design:node-builtin", ["IMPORTS"], [], rf"^(node:[A-Za-z0-9_./-]+|{_NODE})(\.|$)"),
     ("external-by-design:npm", ["IMPORTS"], ["javascript", "typescript"], r"^(@[a-z0-9_~-]+/[a-z0-9_~-]+|[a-z@][a-z0-9@_-]*)(\.|$)"),
     ("external-by-design:python-stdlib", ["IMPORTS"], ["python"], rf"^({_PYTHON})(\.|$)"),
     ("external-by-design:pip", ["IMPORTS"], ["python"], r"^[a-z][a-z0-9_]*(\.[a-z0-9_]+)*$"),
-    ("external-by-design:cpp-system", ["IMPORTS"], ["cpp", "c"], r"^\s*<|(?i:\.(h|hpp|hh|hxx|inl|ipp))\s*$|^\s*(std|boost|glm|vma|vulkan|imgui|entt|flecs)\b"),
+    ("external-by-design:cpp-system", ["IMPORTS"], ["cpp", "c"], rf"^\s*({'|'.join(STANDARD_HEADERS)})\s*$|^\s*<|(?i:\.(h|hpp|hh|hxx|inl|ipp))\s*$|^\s*(std|boost|glm|vma|vulkan|imgui|entt|flecs)\b"),
     ("external-by-design:php-framework", [], ["php", "laravel"], r"^(Illuminate|Symfony|Laravel|Eloquent|DB|Cache|Log|Auth|Queue|Event)(\.|$|\\)"),
     ("shape-issue:contains-missing-target", ["CONTAINS"], [], r"^\s*$"),
     ("shape-issue:empty-target", [], [], r"^\s*$"),
     ("shape-issue:operator-only", [], [], r"^[()\[\]{}<>+\-*/=!?:;,.$#@&|^~%\s`'\"]+$"),
     ("denylisted-by-design:common-name", ["CALLS", "REFERENCES"], [], f"^({'|'.join(COMMON_NAMES)})$"),
+    ("denylisted-by-design:js-global", ["CALLS", "REFERENCES"], [], f"^({'|'.join(SCRIPT_GLOBALS)})$"),
     ("fixable:call-short-name", ["CALLS"], [], _WORD),
     ("fixable:reference-short-name", ["REFERENCES"], [], _WORD),
     ("fixable:qualified-path", [], [], r"[./]"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphweft.functions import scalars
+from graphweft.functions import scalars, verdicts
 from graphweft.operators import clusters, documents, evidence, overlays, paths, ranking, resolver, search, suggest, traverse
 from graphweft.operators import relational as rel
 
@@ -109,6 +109,17 @@ def test_suggestions_know_typos_and_leaves(spark):
     assert told("LOAD")[0] == ("load", 0) and told("zzzzzz") == []
 
 
+def test_buckets_of_unresolved_references(spark):
+    cases = [
+        ("IMPORTS", "vector", "cpp", "external-by-design:cpp-system"), ("IMPORTS", "SDL3/SDL.h", "c", "external-by-design:cpp-system"), ("IMPORTS", "react", "javascript", "external-by-design:npm"),
+        ("IMPORTS", "@a/b.c", "typescript", "external-by-design:npm"), ("IMPORTS", "mcp/own", "javascript", "fixable:qualified-path"), ("CALLS", "setTimeout", "javascript", "denylisted-by-design:js-global"),
+        ("CALLS", "parse", "python", "denylisted-by-design:common-name"), ("REFERENCES", "Thing", "php", "fixable:reference-short-name"), ("USES_TYPE", "Thing", "php", "unclassified"), ("CALLS", "DB.table", "laravel", "external-by-design:php-framework"),
+        ("CONTAINS", None, "cpp", "shape-issue:contains-missing-target"), ("CALLS", "", "cpp", "shape-issue:empty-target"),
+    ]
+    rows = spark.createDataFrame(cases, "r string, t string, x string, want string").select("want", verdicts.unresolved_bucket(F.col("r"), F.col("t"), F.col("x")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows), rows
+
+
 def test_cosine_of_odd_vectors(spark):
     rows = [([1.0, 2.0], [1.0, 2.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0])]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(scalars.cosine(F.col("a"), F.col("b"))).collect()]
