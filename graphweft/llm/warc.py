@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import materialise, scratch_path
+from graphweft.llm.common import materialise, scratch_path, small_batches, tidy
 
 SEGMENT = 1 << 16
 CHUNK = 1 << 13
@@ -96,6 +96,7 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
     """Archive files under path, of at most RECORDS_PER_FILE records each."""
+    small_batches(spark)
     again = revisits(pages, least).select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "refers_to")
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     matched = own.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.unhex(F.sha1("payload")) == F.col("again_sha")), "left")
@@ -109,7 +110,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
                 out += records_of(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), f"{part} {n}", segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    written = matched.select("page_id", "url", "payload", "refers_to").mapInArrow(records, "record binary")
+    written = matched.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(records), "record binary")
     # a text row is written as it is: the separator ends each record as the format asks
     written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
@@ -130,11 +131,14 @@ def _plain(content: bytes) -> Iterator[bytes]:
     while at < len(content):
         member = zlib.decompressobj(31)
         while not member.eof:
-            if at >= len(content):
+            some = member.unconsumed_tail
+            if not some:
+                some = content[at : at + _AT_ONCE]
+                at += len(some)
+            part = member.decompress(some, 8 * _AT_ONCE)
+            if not part and not some:
                 raise EOFError("a member is cut off")
-            some = content[at : at + _AT_ONCE]
-            at += len(some)
-            yield member.decompress(some)
+            yield part
         at -= len(member.unused_data)
 
 
@@ -289,11 +293,11 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 10, _PARSED_ARROW)], schema=_PARSED_ARROW)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > 0).select("content")
-    parsed = materialise(spark, files.mapInArrow(scan, _PARSED), "warc-records")
+    parsed = materialise(spark, files.mapInArrow(tidy(scan), _PARSED), "warc-records")
     split = parsed.filter("origin is not null").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
     )
-    joined = split.select("page_id", "total", "parts").mapInArrow(join, _PARSED)
+    joined = split.select("page_id", "total", "parts").mapInArrow(tidy(join), _PARSED)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     return parsed.filter("origin is null").select(*columns).unionByName(joined.select(*columns))
 
