@@ -298,3 +298,43 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_languages_by_the_nearest_centroid(spark):
+    random.seed(12)
+    speech = {"en": "the cat and dog with a thing".split(), "fr": "le chat et les chiens où être".split(), "de": "der hund und die katze über straße".split()}
+    rows = [(k, " ".join(random.choices(speech[lang], k=12)), lang) for k, lang in enumerate(list(speech) * 40)]
+    docs = spark.createDataFrame([*rows, (900, "1 2 3", "en"), (901, None, None), (902, "le thing katze", None)], "doc_id bigint, text string, lang string")
+    model = langid.fit(spark, docs)
+    import zlib
+
+    learnt = [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    held = sum((langid.grams(t) > 0).astype(int) for t in learnt)
+    assert np.allclose(model["idf"], np.log((1 + len(learnt)) / (1 + held)) + 1, atol=1e-5) and set(model["names"]) == set(speech)
+    for r in langid.report(spark, docs).collect():
+        counts = langid.grams(next(t for k, t, _ in [*rows, (900, "1 2 3", ""), (901, None, ""), (902, "le thing katze", "")] if k == r.doc_id))
+        if counts is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = [math.log1p(c) * w for c, w in zip(counts.tolist(), model["idf"].tolist())]
+        cosine = [sum(a * b for a, b in zip(v, c)) / math.sqrt(sum(a * a for a in v)) / math.sqrt(sum(b * b for b in c)) for c in model["centres"].tolist()]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert r.lang_pred == model["names"][best] and abs(r.score - cosine[best]) < 1e-4
+
+
+def test_toxicity_scores_follow_from_the_segments(spark):
+    texts = [(i, ("you utter zzgrim fool " * (1 + i % 2) if i % 3 == 0 else "a calm and plain text ") + f"about w{i} things") for i in range(1, 121)]
+    docs = spark.createDataFrame([*texts, (500, None), (501, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark, docs, labels)
+    assert {"zzgrim", "fool", "utter", "you"} <= set(model["scores"]) and "calm" not in model["scores"]
+    a, b, c = model["weights"]
+    for r in toxicity.score(spark, docs, model).collect():
+        own = toxicity.tokens(r.text)
+        hits = [(i, model["scores"][w]) for i, w in enumerate(own) if w in model["scores"]]
+        found = toxicity.segments(hits, toxicity.LOSS)
+        assert [(x["first"], x["last"]) for x in r.segments] == [(x, y) for x, y, _ in found]
+        bits = [max(0.0, s * model["lambda"] - math.log(max(1, len(own))) - model["log_k"]) for *_, s in found]
+        best = max(bits, default=0.0)
+        want = 1 / (1 + math.exp(-max(-30, min(30, a + b * best * 40 / (best + 40) + c * math.log1p(sum(bits))))))
+        assert abs(r.score - want) < 1e-9
