@@ -42,21 +42,33 @@ def _index(nodes: DataFrame, rule: int, key: Column) -> DataFrame:
     return unfolded.groupBy("key", "family", "scope", "place").agg(F.count("*").alias("n"), F.min("id").alias("id")).withColumn("rule", F.lit(rule))
 
 
-RULES = ["qualified name", "suffix of a qualified name", "suffix of a path", "label"]
+RULES = ["qualified name", "suffix of a qualified name", "suffix of a path", "import of its file", "label"]
 
 
 def index_of(nodes: DataFrame) -> DataFrame:
     """The index of all rules over nodes (id, label, qname, file_path, language, type)."""
     one = lambda c: F.array(F.coalesce(c, F.lit("")))
     own = _index(nodes, 0, one(F.col("qname"))).unionByName(_index(nodes, 1, _suffixes(F.coalesce("qname", F.lit("")), ".")))
-    return own.unionByName(_index(nodes.filter("type = 'File'"), 2, _suffixes(F.col("file_path"), "/"))).unionByName(_index(nodes, 3, one(F.col("label"))))
+    return own.unionByName(_index(nodes.filter("type = 'File'"), 2, _suffixes(F.col("file_path"), "/"))).unionByName(_index(nodes, 4, one(F.col("label"))))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def imported(refs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """(ref_id, to_id) of refs whose target their file imports: the only node of the exported name in the file that it comes from.
+
+    imports are (file_path, local, from_file, exported). A default export goes by the local name.
+    """
+    known = imports.select(F.col("file_path").alias("source_file"), F.col("local").alias("target"), F.col("from_file").alias("at"), F.when(F.col("exported") == "default", F.col("local")).otherwise(F.col("exported")).alias("label"))
+    unique = nodes.filter("type <> 'File'").groupBy(F.col("file_path").alias("at"), "label").agg(F.count("*").alias("n"), F.min("id").alias("to_id")).filter("n = 1")
+    met = refs.select("ref_id", "source_file", "target").join(known.distinct(), ["source_file", "target"]).join(unique, ["at", "label"])
+    return met.groupBy("ref_id").agg(F.countDistinct("to_id").alias("n"), F.min("to_id").alias("to_id")).filter("n = 1").select("ref_id", "to_id")
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """refs (ref_id, source_file, relation, target, extractor) with to_id, rule and provenance; null where nothing was sure.
 
     The rules are tried in order for each spelling of the target: its qualified name; for a target with
-    separators, a suffix of one; for an import by path, a suffix of a file's path; its label. A rule answers
+    separators, a suffix of one; for an import by path, a suffix of a file's path; what its file imports
+    under that name, if imports are given (see `imported`); its label. A rule answers
     with the only node there is, else the only one of the same file, else of the same folder. Nodes of the
     reference's own language family go first; for most relations others don't count. A common name resolves
     within its file only. The answer is ambiguous if several nodes had the key.
@@ -64,7 +76,7 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     bare = names.lookup_candidates(F.col("target"))
     dotted, path = F.col("target").rlike(r"[.\\/]"), (F.col("relation") == "IMPORTS") & F.col("target").rlike(r"[\\/]")
     ask = lambda rule, keys, when: F.transform(F.when(when, keys).otherwise(F.array().cast("array<string>")), lambda k, i: F.struct(F.lit(rule).alias("rule"), i.alias("spelling"), k.alias("key")))
-    asked = F.concat(ask(0, bare, F.lit(True)), ask(1, bare, dotted), ask(2, F.array(names.external_target(F.col("target"))), path), ask(3, F.array("target"), F.lit(True)))
+    asked = F.concat(ask(0, bare, F.lit(True)), ask(1, bare, dotted), ask(2, F.array(names.external_target(F.col("target"))), path), ask(4, F.array("target"), F.lit(True)))
     folder = paths.folder_of(F.col("source_file"))
     at = F.array(F.struct(F.lit(0).alias("scope"), F.lit("").alias("place")), F.struct(F.lit(1).alias("scope"), F.col("source_file").alias("place")), F.struct(F.lit(2).alias("scope"), folder.alias("place")))
     own = refs.select("ref_id", "relation", "target", family_of(F.col("extractor")).alias("own_family"), at.alias("at"), F.inline(asked)).select("*", F.inline("at")).drop("at")
@@ -78,10 +90,13 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     gated = F.col("relation").isin(GATED) & (F.col("own_family") != "unknown")
     pick = lambda what, s: F.when(inside, F.col(f"same_{what}{s}")).when(~gated, F.col(f"{what}{s}"))
     near = [F.when(pick("n", s) == 1, pick("id", s)) for s in (0, 1, 2)]
-    common = F.col("target").isin(COMMON_NAMES) & (F.col("rule") == 3)
+    common = F.col("target").isin(COMMON_NAMES) & (F.col("rule") == 4)
     answer = F.when(common, near[1]).otherwise(F.coalesce(*near))
-    sure = F.when(pick("n", 0) > 1, "AMBIGUOUS").when(F.col("rule").isin(0, 3), "EXTRACTED").otherwise("INFERRED")
+    sure = F.when(pick("n", 0) > 1, "AMBIGUOUS").when(F.col("rule").isin(0, 4), "EXTRACTED").otherwise("INFERRED")
     answered = found.select("ref_id", "rule", "spelling", answer.alias("to_id"), F.when(common, "INFERRED").otherwise(sure).alias("provenance")).filter("to_id is not null")
+    if imports is not None:
+        proven = imported(refs.filter(~F.col("target").isin(COMMON_NAMES)), nodes, imports)
+        answered = answered.unionByName(proven.select("ref_id", F.lit(3).alias("rule"), F.lit(0).alias("spelling"), "to_id", F.lit("INFERRED").alias("provenance")))
     best = answered.groupBy("ref_id").agg(F.min(F.struct("rule", "spelling", "to_id", "provenance")).alias("best"))
     return refs.join(best.select("ref_id", "best.rule", "best.to_id", "best.provenance"), "ref_id", "left")
 

@@ -45,7 +45,7 @@ cand as (select r.*, n.id, n.file_path, n.family = r.family as same from r join
 c as (select * from cand qualify same or (count(*) filter (same) over (partition by ref_id) = 0 and relation <> 'CALLS')),
 a as (select ref_id, any_value(form) as form, count(*) as k, min(id) as one, count(*) filter (file_path = source_file) as kf, min(id) filter (file_path = source_file) as f1, count(*) filter (starts_with(file_path, dir)) as kd, min(id) filter (starts_with(file_path, dir)) as d1 from c group by 1),
 ans as (select ref_id, form, k, case when k = 1 then one when kf = 1 then f1 when kd = 1 then d1 end as to_id from a),
-res as (select r.ref_id, r.relation, r.target, r.family, to_id, case when to_id is null then null when k > 1 then 'AMBIGUOUS' when ans.form in (0, 3) then 'EXTRACTED' else 'INFERRED' end as provenance, case when to_id is null then null else ans.form end as rule from r left join ans using (ref_id))"""
+res as (select r.ref_id, r.relation, r.target, r.family, to_id, case when to_id is null then null when k > 1 then 'AMBIGUOUS' when ans.form in (0, 3) then 'EXTRACTED' else 'INFERRED' end as provenance, case when to_id is null then null when ans.form = 3 then 4 else ans.form end as rule from r left join ans using (ref_id))"""
 
 
 @query(f"with {_CODE} select ref_id, to_id, provenance, coalesce(rule, -1)::int as rule from res", graph=False)

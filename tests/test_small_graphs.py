@@ -72,6 +72,14 @@ def test_the_resolver_refuses_what_stays_ambiguous(spark):
     assert {r.label for r in outside.collect()} == {"walk", "paint", "Gone.now"}
 
 
+def test_what_a_file_imports_goes_before_a_namesake_nearby(spark):
+    nodes = spark.createDataFrame([("1", "Function", "paint", "", "src/a.ts", "typescript"), ("2", "Function", "paint", "", "lib/b.ts", "typescript"), ("3", "Class", "Box", "", "lib/b.ts", "typescript")], NODES)
+    refs = spark.createDataFrame([("r1", "src/x.ts", "CALLS", "paint", "typescript"), ("r2", "src/y.ts", "CALLS", "paint", "typescript"), ("r3", "src/x.ts", "CALLS", "Own", "typescript")], "ref_id string, source_file string, relation string, target string, extractor string")
+    imports = spark.createDataFrame([("src/x.ts", "paint", "lib/b.ts", "paint"), ("src/x.ts", "Own", "lib/b.ts", "Box")], "file_path string, local string, from_file string, exported string")
+    got = {r.ref_id: (r.to_id, r.rule) for r in resolver.resolve(refs, nodes, imports).collect()}
+    assert got == {"r1": ("2", 3), "r2": ("1", 4), "r3": ("3", 3)}
+
+
 def test_a_reference_inside_a_caller_proves_a_call(spark):
     nodes = spark.createDataFrame([("caller", "Function", "a.cpp", 1, 9), ("callee", "Method", "b.cpp", 3, 6), ("Box", "Class", "b.cpp", 1, 20)], "id string, type string, file_path string, start_line int, end_line int")
     symbols = evidence.defined_symbols(spark.createDataFrame([(1, "s", "b.cpp", 3), (2, "t", "c.cpp", 8)], "seq int, symbol string, file string, line int"), nodes)
