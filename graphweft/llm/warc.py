@@ -59,18 +59,24 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
-def records_of(page_id, url: str | None, payload: bytes, refers_to, nonce: str, segment: int = SEGMENT) -> list[bytes]:
+def _address(url: str) -> str:
+    """An address without white space, which would end the field."""
+    return re.sub(r"\s", lambda m: quote(m.group()), url)
+
+
+def records_of(page_id, url: str | None, payload: bytes, refers_to, nonce: str, segment: int = SEGMENT, refers_url: str | None = None) -> list[bytes]:
     """The records of one page, without the two line ends that close each."""
     digest = base32_sha1(payload)
     name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {nonce}')}>"
     common = [("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
-        common.append(("WARC-Target-URI", re.sub(r"\s", lambda m: quote(m.group()), url)))
+        common.append(("WARC-Target-URI", _address(url)))
     if page_id is not None:
         common.append(("WARC-Page-ID", str(page_id)))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", str(refers_to)), ("WARC-Refers-To-Date", _DATE)]
+        fields += [("WARC-Refers-To-Target-URI", _address(refers_url))] if refers_url is not None else []
         return [_record([*fields, *common, ("Content-Type", "application/http;msgtype=response")], http + b"Content-Length: %d\r\n\r\n" % len(payload))]
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), *common, ("Content-Type", "application/http;msgtype=response")]
@@ -87,17 +93,20 @@ def records_of(page_id, url: str | None, payload: bytes, refers_to, nonce: str,
 
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, sha, refers_to): pages whose payload of at least `least` bytes an earlier page has too."""
-    own = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    own = own.filter(F.octet_length("payload") >= least).select("page_id", F.unhex(F.sha1("payload")).alias("sha"))
-    first = own.groupBy("sha").agg(F.min("page_id").alias("refers_to"))
-    return own.join(first, "sha").filter("page_id > refers_to or (page_id is null and refers_to is not null)").select("page_id", "sha", "refers_to").distinct()
+    """(page_id, sha, refers_to, refers_url): pages whose payload of at least `least` bytes an earlier page has too."""
+    own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
+    own = own.filter(F.octet_length("payload") >= least).select("page_id", "url", F.unhex(F.sha1("payload")).alias("sha"))
+    first = own.filter("page_id is not null").groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first")).select("sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    return own.select("page_id", "sha").join(first, "sha").filter("page_id > refers_to or page_id is null").select("page_id", "sha", "refers_to", "refers_url").distinct()
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -> None:
-    """Archive files under path, of at most RECORDS_PER_FILE records each."""
+    """Archive files under path, of at most RECORDS_PER_FILE records each.
+
+    A revisit names the response's page, and, as the format has it, its address and date.
+    """
     small_batches(spark)
-    again = revisits(pages, least).select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "refers_to")
+    again = revisits(pages, least).select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "refers_to", "refers_url")
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     matched = own.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.unhex(F.sha1("payload")) == F.col("again_sha")), "left")
 
@@ -105,12 +114,12 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for page_id, url, payload, refers_to in zip(*(c for c in batch.columns)):
+            for page_id, url, payload, refers_to, refers_url in zip(*(c for c in batch.columns)):
                 n += 1
-                out += records_of(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), f"{part} {n}", segment)
+                out += records_of(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), f"{part} {n}", segment, refers_url.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    written = matched.select("page_id", "url", "payload", "refers_to").mapInArrow(tidy(records), "record binary")
+    written = matched.select("page_id", "url", "payload", "refers_to", "refers_url").mapInArrow(tidy(records), "record binary")
     # a text row is written as it is: the separator ends each record as the format asks
     written.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 

@@ -173,6 +173,8 @@ def test_broken_records_are_told_and_passed_over():
     end = b"\r\n\r\n"
     first, second = one(1, b"first"), one(2, b"second")
     assert b"a%20b1" in first
+    again = warc.records_of(2, "http://x/b", b"first", 1, "n", refers_url="http://x/a b1")[0]
+    assert b"WARC-Refers-To-Target-URI: http://x/a%20b1\r\n" in again and b"WARC-Type: revisit" in again
     read = lambda content: [(f.get("warc-page-id"), b is not None) for f, b in warc.parse(content)]
     assert read(first + end + second + end) == [("1", True), ("2", True)]
     assert read(gzip.compress(first + end) + gzip.compress(second + end)) == [("1", True), ("2", True)]
