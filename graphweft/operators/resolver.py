@@ -38,7 +38,7 @@ def _index(nodes: DataFrame, rule: int, key: Column) -> DataFrame:
         F.transform(folders, lambda f: F.struct(F.lit(2).alias("scope"), f.alias("place"))),
     )
     keyed = nodes.select("id", "file_path", family_of(F.col("language")).alias("family"), F.explode(key).alias("key")).filter("key <> ''")
-    unfolded = keyed.select("id", "family", "key", F.inline(scopes)).distinct()
+    unfolded = keyed.select("id", "family", "key", F.inline(scopes))  # a node has a key once
     return unfolded.groupBy("key", "family", "scope", "place").agg(F.count("*").alias("n"), F.min("id").alias("id")).withColumn("rule", F.lit(rule))
 
 
