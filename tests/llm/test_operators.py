@@ -220,12 +220,15 @@ def test_repeated_ids_keep_components_apart(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [5, 1_000])
+def test_near_copies_against_brute_force(spark, monkeypatch, hot):
     import random
 
     import corpus_pipeline
+    from graphweft.llm import shingle_sets
     from graphweft.llm.shingle_sets import shingle_set
 
+    monkeypatch.setattr(shingle_sets, "HOT", hot)
     random.seed(3)
     word = lambda: f"w{random.randint(0, 5000)}"
     shared = [word() for _ in range(40)]
