@@ -26,13 +26,13 @@ def e1_overview_with_other(spark, d):
 
 
 @query(
-    """, deg as (select id, count(*) as degree from (select from_id as id from edges union all select to_id from edges) group by 1), kept as (select id from nodes left join deg using (id) order by coalesce(degree, 0) desc, id limit 40)
+    """, deg as (select id, count(*) as degree from (select from_id as id from edges union all select to_id from edges) group by 1), kept as (select id from nodes left join deg using (id) order by coalesce(degree, 0) desc, id limit 400)
     select from_id, to_id, relation from edges where from_id in (select id from kept) and to_id in (select id from kept) order by 1, 2, 3 limit 100"""
 )
 def e1_capped_graph(spark, d):
     """What a screen can show: the nodes with most edges, and the edges between them, both capped."""
     degree = rel.degree(tg.edges(spark, d)).select("id", "degree")
-    kept = tg.nodes(spark, d).select("id").join(degree, "id", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id").limit(40)
+    kept = tg.nodes(spark, d).select("id").join(degree, "id", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id").limit(400)
     ends = [F.broadcast(kept.select(F.col("id").alias(c))) for c in ("from_id", "to_id")]  # the cap's rows
     own = tg.edges(spark, d).join(ends[0], "from_id", "left_semi").join(ends[1], "to_id", "left_semi")
     return own.select("from_id", "to_id", "relation").orderBy("from_id", "to_id", "relation").limit(100)
