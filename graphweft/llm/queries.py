@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, decontam, fingerprint, langid, linededup, oracles, pii, quality, simhash_dedup, toxicity, warc
+from graphweft.llm import bpe, decontam, drift, fingerprint, langid, linededup, ngram_join, oracles, pii, quality, simhash_dedup, spelling, toxicity, warc
 from graphweft.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.report(spark, table(spark, sf_dir, "clients"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op11_schema_rewrite": op11_schema_rewrite,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_spelling": op13_spelling,
 }
 
 #: The others have no SQL: it knows neither their hashes, nor their tokenizer, nor what they learn.

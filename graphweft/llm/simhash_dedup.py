@@ -13,31 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.llm import shingle_sets
+from graphweft.llm import ngram_join
 from graphweft.llm.common import materialise
 from graphweft.llm.components import connected_components
-
-SEED = 42
-_FEW = 1 << 15
-
-
-def shingle_hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
-    """The XXH64 of each run of words of a text, some at a time; a shorter text is one run, no words give none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
-    if not words:
-        return
-    n = max(1, len(words) - words_per_shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[-n:].tolist()
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, _FEW):
-        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _FEW], ends[at : at + _FEW])], dtype="<u8")
+from graphweft.llm.shingles import shingle_hashes
 
 
 def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
@@ -118,13 +100,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 5, s
     """The rows of docs, one per group of near copies: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Texts whose sets of word shingles have a Jaccard index of `similarity` or more are near copies,
-    and so are those linked through others (shingle_sets.near_copies); texts without words, null ones
+    and so are those linked through others (ngram_join.set_classes); texts without words, null ones
     too, have the same empty set. Of rows with equal id and text one stays. Other columns keep their values
     whatever their names. No documents give no rows.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     marked = docs.select("doc_id", "text", F.struct(*rest, F.lit(0)).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    known = shingle_sets.near_copies(spark, marked.filter("doc_id is not null").select("doc_id", "_h", "text"), words_per_shingle, similarity)
+    known = ngram_join.set_classes(spark, marked.filter("doc_id is not null").select("doc_id", "_h", "text"), words_per_shingle, round(100 * similarity))
     kept = known.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("kept")).select("kept.doc_id", "kept._h")
     # one row by id and text: of repeated ids the text that was chosen stays
     one = marked.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
