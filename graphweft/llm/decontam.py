@@ -287,7 +287,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     """
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]
-    carried = docs.select("text", F.struct("doc_id", *rest).alias("doc_id"))
+    carried = docs.select("text", F.struct("doc_id", *(f"`{c}`" for c in rest)).alias("doc_id"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, texts, changed = [], [], []

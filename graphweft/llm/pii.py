@@ -11,6 +11,8 @@ unbounded parts give nothing back.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,6 +278,20 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
+@lru_cache(maxsize=4)
+def _expressions(jvm: int, key: str) -> tuple[Column, Column, Column]:
+    """The matches of text cut into parts; the parts (found) with their pseudonyms; text woven anew from these.
+
+    Some ten thousand calls to the driver's JVM build them, once for a JVM and key.
+    """
+    matches = F.coalesce(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)), F.array().cast("array<string>"))
+    named = lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))
+    new = F.transform("found", lambda parts: F.array_join(parts["pseudonym"], ""))
+    pairs = F.arrays_zip(F.split("text", _ANY).alias("gap"), new.alias("new"))
+    woven = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+    return F.transform(matches, parts_of), F.transform("found", lambda parts: F.transform(parts, named)), woven
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with the text's personal values replaced, and found array<struct<kind, value, pseudonym>>.
 
@@ -287,14 +303,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     if not key:
         raise ValueError("pseudonyms need a key")
-    values = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
-    marked = docs.drop("found").withColumn("found", F.coalesce(values, F.array().cast("array<string>")))
-    marked = marked.withColumn("found", F.transform("found", parts_of))
-    named = lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))
-    marked = marked.withColumn("found", F.transform("found", lambda parts: F.transform(parts, named)))
-    gaps = F.split("text", _ANY)
-    woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.transform("found", lambda parts: F.array_join(parts["pseudonym"], "")).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
-    return marked.withColumn("text", F.when(F.size("found") > 0, woven).otherwise(F.col("text"))).withColumn("found", F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull()))
+    cut, named, woven = _expressions(id(docs.sparkSession.sparkContext._jvm), key)
+    marked = docs.drop("found").withColumn("found", cut).withColumn("found", named)
+    return marked.withColumns({"text": F.when(F.size("found") > 0, woven).otherwise(F.col("text")), "found": F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull())})
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:

@@ -59,10 +59,10 @@ def close_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Links (u, v) that connect every pair of nodes (fp, node) whose fingerprints are close.
 
     All members of a covering bucket share the masked bits, so two close ones differ in the other
-    bits only, and some fingerprint that differs from each in half the radius lies between them.
-    Members of buckets with company emit those fingerprints (itself and, for a radius of 2, its
-    flips outside the mask); who meets there is close without a further check, and at most 65
-    distinct fingerprints can meet, however large the bucket. No pairs within a bucket are emitted.
+    bits only, and some fingerprint one bit from each lies between them. Members of buckets with company
+    emit those fingerprints (itself and its flips outside the mask); who meets there is close without a
+    further check, and at most 65 distinct fingerprints can meet, however large the bucket. No pairs within a bucket
+    are emitted. For a radius of 1 only itself and what one flip leads to meet: who emits a flip, and who is it.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
@@ -72,6 +72,9 @@ def close_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     members = keyed.join(company, ["t", "key"]).select("fp", "node", "t")
     flips = [F.array(*[_long(1 << i) for i in range(64) if not m >> i & 1]) for m in masks]
     around = F.transform(F.element_at(F.array(*flips), F.col("t") + 1), lambda bit: F.col("fp").bitwiseXOR(bit))
+    if radius == 1:
+        flipped = members.select("node", F.explode(around).alias("fp")).join(nodes.withColumnRenamed("node", "other"), "fp")
+        return flipped.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
     met = members.select("node", F.explode(F.concat(F.array("fp"), around)).alias("z"))
     groups = met.groupBy("z").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
     return groups.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v").distinct()

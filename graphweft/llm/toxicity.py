@@ -227,6 +227,6 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     """
     model = fit(spark, docs, labels)
     rest = [c for c in docs.columns if c != "text"]
-    carried = docs.select("text", F.struct(*rest).alias("row"))  # the text once, in and out of Python
+    carried = docs.select("text", F.struct(*(f"`{c}`" for c in rest)).alias("row"))  # the text once, in and out of Python
     kept = score(spark, carried, model).filter("score < 0.5")
     return kept.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

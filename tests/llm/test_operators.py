@@ -220,42 +220,34 @@ def test_repeated_ids_keep_components_apart(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
-@pytest.mark.parametrize("hot", [5, 1_000])
-def test_near_copies_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("radius", [1, 2])
+def test_close_links_against_all_pairs(spark, radius):
     import random
 
-    import corpus_pipeline
-    from graphweft.llm import shingle_sets
-    from graphweft.llm.shingle_sets import shingle_set
-
-    monkeypatch.setattr(shingle_sets, "HOT", hot)
-    random.seed(3)
-    word = lambda: f"w{random.randint(0, 5000)}"
-    shared = [word() for _ in range(40)]
-    texts = []
-    for _ in range(25):  # a passage that many share, and copies with more and more words replaced
-        base = shared + [word() for _ in range(random.randint(20, 200))]
-        for edits in (0, 1, 2, 3, 5, 8):
-            copy = list(base)
-            for _ in range(edits):
-                copy[random.randrange(len(copy))] = word()
-            texts.append(" ".join(copy))
-    base = [word() for _ in range(300)]
-    for _ in range(60):  # a large group
-        copy = list(base)
-        for _ in range(random.randint(1, 8)):
-            copy[random.randrange(300)] = word()
-        texts.append(" ".join(copy))
-    random.shuffle(texts)
-    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            a, b = sorted((root[i], root[j]))
-            root = [a if r == b else r for r in root]
-    docs = docs_of(spark, list(enumerate(texts)))
-    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-    assert kept == sorted(set(root)) and len(kept) < len(texts) - 80
+    random.seed(radius)
+    prints = {0, 9, 1, 3, (1 << 64) - 1} | {random.getrandbits(64) for _ in range(20)}
+    for fp in list(prints):
+        for k in (1, 1, 2, 2, 3):
+            for bit in random.sample(range(64), k):
+                fp ^= 1 << bit
+            prints.add(fp)
+    signed = {x: x - (1 << 64) if x >> 63 else x for x in prints}
+    nodes = spark.createDataFrame([(v, v) for v in signed.values()], "fp bigint, node bigint")
+    got = {(r.u, r.v) for r in simhash_dedup.close_links(nodes, radius).collect()}
+    pairs = {(a, b): (a ^ b).bit_count() for a, b in itertools.combinations(sorted(prints), 2)}
+    link = lambda edges: {frozenset(c) for c in _classes(signed.values(), edges)}
+    assert link(got) == link([(signed[a], signed[b]) for (a, b), d in pairs.items() if d <= radius])
+
+
+def _classes(nodes, edges):
+    root = {n: n for n in nodes}
+    for u, v in edges:
+        a, b = root[u], root[v]
+        root = {k: a if r == b else r for k, r in root.items()}
+    found = {}
+    for n, r in root.items():
+        found.setdefault(r, set()).add(n)
+    return found.values()
 
 
 def test_line_dedup(spark, odd, none):
