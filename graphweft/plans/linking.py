@@ -54,6 +54,39 @@ def i3_j13_j23_resolved_references(spark, d):
     return own.select("ref_id", "to_id", "provenance", F.coalesce("rule", F.lit(-1)).alias("rule"))
 
 
+# Customers as classes, each with two bases; some have methods, and orders call them through a class.
+
+
+def _classes(spark, d):
+    c = tg.table(spark, d, "customer")
+    own = c.selectExpr("concat('K', c_custkey) as id", "'Class' as type", "concat('C', c_custkey) as label", "concat('pkg', c_nationkey, '.C', c_custkey) as qname", "concat('src/', c_nationkey, '/f', c_custkey % 3, '.py') as file_path", "'python' as language")
+    members = c.selectExpr("c_custkey", "c_nationkey", "inline(array(struct('save' as name, c_custkey % 7 = 0 as has), struct('load' as name, c_custkey % 11 = 0 as has)))").filter("has")
+    members = members.selectExpr("concat('K', c_custkey, '.', name) as id", "'Method' as type", "name as label", "'' as qname", "concat('src/', c_nationkey, '/f', c_custkey % 3, '.py') as file_path", "'python' as language")
+    return own.unionByName(members), members.selectExpr("substring_index(id, '.', 1) as from_id", "id as to_id")
+
+
+def _class_refs(spark, d):
+    c = tg.table(spark, d, "customer").filter("c_custkey > 2")
+    bases = c.selectExpr("explode(array(2, 3)) as k", "c_custkey", "c_nationkey").selectExpr("concat('e', c_custkey, '/', k) as ref_id", "concat('K', c_custkey) as from_id", "concat('src/', c_nationkey, '/f', c_custkey % 3, '.py') as source_file", "if(k = 2, 'EXTENDS', 'IMPLEMENTS') as relation", "concat('C', c_custkey div k) as target", "'python' as extractor")
+    calls = tg.table(spark, d, "orders").selectExpr("concat('o', o_orderkey) as ref_id", "concat('O', o_orderkey) as from_id", "'app/main.py' as source_file", "'CALLS' as relation", "concat('C', o_custkey, if(o_orderkey % 2 = 0, '.save', '.load')) as target", "if(o_orderkey % 5 = 4, 'php', 'python') as extractor")
+    return bases.unionByName(calls)
+
+
+@query(
+    """with recursive ext as (select c_custkey as src, c_custkey // k as dst from customer, (select unnest([2, 3]) as k) where c_custkey > 2),
+    up(src, class, depth) as (select c_custkey, c_custkey, 0 from customer union select up.src, ext.dst, up.depth + 1 from up join ext on ext.src = up.class),
+    level as (select src, class, min(depth) as depth from up group by 1, 2),
+    met as (select src, name, arg_min('K' || class || '.' || name, (depth, 'K' || class)) as to_id from level join customer on c_custkey = class, (select unnest(['save', 'load']) as name) where class % (case name when 'save' then 7 else 11 end) = 0 group by 1, 2)
+    select 'o' || o_orderkey as ref_id, to_id, case when to_id is not null then 5 else -1 end as rule from orders left join met on src = o_custkey and name = case when o_orderkey % 2 = 0 then 'save' else 'load' end and o_orderkey % 5 <> 4
+    union all select 'e' || src || '/' || k, 'K' || (src // k), 4 from (select c_custkey as src, unnest([2, 3]) as k from customer where c_custkey > 2)""",
+    graph=False,
+)
+def i3_t15_members_of_bases(spark, d):
+    nodes, contains = _classes(spark, d)
+    found = resolver.resolve_with_bases(_class_refs(spark, d), nodes, contains)
+    return found.select("ref_id", "to_id", F.coalesce("rule", F.lit(-1)).alias("rule"))
+
+
 @query(
     f"with {_CODE} select distinct 'external:' || substr(sha1(family || ':' || target), 1, 16) as id, target as label, family as language from res where to_id is null and relation in ('CALLS')", graph=False
 )
