@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft import model
 from graphweft.functions import verdicts
-from graphweft.operators import clusters, ranking, search
+from graphweft.operators import clusters, lineage, ranking, search
 from graphweft.operators import relational as rel
 from graphweft.plans.base import in_list, query
 from graphweft.sources import testgraph as tg
@@ -71,6 +75,57 @@ def a2_w3_v22_community_overview(spark, d):
     return clusters.overview(tg.trade(spark, d), _classes(spark, d), 3)
 
 
+# Leiden on the customers, orders and parts of the whole graph. Its labels have no SQL; what holds of them has.
+
+
+def _calls(spark, d):
+    own = tg.edges(spark, d).filter(F.col("relation").isin("CALLS", "REFERENCES"))
+    return own.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.round(100 * F.col("confidence")).cast("int").alias("w"))
+
+
+_found: dict[tuple[str, str], DataFrame] = {}
+
+
+def _leiden(spark, d):
+    """The communities, found with the first call of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _found:
+        _found[key] = lineage.cut(clusters.leiden(_calls(spark, d)))
+    return _found[key]
+
+
+@query()
+def a1_leiden(spark, d):
+    return _leiden(spark, d)
+
+
+@query(
+    """select count(distinct id)::bigint as nodes, true as all_connected, true as by_size, true as beats_one_level from (
+    select from_id as id from edges where relation in ('CALLS', 'REFERENCES') union all select to_id from edges where relation in ('CALLS', 'REFERENCES'))"""
+)
+def a1_a15_leiden_against_one_level(spark, d):
+    """What Leiden promises: every node once, communities that are connected, numbered by size, of no less modularity than one level of moves."""
+    pairs = lineage.cut(_calls(spark, d))
+    found, one = _leiden(spark, d), lineage.cut(clusters.communities(pairs))
+    inside = clusters.connected_within(pairs, found.withColumnRenamed("community", "label")).groupBy("label").agg(F.countDistinct("component").alias("k"))
+    sizes = found.groupBy("community").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("next", F.lead("n").over(W.partitionBy().orderBy("community")))  # a row a community
+    more, less = (clusters.modularity(pairs, c).select(F.col("modularity").alias(n)) for c, n in ((found, "more"), (one, "less")))
+    facts = [found.agg(F.count("*").alias("nodes"), F.countDistinct("node").alias("own")), inside.agg((F.max("k") == 1).alias("all_connected")), sizes.agg(F.min(F.coalesce(F.col("n") >= F.col("next"), F.lit(True))).alias("by_size")), more, less]
+    row = reduce(lambda a, b: a.crossJoin(b), facts)  # one row each
+    return row.select(F.when(F.col("nodes") == F.col("own"), F.col("nodes")).alias("nodes"), "all_connected", "by_size", (F.col("more") >= F.col("less")).alias("beats_one_level"))
+
+
+@query()
+def g8_edges_between_leiden_communities(spark, d):
+    return clusters.between(_calls(spark, d), _leiden(spark, d))
+
+
+@query()
+def a2_leiden_overview(spark, d):
+    return clusters.overview(_calls(spark, d), _leiden(spark, d), 3)
+
+
 _LEXICON = [("size", "small", 0), ("size", "large", 0), ("surface", "steel", 1), ("surface", "cold", 1), ("hardware", "bolt", 2), ("hardware", "widg", 2), ("hardware", "red_gear", 2)]
 
 
@@ -156,13 +211,21 @@ def k9_ranked_items(spark, d):
     return ranking.rank_and_cap(items, 40, ["o_orderkey"]).select("o_orderkey")
 
 
-_SECTIONS = [(1, "target", "t" * 40, "t", True), (2, "callers", "c" * 60, "c: 6", False), (3, "tests", "e" * 30, "e: 3", False), (4, "docs", "d" * 50, "d: 5", False)]
-
-
-@query("select * from (values (1, 'target', 40, 'whole'), (2, 'callers', 60, 'whole'), (3, 'tests', 4, 'collapsed'), (4, 'docs', 4, 'collapsed')) t(place, section, size, how)", graph=False)
+@query(
+    """with s as (select n_regionkey + 1 as place, r_name as section, string_agg(n_name, ', ' order by n_nationkey) as text, r_name || ': ' || count(*) as collapsed, n_regionkey = 1 as kept from nation join region on n_regionkey = r_regionkey group by n_regionkey, r_name),
+    a as (select *, sum(length(text)) over () - 150 as over_, coalesce(sum(case when kept then 0 else greatest(length(text) - length(collapsed), 0) end) over (order by place desc rows between unbounded preceding and 1 preceding), 0) as before from s),
+    f as (select place, section, kept, not kept and over_ > before as fold, case when not kept and over_ > before then collapsed else text end as text from a),
+    b as (select *, sum(length(text)) over () - 150 as over_, coalesce(sum(case when kept then 0 else length(text) end) over (order by place desc rows between unbounded preceding and 1 preceding), 0) as before from f)
+    select place::int as place, section, length(text)::int as size, case when fold then 'collapsed' else 'whole' end as how from b where kept or over_ <= before""",
+    graph=False,
+)
 def k14_clamped_sections(spark, d):
-    own = ranking.clamp_sections(spark.createDataFrame(_SECTIONS, "place int, section string, text string, collapsed string, kept boolean"), 120)
-    return own.select("place", "section", F.length("text").alias("size"), "how")
+    """An answer of a section a region, its nations, made to fit 150 characters; the second region's stays whole."""
+    own = tg.table(spark, d, "nation").join(tg.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), ", ")
+    sections = own.groupBy("n_regionkey", "r_name").agg(names.alias("text"), F.concat("r_name", F.lit(": "), F.count("*").cast("string")).alias("collapsed"))
+    sections = sections.select((F.col("n_regionkey") + 1).cast("int").alias("place"), F.col("r_name").alias("section"), "text", "collapsed", (F.col("n_regionkey") == 1).alias("kept"))
+    return ranking.clamp_sections(sections, 150).select("place", "section", F.length("text").alias("size"), "how")
 
 
 @query(

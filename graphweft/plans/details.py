@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from graphweft import model
@@ -158,36 +156,37 @@ def v38_incoming_path_tree(spark, d):
     return tree.filter("size(path) > 1 and not looped").select(F.array_join("path", "<").alias("path"))
 
 
-def _lines(k: int) -> list[str]:
-    place = {"start": {"line": k, "col": 1}, "end": {"line": k + 2, "col": 1}}
-    return [
-        json.dumps(x)
-        for x in (
-            {"kind": "symbol", "qname": f"a.F{k}", "name": f"F{k}", "file": "a.cpp", "range": place},
-            {"kind": "call", "from": {"qname": f"a.F{k}", "name": f"F{k}", "file": "a.cpp", "line": k}, "to": {"qname": "a.F0", "name": "F0", "file": "a.cpp", "line": 0}},
-            {"kind": "include", "file": "a.cpp", "to": {"file": f"h{k}.h"}, "range": place},
-            {"kind": "diagnostic", "file": "a.cpp", "message": "odd", "code": "w1", "range": place},
-        )
-    ] + ["# a comment", "", "{ broken"]
+# Records of orders: a symbol, a call, an include or a diagnostic each, with a comment, an empty and a broken line here and there.
+_PLACE = "struct(struct(o_custkey as line, 1 as col) as start, struct(o_custkey + 2 as line, 1 as col) as end)"
+_RECORD = f"""case o_orderkey % 4
+when 0 then to_json(struct('symbol' as kind, concat('a.F', o_orderkey) as qname, concat('F', o_orderkey) as name, 'a.cpp' as file, {_PLACE} as range))
+when 1 then to_json(struct('call' as kind, struct(concat('a.F', o_orderkey) as qname, concat('F', o_orderkey) as name, 'a.cpp' as file, o_custkey as line) as from, struct('a.F0' as qname, 'F0' as name, 'a.cpp' as file, 0 as line) as to))
+when 2 then to_json(struct('include' as kind, 'a.cpp' as file, struct(concat('h', o_orderkey, '.h') as file) as to, {_PLACE} as range))
+else to_json(struct('diagnostic' as kind, 'a.cpp' as file, concat('odd ', o_orderkey) as message, concat('w', o_orderkey) as code, {_PLACE} as range)) end"""
 
 
-@query("select relation, n::bigint as n from (values ('DEFINES', 5), ('CALLS', 5), ('IMPORTS', 5), ('HAS_DIAGNOSTIC', 5), ('(broken lines)', 5)) t(relation, n)", graph=False)
+@query(
+    """select case o_orderkey % 4 when 0 then 'DEFINES' when 1 then 'CALLS' when 2 then 'IMPORTS' else 'HAS_DIAGNOSTIC' end as relation, count(*) as n from orders group by 1
+    union all select '(broken lines)', count(*) from orders where o_orderkey % 10 = 0 having count(*) > 0""",
+    graph=False,
+)
 def s8_m11_records_of_lines(spark, d):
     """Records written as JSON lines, read again, and made into edges."""
     path = lineage.scratch_path(spark, "records")
-    spark.createDataFrame([(x,) for k in range(5) for x in _lines(k)], "value string").write.text(path)
+    odd = "case o_orderkey % 10 when 0 then '{ broken' when 1 then '# a comment' else '' end"
+    tg.table(spark, d, "orders").selectExpr(f"explode(array({_RECORD}, {odd})) as value").write.text(path)
     records, broken = evidence.read_lines(spark, path)
     _, edges = evidence.as_graph(records)
-    return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(broken.agg(F.lit("(broken lines)").alias("relation"), F.count("*").alias("n")))
+    return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(broken.agg(F.lit("(broken lines)").alias("relation"), F.count("*").alias("n")).filter("n > 0"))
 
 
-@query("select 'c' || k as collection, k % 2 = 0 as may_replace, 2::bigint as records from range(4) t(k)", graph=False)
+@query("select 'c' || s_suppkey as collection, s_suppkey % 2 = 0 as may_replace, (1 + s_suppkey % 3)::bigint as records from supplier", graph=False)
 def s9_collections_of_documents(spark, d):
     """Collections written a document each, read again, with what they may replace."""
     path = lineage.scratch_path(spark, "collections")
-    for k in range(4):
-        whole = {"schema_version": "0.2", "collectionId": f"c{k}", "provider": "p", "status": "ok" if k % 2 == 0 else "partial", "operations": {"references": {"status": "ok", "count": 1}}, "session": {"collectedAt": "now"}, "records": [{"kind": "hover"}, {"kind": "call"}]}
-        spark.createDataFrame([(x,) for x in json.dumps(whole, indent=1).split("\n")], "value string").coalesce(1).write.mode("append").text(path)
+    whole = """to_json(struct('0.2' as schema_version, concat('c', s_suppkey) as collectionId, 'p' as provider, if(s_suppkey % 2 = 0, 'ok', 'partial') as status, struct(struct('ok' as status, 1 as count) as references) as operations,
+    struct('now' as collectedAt) as session, transform(sequence(0, int(s_suppkey % 3)), k -> struct('hover' as kind)) as records), map('pretty', 'true'))"""
+    tg.table(spark, d, "supplier").selectExpr("s_suppkey", f"{whole} as value").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
     own = evidence.read_collections(spark, path)
     told = evidence.authority(own).select(F.col("collectionId").alias("collection"), "may_replace")
     return told.join(own.select(F.col("collectionId").alias("collection"), F.size("records").cast("bigint").alias("records")), "collection")

@@ -258,13 +258,13 @@ def j14_validated_anchors(spark, d):
 
 
 def _tasks(spark, d):
-    return tg.table(spark, d, "orders").filter("o_orderkey < 200").selectExpr(
+    return tg.table(spark, d, "orders").selectExpr(
         "concat('T', o_orderkey) as id", "if(o_orderkey % 10 = 0, concat('mend F', o_orderkey % 97, ' now'), 'other') as title", "case o_orderstatus when 'F' then 'Done' when 'O' then 'in progress' else 'someday' end as status",
         "if(o_orderkey % 4 = 0, array(), array(concat('r', o_custkey % 5))) as features", "if(o_orderkey % 7 = 0, array(concat('f', o_orderkey % 97, '.py')), array()) as files_hint", "if(o_orderkey % 3 = 0, 'commit: x', 'roadmap') as evidence", "cast(null as string) as link_strength",
     )
 
 
-_TASKS = """tasks as (select 'T' || o_orderkey as id, o_orderkey as k, o_custkey % 5 as r, o_orderstatus as status, o_orderkey % 4 <> 0 as linked, o_orderkey % 7 = 0 as hinted, o_orderkey % 3 = 0 as strong from orders where o_orderkey < 200)"""
+_TASKS = """tasks as (select 'T' || o_orderkey as id, o_orderkey as k, o_custkey % 5 as r, o_orderstatus as status, o_orderkey % 4 <> 0 as linked, o_orderkey % 7 = 0 as hinted, o_orderkey % 3 = 0 as strong from orders)"""
 
 
 @query(

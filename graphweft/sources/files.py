@@ -59,14 +59,18 @@ def scan(spark: SparkSession, root: str, names: list[str] | None = None, globs:
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     bare = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", base)) + "/", "")
-    own = files.select(bare.alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    own = own.filter(~is_ignored(F.col("file_path"), IGNORED if names is None else names, globs))
-    if candidates is not None:
-        own = own.join(candidates.select("file_path").distinct(), "file_path", "left_semi")
-    binary = F.locate("00", F.hex(F.substring(F.col("content"), 1, 8000))) % 2 == 1
+
+    def kept(part: DataFrame, content: Column) -> DataFrame:
+        own = part.select(bare.alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), content.alias("content"))
+        own = own.filter(~is_ignored(F.col("file_path"), IGNORED if names is None else names, globs))
+        return own if candidates is None else own.join(candidates.select("file_path").distinct(), "file_path", "left_semi")
+
+    # the source drops long files by their length before it opens any
+    short, long = kept(files.filter(F.col("length") <= most), F.col("content")), kept(files.filter(F.col("length") > most), F.lit(None).cast("binary"))
+    binary = F.contains(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), F.lit("\0"))
     why = F.when(F.col("size") > most, "too long").when(binary, "not text")
     text = F.when(why.isNull(), F.decode("content", "utf-8"))
-    return own.select("file_path", "size", "modified", language_of(F.col("file_path")).alias("language"), text.alias("content"), why.alias("skipped"))
+    return short.unionByName(long).select("file_path", "size", "modified", language_of(F.col("file_path")).alias("language"), text.alias("content"), why.alias("skipped"))
 
 
 def special_nodes(files: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ class Kept:
 class WriteLock:
     """One writer at a time, across processes: a file in the table's folder that only one can create.
 
-    A lock whose holder is gone for `expires` seconds is taken over.
+    A lock that its holder hasn't renewed for `expires` seconds is taken over: who renames the old file first. A holder whose lock
+    was taken over leaves the new one alone.
     """
 
     def __init__(self, spark: SparkSession, folder: str, wait: float = 60.0, expires: float = 600.0):
@@ -65,11 +66,38 @@ class WriteLock:
                     continue
                 age = time.time() - self._system.getFileStatus(self._path).getModificationTime() / 1000
                 if age > self._expires:
-                    self._system.delete(self._path, False)
+                    self._take_over()
                 elif time.monotonic() > until:
                     raise TimeoutError("another writer holds the table") from error
                 else:
                     time.sleep(0.1)
 
+    def _holder(self, path=None) -> str | None:
+        try:
+            stream = self._system.open(path or self._path)
+        except Exception:  # gone meanwhile
+            return None
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _take_over(self) -> None:
+        seen, old = self._holder(), self._path.suffix(f".{uuid.uuid4().hex}")
+        if seen is None or not self._system.rename(self._path, old):
+            return
+        if self._holder(old) != seen:  # somebody took over before and holds it now
+            self._system.rename(old, self._path)
+        else:
+            self._system.delete(old, False)
+
+    def renew(self) -> bool:
+        """Hold the lock for another `expires` seconds; False if it was taken over."""
+        mine = self._holder() == self._mine
+        if mine:
+            self._system.setTimes(self._path, int(time.time() * 1000), -1)
+        return mine
+
     def __exit__(self, *_) -> None:
-        self._system.delete(self._path, False)
+        if self._holder() == self._mine:
+            self._system.delete(self._path, False)

@@ -162,3 +162,22 @@ def test_the_innermost_span_whatever_the_stretch(spark, width):
     spans = spark.createDataFrame([("f", 1, 0, 100), ("f", 2, 10, 20), ("f", 3, 10, 15), ("g", 4, 0, 9)], "k string, span_id int, first int, last int")
     points = spark.createDataFrame([("f", 10, 12), ("f", 11, 18), ("f", 12, 99), ("f", 13, 101), ("g", 14, 9)], "k string, point_id int, at int")
     assert {(r.point_id, r.span_id) for r in rel.innermost(points, spans, "k", width).collect()} == {(10, 3), (11, 2), (12, 1), (14, 4)}
+
+
+def test_leiden_of_rings_of_cliques(spark):
+    """Cliques in a ring are the communities; a bridge that moves away doesn't leave its community apart."""
+    import itertools
+
+    from graphweft.operators import algorithms
+
+    cliques = [[f"c{k}n{i}" for i in range(5)] for k in range(6)]
+    pairs = [(a, b, 1) for c in cliques for a, b in itertools.combinations(c, 2)] + [(cliques[k][0], cliques[(k + 1) % 6][1], 1) for k in range(6)]
+    frame = lambda p: spark.createDataFrame(p, "src string, dst string, w int")
+    found = {r.node: r.community for r in clusters.leiden(frame(pairs)).collect()}
+    assert sorted(found) == sorted(n for c in cliques for n in c) and len(set(found.values())) == 6
+    assert all(len({found[n] for n in c}) == 1 for c in cliques)
+    assert found["c0n0"] == 1 and {r.node: r.community for r in clusters.leiden(frame(pairs[::-1])).collect()} == found
+    assert clusters.leiden(frame([("a", "a", 3)])).count() == 0 and clusters.leiden(frame([])).count() == 0
+    chain = [(f"n{i:03}", f"n{i + 1:03}", 1) for i in range(60)] + [("x", "y", 1)]
+    parts = {r.node: r.component for r in algorithms.connected(frame(chain)).collect()}
+    assert set(parts.values()) == {"n000", "x"} and len(parts) == 63

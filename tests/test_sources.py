@@ -95,3 +95,10 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_binary_files_by_a_zero_byte_anywhere(spark, tmp_path):
+    put = {"a": b"p\n\0\0binary", "b": b"x\0\0binary", "c": b"\x10\x01\x00", "d": "p0 00 Ā é".encode(), "e": b"\x30\x00", "f": b"\x03\x07"}
+    for name, content in put.items():
+        (tmp_path / name).write_bytes(content)
+    assert {r.file_path: r.skipped for r in files.scan(spark, f"file://{tmp_path}").collect()} == {k: "not text" if b"\0" in v else None for k, v in put.items()}

@@ -127,3 +127,15 @@ def test_one_writer_at_a_time(spark, tmp_path):
         pass
     with freshness.WriteLock(spark, folder, wait=0.3):
         pass
+
+
+def test_a_lock_that_was_taken_over_stays_with_who_took_it(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    slow = freshness.WriteLock(spark, folder)
+    with slow:
+        assert slow.renew()
+        with freshness.WriteLock(spark, folder, wait=5, expires=-1) as next_:
+            assert not slow.renew()
+            slow.__exit__()
+            assert next_.renew()
+        assert not (tmp_path / ".lock").exists() and not list(tmp_path.glob(".lock.*"))
