@@ -9,7 +9,7 @@ from graphweft import model
 from graphweft.functions import scalars
 from graphweft.operators import relational as rel
 from graphweft.operators import search, traverse
-from graphweft.plans import answers, closures, clusters, details, following, linking, marts, merges, naming, ranking, reading, verbs, walks  # noqa: F401  their queries register themselves
+from graphweft.plans import answers, closures, clusters, details, following, indexes, linking, marts, merges, naming, ranking, reading, verbs, walks  # noqa: F401  their queries register themselves
 from graphweft.plans.base import QUERIES, SQL, in_list, query  # noqa: F401
 from graphweft.sources import testgraph as tg
 
