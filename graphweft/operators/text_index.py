@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.operators.lineage import cut
 from graphweft.operators.relational import top_per_group
 from graphweft.operators.search import MOST_TOKENS, query_tokens
 
@@ -27,16 +28,23 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _runs(tokens: Column) -> Column:
+    """(term, tf) of each run of equal neighbours: a pass for the places where runs end, one for their lengths."""
+    last = lambda ts: F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: (i == F.size(ts)) | (F.get(ts, i - 1) != F.get(ts, i)))
+    runs = lambda ts, ends: F.transform(ends, lambda e, j: F.struct(F.get(ts, e - 1).alias("term"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("tf")))
+    return F.transform(F.array(tokens), lambda ts: F.transform(F.array(last(ts)), lambda ends: runs(ts, ends))[0])[0]
+
+
 def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     """Write the index of the texts under path. Keys are unique; texts without tokens count in the totals only.
 
-    A text's tokens are counted before the shuffle. Postings are ordered by term and key, so that a
+    A text's tokens are sorted and counted within its row. Postings are ordered by term and key, so that a
     frequent term spreads over ranges.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).alias("key"), tokens_of(F.col(text)).alias("tokens")).select("key", "tokens", F.size("tokens").alias("n"))
+    own = docs.select(F.col(key).alias("key"), F.array_sort(tokens_of(F.col(text))).alias("tokens")).select("key", "tokens", F.size("tokens").alias("n"))
     own.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.parquet(f"{path}/totals")
-    counted = own.select("key", "n", F.explode("tokens").alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
+    counted = own.filter("n > 0").select("key", "n", F.inline(_runs(F.col("tokens"))))
     ordered = counted.select("term", "key", "tf", "n").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
     ordered.write.parquet(f"{path}/postings")
     terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
@@ -85,19 +93,21 @@ def search_many(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, key, score, rn): the best texts for each of many queries (query_id, query), each as in `search`.
 
     Prefixes find their terms by an equality join: a term stands under its beginnings of the lengths asked for. A
-    prefix is scored once for all queries that hold it. A query without tokens, or without a hit, has no row.
+    prefix is scored once for all queries that hold it, and queries of the same prefixes are answered once. A query
+    without tokens, or without a hit, has no row.
     """
-    first = F.slice(tokens_of(F.col("query")), 1, MOST_TOKENS)
+    first = F.array_sort(F.slice(tokens_of(F.col("query")), 1, MOST_TOKENS))
     own = queries.select("query_id", first.alias("prefixes")).filter(F.size("prefixes") > 0)
-    asked = own.select("query_id", F.size("prefixes").alias("all"), F.posexplode("prefixes").alias("place", "prefix"))
+    asked = own.select("prefixes").distinct().select("prefixes", F.explode("prefixes").alias("prefix"))
     prefixes = asked.select("prefix").distinct()
     lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row of as many numbers as lengths of tokens
     started = index.terms.crossJoin(F.broadcast(lengths)).select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("size"))
     terms = started.select("term", F.expr("left(term, size)").alias("prefix")).join(prefixes, "prefix")
-    counts = index.postings.join(terms, "term").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"), F.max("n").alias("n"))
+    counts = cut(index.postings.join(terms, "term").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"), F.max("n").alias("n")))
     frequency = counts.groupBy("prefix").agg(F.count("*").alias("df"))
     scored = counts.join(frequency, "prefix").crossJoin(F.broadcast(index.totals))
     scored = scored.select("prefix", "key", _bm25(F.col("tf"), F.col("n"), F.col("df")).alias("part"))
-    met = asked.join(scored, "prefix").groupBy("query_id", "key").agg(F.count("*").alias("found"), F.max("all").alias("all"), F.sum("part").alias("score"))
-    hits = met.filter(F.col("found") == F.col("all")).select("query_id", "key", F.round("score", 6).alias("score"))
-    return top_per_group(hits, "query_id", [F.desc("score"), "key"], limit)
+    met = asked.join(scored, "prefix").groupBy("prefixes", "key").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
+    hits = met.filter(F.col("found") == F.size("prefixes")).select("prefixes", "key", F.round("score", 6).alias("score"))
+    best = top_per_group(hits, "prefixes", [F.desc("score"), "key"], limit)
+    return own.join(best, "prefixes").select("query_id", "key", "score", "rn")
