@@ -1,51 +1,23 @@
 """Features and tasks laid over a graph: which files and symbols belong to them, and how well they are described.
 
-A feature has an id and lists of globs (files), labels (symbols), routes and docs. Features are written by
-hand: some thousand rows, joined as a broadcast once their count says so.
+A feature has an id and lists of globs (files), labels (symbols), routes and docs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft.functions import paths, verdicts
-
-MOST_BROADCAST = 100_000
-
-
-def _small(frame: DataFrame) -> DataFrame:
-    """The frame, marked for a broadcast if it is small enough."""
-    return F.broadcast(frame) if frame.count() <= MOST_BROADCAST else frame
-
-
-def glob_column(glob: Column, star_crosses: bool = False) -> Column:
-    """A column of globs as anchored regular expressions: `**` crosses folders, a star does so only if asked."""
-    quoted = F.regexp_replace(glob, r"([.+^${}()|\\\[\]])", r"\\$1")
-    held = F.regexp_replace(quoted, r"\*\*", "\u0001")
-    one = F.regexp_replace(held, r"\*", ".*" if star_crosses else "[^/]*")
-    any_ = F.regexp_replace(one, "\u0001", ".*")
-    return F.concat(F.lit("^"), F.regexp_replace(any_, r"\?", ".") if star_crosses else F.regexp_replace(any_, r"\?", r"\\?"), F.lit("$"))
+from graphweft.operators import globs
 
 
 def membership(files: DataFrame, features: DataFrame) -> DataFrame:
-    """(file, feature): the features with a glob that a file (file) matches, each once.
-
-    Globs without a star are joined by equality; of the others each file tries those that begin with its own
-    first folder. Only globs that begin with a star are tried on every file.
-    """
-    globs = features.select(F.col("id").alias("feature"), F.explode("files").alias("glob")).distinct()
-    plain = globs.filter(~F.contains("glob", F.lit("*"))).select("feature", F.col("glob").alias("file"))
-    head = lambda text: F.element_at(F.split(text, "/"), 1)
-    starred = globs.filter(F.contains("glob", F.lit("*"))).withColumn("head", head(F.col("glob"))).withColumn("pattern", glob_column(F.col("glob")))
-    own = files.select("file").distinct()
-    rooted = starred.filter(~F.contains("head", F.lit("*")))
-    loose = starred.filter(F.contains("head", F.lit("*")))
-    exact = own.join(plain, "file").select("file", "feature")
-    deep = own.withColumn("head", head(F.col("file"))).join(_small(rooted), "head").filter(F.expr("file rlike pattern")).select("file", "feature")
-    rest = own.join(_small(loose), F.expr("file rlike pattern")).select("file", "feature")
-    return exact.unionByName(deep).unionByName(rest).distinct()
+    """(file, feature): the features with a glob that a file (file) matches, each once."""
+    own = features.select(F.col("id").alias("feature"), F.explode("files").alias("glob")).distinct()
+    met = globs.matches(files.select(F.col("file").alias("path")), own.select("glob"))
+    return met.join(own, "glob").select(F.col("path").alias("file"), "feature").distinct()
 
 
 def anchors(features: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,9 +31,9 @@ def anchors(features: DataFrame, nodes: DataFrame) -> DataFrame:
     routes = nodes.filter("type = 'Route'").select(F.col("label").alias("anchor")).distinct()
     each = lambda column: features.select(F.col("id").alias("feature"), F.explode(column).alias("anchor"))
     hit = lambda column, known: each(column).join(known.withColumn("hit", F.lit(1)), "anchor", "left").select("feature", F.coalesce("hit", F.lit(0)).alias("hit"))
-    globs = each("files").distinct().withColumn("pattern", glob_column(F.col("anchor"), star_crosses=True))
-    places = nodes.filter(F.col("type").isin("File", "Directory")).select("file_path").distinct()
-    found = places.join(_small(globs.select("anchor", "pattern").distinct()), F.expr("file_path rlike pattern"), "inner").select("anchor").distinct().withColumn("hit", F.lit(1))
+    places = nodes.filter(F.col("type").isin("File", "Directory")).select(F.col("file_path").alias("path"))
+    met = globs.matches(places, each("files").select(F.col("anchor").alias("glob")), star_crosses=True)
+    found = met.select(F.col("glob").alias("anchor")).distinct().withColumn("hit", F.lit(1))
     files = each("files").join(found, "anchor", "left").select("feature", F.coalesce("hit", F.lit(0)).alias("hit"))
     every = hit("symbols", code).unionByName(hit("docs", docs)).unionByName(hit("routes", routes)).unionByName(files)
     told = every.groupBy("feature").agg(F.count("*").alias("declared"), F.sum("hit").alias("resolved"))
