@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,39 +14,69 @@ from graphweft.operators.lineage import cut
 
 _PATH = "hop int, from_id string, to_id string, relation string"
 
+#: So many nodes of a level are counted first and then named in a filter that reaches the scan.
+NAMED = 256
+
+
+def _counted(frame: DataFrame) -> tuple[DataFrame, int, bool]:
+    """The frame, written; its rows; whether any of them is `met`. Counted while it is written."""
+    seen = Observation()
+    level = cut(frame.observe(seen, F.count("*").alias("n"), F.max("met").alias("met")))
+    return level, seen.get["n"], bool(seen.get["met"])
+
 
-def shortest_path(edges: DataFrame, start: str, end: str, relations: list[str], most: int) -> DataFrame | None:
+def shortest_path(edges: DataFrame, start: str, end: str, relations: list[str], most: int, incoming: DataFrame | None = None) -> DataFrame | None:
     """(hop, from_id, to_id, relation) of a shortest path over edges of the relations; None if there is none.
 
     Relations are in order of preference, bridges last: of the edges by which a node is first reached, that
-    of the first relation and the least source is taken. A path to the start itself is empty. Each hop keeps
-    one row for each node that it reaches first; the way back reads one row of each, `most` (1 to 15) at most.
+    of the first relation and the least source is taken. A path to the start itself is empty, and one has `most`
+    (1 to 15) edges at most. Two searches go from both ends, the one with fewer nodes on its edge a hop further,
+    until they meet; each hop is one write of the nodes that it reaches first. `incoming` are the same edges as
+    kept by their ends, for the search from the end. Up to NAMED nodes are named to the scan, which then skips
+    ranges of the stored edges; more are joined. The way is read by joins of one row.
     """
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([], _PATH)
     rank = F.array_position(F.lit(relations), F.col("relation"))
-    own = edges.filter(F.col("relation").isin(relations)).select("from_id", "to_id", F.struct(rank.alias("rank"), "from_id", "relation").alias("via"))
-    frontier = seen = spark.createDataFrame([(start,)], "node string")
-    levels: list[DataFrame] = []
-    for _ in range(hops_of(most)):
-        met = own.join(frontier, F.col("from_id") == F.col("node"), "left_semi").groupBy(F.col("to_id").alias("node")).agg(F.min("via").alias("via"))
-        level = cut(met.join(seen, "node", "left_anti"))
-        levels.append(level)
-        if not level.filter(F.col("node") == end).isEmpty():
-            break
-        frontier = level.select("node")
-        seen = seen.unionByName(frontier)
-        if level.isEmpty():
+
+    def own(frame: DataFrame) -> DataFrame:
+        return frame.filter(F.col("relation").isin(relations)).select("from_id", "to_id", F.struct(rank.alias("rank"), "from_id", "relation").alias("via"))
+
+    def hop(source: DataFrame, near: str, far: str, last: DataFrame, n: int | None = None) -> DataFrame:
+        """(node, via): what one more edge reaches from the n nodes of `last`."""
+        if n is not None and n <= NAMED:
+            left = source.filter(F.col(near).isin([r.node for r in last.select("node").collect()]))
+        else:
+            left = source.join(last.select(F.col("node").alias(near)), near, "left_semi")
+        return left.groupBy(F.col(far).alias("node")).agg(F.min("via").alias("via"))
+
+    out, into = own(edges), own(edges if incoming is None else incoming)
+    first = lambda node: spark.range(1).select(F.lit(node).alias("node"))
+    ahead, behind = [first(start)], [first(end)]
+    n_ahead = n_behind = 1
+    met = False
+    while not met:
+        if len(ahead) + len(behind) - 2 == hops_of(most):
             return None
-    else:
-        return None
-    steps, node = [], end
-    for hop in range(len(levels), 0, -1):
-        via = levels[hop - 1].filter(F.col("node") == node).first()["via"]
-        steps.append((hop, via["from_id"], node, via["relation"]))
-        node = via["from_id"]
-    return spark.createDataFrame(steps[::-1], _PATH)
+        forward = n_ahead <= n_behind
+        levels, others = (ahead, behind) if forward else (behind, ahead)
+        found = hop(out, "from_id", "to_id", levels[-1], n_ahead) if forward else hop(into, "to_id", "from_id", levels[-1], n_behind)
+        known = reduce(DataFrame.unionByName, [x.select("node") for x in levels])
+        found = found.join(known, "node", "left_anti").join(others[-1].select("node", F.lit(1).alias("met")), "node", "left")
+        level, n, met = _counted(found)
+        if n == 0:
+            return None
+        levels.append(level)
+        n_ahead, n_behind = (n, n_behind) if forward else (n_ahead, n)
+    ahead[-1] = ahead[-1].join(behind[-1].select("node"), "node", "left_semi")
+    for level in behind[-2::-1]:  # from where they met to the end, among nodes that lie on shortest paths alone
+        ahead.append(cut(hop(out, "from_id", "to_id", ahead[-1]).join(level.select("node"), "node", "left_semi")))
+    way = first(end).withColumn("steps", F.array().cast("array<struct<hop:int,from_id:string,to_id:string,relation:string>>"))
+    for number in range(len(ahead) - 1, 0, -1):
+        step = F.struct(F.lit(number).alias("hop"), F.col("via.from_id").alias("from_id"), F.col("node").alias("to_id"), F.col("via.relation").alias("relation"))
+        way = ahead[number].join(F.broadcast(way), "node").select(F.col("via.from_id").alias("node"), F.concat(F.array(step), "steps").alias("steps"))  # one row
+    return way.select(F.inline("steps")).orderBy("hop")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

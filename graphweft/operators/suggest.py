@@ -3,42 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft.functions.names import canonical_key, leaf_of
 
 
-def alignment_distance(text: Column, name: str, most: int) -> Column:
+def alignment_distance(text: Column, name: str | Column, most: int | Column) -> Column:
     """Edits between a column and a name, a swap of neighbours counting as one; most + 1 stands for more.
 
     A column expression: one fold over the characters of the text carries the last two rows of the table of
     distances. Only the band of 2 most + 1 cells around the diagonal is filled: a cell further off costs more.
+    Name and bound are values or columns.
     """
-    far = F.lit(most + 1)
-    n = len(name)
-    chars = F.split(text, "")
-
-    def cell(row: Column, j: int | Column) -> Column:
-        return F.get(row, F.lit(j) if isinstance(j, int) else j)
+    name = F.lit(name) if isinstance(name, str) else name
+    most = F.lit(most) if isinstance(most, int) else most
+    far, n, letters = most + 1, F.length(name), F.split(name, "")
 
     def fold(state: Column, x: Column) -> Column:
         i, one, two = state["i"], state["one"], state["two"]
 
         def fill(made: Column, j: Column) -> Column:
-            same = F.get(F.split(F.lit(name), ""), j - 1)
-            step = F.least(cell(one, j) + 1, F.get(made, F.size(made) - 1) + 1, cell(one, j - 1) + (x != same).cast("int"))
-            swap = (i > 0) & (j > 1) & (x == F.get(F.split(F.lit(name), ""), j - 2)) & (state["last"] == same)
-            value = F.when(swap, F.least(step, F.coalesce(cell(two, j - 2), far) + 1)).otherwise(step)
+            same = F.get(letters, j - 1)
+            step = F.least(F.get(one, j) + 1, F.get(made, F.size(made) - 1) + 1, F.get(one, j - 1) + (x != same).cast("int"))
+            swap = (i > 0) & (j > 1) & (x == F.get(letters, j - 2)) & (state["last"] == same)
+            value = F.when(swap, F.least(step, F.coalesce(F.get(two, j - 2), far) + 1)).otherwise(step)
             return F.concat(made, F.array(F.when(F.abs(j - i - 1) > most, far).otherwise(F.least(value, far))))
 
-        row = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(F.least(i + 1, far)), fill) if n else F.array(F.least(i + 1, far))
+        row = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.least(i + 1, far)), fill)
         return F.struct((i + 1).alias("i"), row.alias("one"), one.alias("two"), x.alias("last"))
 
-    first = F.lit([min(j, most + 1) for j in range(n + 1)]).cast("array<int>")
+    first = F.transform(F.sequence(F.lit(0), n), lambda j: F.least(j, far))
     start = F.struct(F.lit(0).alias("i"), first.alias("one"), first.alias("two"), F.lit("").alias("last"))
-    folded = F.aggregate(chars, start, fold, lambda s: cell(s["one"], n))
+    folded = F.aggregate(F.split(text, ""), start, fold, lambda s: F.get(s["one"], n))
     gap = F.abs(F.length(text) - n)
-    return F.when(gap > most, far).when(F.length(text) == 0, F.least(F.lit(n), far)).otherwise(folded)
+    return F.when(gap > most, far).when((F.length(text) == 0) | (n == 0), F.least(F.greatest(F.length(text), n), far)).otherwise(folded)
 
 
 def suggestions(nodes: DataFrame, name: str, limit: int) -> DataFrame:
@@ -59,6 +58,73 @@ def suggestions(nodes: DataFrame, name: str, limit: int) -> DataFrame:
     return plain.unionByName(near.filter(F.col("rank") <= 4 + most)).orderBy("rank", "label").limit(limit)
 
 
+_GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of a text of up to three characters."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.filter(F.flatten(F.array(*[at(k) for k in range(1, _GRAM + 1)])), lambda g: g != ""))
+
+
+def _without_one(text: Column) -> Column:
+    """A text and all that is left of it without one of its characters."""
+    cut = lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text)))
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), cut)))
+
+
+def _pieces(text: Column, length: Column, bound: int, slack: int) -> Column:
+    """array<struct<bound, length, piece, part>>: what lies where a text of some length has its 2 bound + 1 pieces, give or take `slack` places.
+
+    An edit spoils two neighbouring pieces at most (a swap over their border), so that within the bound one stays whole.
+    """
+    count = 2 * bound + 1
+    start = lambda p: F.floor(length * p / count).cast("int")
+    found = []
+    for p in range(count):
+        for shift in range(-slack, slack + 1):
+            at = start(p) + 1 + shift
+            found.append(F.when(at >= 1, F.struct(F.lit(bound).alias("bound"), length.cast("int").alias("length"), F.lit(p).alias("piece"), F.substring(text, at, start(p + 1) - start(p)).alias("part"))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def suggestions_many(nodes: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(name, label, rank): what `suggestions` says of each distinct name of (name), for all of them in one plan.
+
+    Labels that contain a name's leaf share its rarest piece of up to three characters with it. Labels near a
+    leaf meet it by a key: for one edit what is left without one character, for two and three edits one of 5
+    or 7 pieces, of which one must stay whole. Keys are joined by equality, candidates are verified; neither names
+    nor labels are compared with all of the other side. Null names and names without a leaf have no suggestions.
+    """
+    label = F.lower("label")
+    own = nodes.select("label").filter("label is not null").distinct().withColumn("low", label).withColumn("own", F.lower(leaf_of(F.col("label"))))
+    q = F.lower("name")
+    asked = names.select("name").filter("name is not null").distinct().withColumn("q", q).withColumn("leaf", F.element_at(F.split(F.replace("q", F.lit("::"), F.lit(".")), r"\."), -1)).filter("leaf <> ''")
+    asked = asked.withColumn("most", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length("leaf") / 6))).cast("int"))
+
+    grams = own.select("label", "low", "own", F.explode(_grams(F.col("low"))).alias("gram"))
+    wanted = asked.select("name", "q", "leaf", F.explode(_grams(F.col("leaf"))).alias("gram")).filter(F.length("gram") == F.least(F.length("leaf"), F.lit(_GRAM)))
+    counts = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("name", "q", "leaf").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    held = grams.join(rarest, "gram").filter(F.contains("low", F.col("leaf")))
+    rank = F.when(F.col("low") == F.col("q"), 0).when(F.col("own") == F.col("leaf"), 1).when(F.startswith("own", F.col("leaf")), 2).otherwise(3)
+    plain = held.select("name", "label", rank.alias("rank"))
+
+    alone = lambda frame, text, bound, *kept: frame.select(*kept, F.explode(_without_one(F.col(text))).alias("part")).select(*kept, F.struct(F.lit(1).alias("bound"), F.lit(0).alias("length"), F.lit(0).alias("piece"), "part").alias("key"))
+    size = F.length("own")
+    labels = alone(own, "own", 1, "label", "own")
+    keys = alone(asked.filter("most = 1"), "leaf", 1, "name", "leaf", "most")
+    for bound in (2, 3):
+        shapes = F.flatten(F.array(*[_pieces(F.col("leaf"), F.length("leaf") + gap, bound, bound) for gap in range(-bound, bound + 1)]))
+        keys = keys.unionByName(asked.filter(F.col("most") == bound).select("name", "leaf", "most", F.explode(shapes).alias("key")))
+        labels = labels.unionByName(own.filter(size.between(6 * bound - bound, 6 * bound + 5 + bound) if bound == 2 else size >= 6 * bound - bound).select("label", "own", F.explode(_pieces(F.col("own"), size, bound, 0)).alias("key")))
+    met = labels.join(keys, "key").filter((F.abs(F.length("own") - F.length("leaf")) <= F.col("most")) & ~F.contains(label, F.col("leaf")) & (F.levenshtein("own", "leaf") <= 2 * F.col("most")))
+    near = met.select("name", "label", "own", "leaf", "most").distinct().withColumn("d", alignment_distance(F.col("own"), F.col("leaf"), F.col("most")))
+    told = plain.unionByName(near.filter(F.col("d") <= F.col("most")).select("name", "label", (F.col("d") + 4).alias("rank")))
+    place = F.row_number().over(W.partitionBy("name").orderBy("rank", "label"))
+    return told.withColumn("place", place).filter(F.col("place") <= limit).select("name", "label", "rank")
+
+
 def resolve(nodes: DataFrame, symbol: str) -> DataFrame:
     """(id, rank): the nodes of the first rule that finds any: label, qualified name, its suffix, path."""
     rules = [F.col("label") == symbol, F.col("qname") == symbol, F.endswith("qname", F.lit(f".{symbol}")), F.col("file_path") == symbol]

@@ -161,6 +161,26 @@ def x6_x7_suggestions(spark, d):
     return suggest.suggestions(tg.nodes(spark, d).filter(F.col("type").isin("Type", "Class")), "blue rdo", 5)
 
 
+_WORDS = "regexp_extract_all(lower(text), '[a-z]{4,}')"
+
+
+@query(
+    f"""with w as (select distinct unnest({_WORDS}) as label from documents), n as (select min(substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4)) as name from (select doc_id, unnest({_WORDS}) as x from documents where doc_id % 20 = 0) group by doc_id),
+    q as (select distinct name, least(3, greatest(1, len(name) // 6)) as most from n),
+    hits as (select name, label, case when label = name then 0 when starts_with(label, name) then 2 when contains(label, name) then 3 when damerau_levenshtein(label, name) <= most then 4 + damerau_levenshtein(label, name) end as rank
+    from q join w on contains(label, name) or abs(len(label) - len(name)) <= most and damerau_levenshtein(label, name) <= most)
+    select name, label, rank::int as rank from hits qualify row_number() over (partition by name order by rank, label) <= 5""",
+    graph=False,
+)
+def x6_x7_suggestions_many(spark, d):
+    """For a misspelled word of every twentieth document the best words of all documents: its first word by the alphabet after its second and third letters are swapped."""
+    docs = tg.table(spark, d, "documents")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    swapped = lambda x: F.concat(F.left(x, F.lit(1)), F.substring(x, 3, 1), F.substring(x, 2, 1), F.substring(x, F.lit(4), F.length(x)))
+    names = docs.filter("doc_id % 20 = 0").select(F.array_min(F.transform(words, swapped)).alias("name"))
+    return suggest.suggestions_many(docs.select(F.explode(words).alias("label")).distinct(), names, 5)
+
+
 @query(
     """, hits as (select id, 0 as rank from nodes where label = 'EUROPE' union all select id, 1 from nodes where qname = 'EUROPE' union all select id, 2 from nodes where ends_with(qname, '.EUROPE')
     union all select id, 3 from nodes where file_path = 'EUROPE')

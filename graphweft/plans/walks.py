@@ -26,7 +26,7 @@ _RANKS = " ".join(f"when '{r}' then {k}" for k, r in enumerate(_ROUTE, 1))
 
 @query(", " + _path_sql("R0", "P5", f"select from_id as a, to_id as b, relation, case relation {_RANKS} end as rank from edges where relation in {in_list(_ROUTE)}", 6))
 def t9_a14_v39_shortest_path(spark, d):
-    return paths.shortest_path(tg.edges(spark, d), "R0", "P5", _ROUTE, 6)
+    return paths.shortest_path(tg.edges(spark, d), "R0", "P5", _ROUTE, 6, tg.incoming(spark, d))
 
 
 @query(", " + _path_sql("P1", "P2", "select from_id as a, to_id as b, relation, 1 as rank from edges where relation = 'REFERENCES' union all select to_id, from_id, relation, 1 from edges where relation = 'REFERENCES'", 6))
