@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft.functions.names import canonical_key, leaf_of
+from graphweft.operators.lineage import cut
 
 
 def alignment_distance(text: Column, name: str | Column, most: int | Column) -> Column:
@@ -69,23 +70,27 @@ def _grams(text: Column) -> Column:
 
 def _without_one(text: Column) -> Column:
     """A text and all that is left of it without one of its characters."""
-    cut = lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text)))
-    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), cut)))
+    rest = lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text)))
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), rest)))
 
 
-def _pieces(text: Column, length: Column, bound: int, slack: int) -> Column:
-    """array<struct<bound, length, piece, part>>: what lies where a text of some length has its 2 bound + 1 pieces, give or take `slack` places.
+def _pieces(text: Column, bound: int, slack: int) -> Column:
+    """array<struct<bound, length, piece, part>>: what lies where texts have their 2 bound + 1 pieces: texts as long as this, or up to `slack` longer or shorter, `slack` places around.
 
     An edit spoils two neighbouring pieces at most (a swap over their border), so that within the bound one stays whole.
     """
     count = 2 * bound + 1
-    start = lambda p: F.floor(length * p / count).cast("int")
-    found = []
-    for p in range(count):
-        for shift in range(-slack, slack + 1):
-            at = start(p) + 1 + shift
-            found.append(F.when(at >= 1, F.struct(F.lit(bound).alias("bound"), length.cast("int").alias("length"), F.lit(p).alias("piece"), F.substring(text, at, start(p + 1) - start(p)).alias("part"))))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    around = F.sequence(F.lit(-slack), F.lit(slack)) if slack else F.array(F.lit(0))
+
+    def part(gap: Column, p: Column, shift: Column) -> Column:
+        length = F.length(text) + gap
+        start = F.floor(length * p / count).cast("int")
+        size = F.floor(length * (p + 1) / count).cast("int") - start
+        at = start + 1 + shift
+        return F.when(at >= 1, F.struct(F.lit(bound).alias("bound"), length.alias("length"), p.alias("piece"), F.substring(text, at, size).alias("part")))
+
+    of = lambda gap: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda p: F.transform(around, lambda shift: part(gap, p, shift))))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(around, of))))
 
 
 def suggestions_many(nodes: DataFrame, names: DataFrame, limit: int) -> DataFrame:
@@ -97,10 +102,11 @@ def suggestions_many(nodes: DataFrame, names: DataFrame, limit: int) -> DataFram
     nor labels are compared with all of the other side. Null names and names without a leaf have no suggestions.
     """
     label = F.lower("label")
-    own = nodes.select("label").filter("label is not null").distinct().withColumn("low", label).withColumn("own", F.lower(leaf_of(F.col("label"))))
+    own = cut(nodes.select("label").filter("label is not null").distinct()).withColumn("low", label).withColumn("own", F.lower(leaf_of(F.col("label"))))
     q = F.lower("name")
     asked = names.select("name").filter("name is not null").distinct().withColumn("q", q).withColumn("leaf", F.element_at(F.split(F.replace("q", F.lit("::"), F.lit(".")), r"\."), -1)).filter("leaf <> ''")
     asked = asked.withColumn("most", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length("leaf") / 6))).cast("int"))
+    asked = cut(asked)
 
     grams = own.select("label", "low", "own", F.explode(_grams(F.col("low"))).alias("gram"))
     wanted = asked.select("name", "q", "leaf", F.explode(_grams(F.col("leaf"))).alias("gram")).filter(F.length("gram") == F.least(F.length("leaf"), F.lit(_GRAM)))
@@ -115,9 +121,9 @@ def suggestions_many(nodes: DataFrame, names: DataFrame, limit: int) -> DataFram
     labels = alone(own, "own", 1, "label", "own")
     keys = alone(asked.filter("most = 1"), "leaf", 1, "name", "leaf", "most")
     for bound in (2, 3):
-        shapes = F.flatten(F.array(*[_pieces(F.col("leaf"), F.length("leaf") + gap, bound, bound) for gap in range(-bound, bound + 1)]))
-        keys = keys.unionByName(asked.filter(F.col("most") == bound).select("name", "leaf", "most", F.explode(shapes).alias("key")))
-        labels = labels.unionByName(own.filter(size.between(6 * bound - bound, 6 * bound + 5 + bound) if bound == 2 else size >= 6 * bound - bound).select("label", "own", F.explode(_pieces(F.col("own"), size, bound, 0)).alias("key")))
+        keys = keys.unionByName(asked.filter(F.col("most") == bound).select("name", "leaf", "most", F.explode(_pieces(F.col("leaf"), bound, bound)).alias("key")))
+        fitting = size.between(5 * bound, 7 * bound + 5) if bound == 2 else size >= 5 * bound
+        labels = labels.unionByName(own.filter(fitting).select("label", "own", F.explode(_pieces(F.col("own"), bound, 0)).alias("key")))
     met = labels.join(keys, "key").filter((F.abs(F.length("own") - F.length("leaf")) <= F.col("most")) & ~F.contains(label, F.col("leaf")) & (F.levenshtein("own", "leaf") <= 2 * F.col("most")))
     near = met.select("name", "label", "own", "leaf", "most").distinct().withColumn("d", alignment_distance(F.col("own"), F.col("leaf"), F.col("most")))
     told = plain.unionByName(near.filter(F.col("d") <= F.col("most")).select("name", "label", (F.col("d") + 4).alias("rank")))
