@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphweft.operators import ingest
+from graphweft.operators import ingest, scopes
 from graphweft.plans.base import query
 from graphweft.sources import files, history, sinks
 from graphweft.sources import testgraph as tg
@@ -211,3 +211,38 @@ def d11_batches(spark, d):
     docs = tg.table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("file_path"), F.length("text").cast("bigint").alias("chars"))
     own = files.batches(docs.filter("chars <= 50000").unionAll(docs.filter("chars > 50000"))).join(docs, "file_path").groupBy("batch").agg(F.count("*").alias("n"), F.sum("chars").alias("c"), F.max("chars").alias("most"))
     return own.agg((F.max("n") <= 20).alias("fits"), F.sum("n").alias("files")).select("fits", "files")
+
+
+# Four languages, a file of each for every part; # stands for the part.
+_SCOPED = {
+    "ts": ("typescript", r"import { a } from './lib#';\nexport class Box# extends Base implements Shape {\n  run(a: string) {\n    return this.walk(\"}\") + helper#(a);\n  }\n}\nconst go# = async (a) => { deep(); };\n"),
+    "go": ("go", r"package m\nimport \"fmt\"\ntype Box# struct { n int }\nfunc (b *Box#) Run(a int) {\n\tfmt.Println(\"{\")\n}\nfunc TestBox#(t *T) { Make() }\n"),
+    "rs": ("rust", r"use a::b;\nstruct Box# { n: u8 }\nimpl Shape for Box# {\n  // fn no() {\n  fn area(&self) { self.side(); }\n}\nmod inner# { fn f() { g(); } }\n"),
+    "rb": ("ruby", r"require 'set'\nmodule M#\n  class Box < Base\n    def run(a)\n      return helper(a) if a\n    end\n  end\nend\n"),
+}
+
+
+def _scoped(spark, d):
+    parts = tg.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    one = lambda end, language, text: F.struct(F.concat(F.lit("src/m"), "k", F.lit(f".{end}")).alias("file_path"), F.lit(language).alias("language"), F.replace(F.lit(text.encode().decode("unicode_escape")), F.lit("#"), F.col("k")).alias("content"))
+    return parts.select(F.inline(F.array(*[one(end, *told) for end, told in _SCOPED.items()])))
+
+
+@query(
+    """select 'src/m' || k || '.' || ending as file_path, type, 'src.m' || k || '.' || replace(qname, '#', k) as qname, a as start_line, b as end_line from (select p_partkey::varchar as k from part) cross join
+    (values ('ts', 'Class', 'Box#', 2, 6), ('ts', 'Method', 'Box#.run', 3, 5), ('ts', 'Function', 'go#', 7, 7), ('go', 'Class', 'Box#', 3, 3), ('go', 'Method', 'Box#.Run', 4, 6), ('go', 'Test', 'TestBox#', 7, 7),
+    ('rs', 'Class', 'Box#', 2, 2), ('rs', 'Method', 'Box#.area', 5, 5), ('rs', 'Module', 'inner#', 7, 7), ('rs', 'Function', 'inner#.f', 7, 7), ('rb', 'Module', 'M#', 2, 8), ('rb', 'Class', 'M#.Box', 3, 7), ('rb', 'Method', 'M#.Box.run', 4, 6)) t(ending, type, qname, a, b)""",
+    graph=False,
+)
+def i2_scoped_symbols(spark, d):
+    return scopes.scoped_symbols(_scoped(spark, d))[0].select("file_path", "type", "qname", "start_line", "end_line")
+
+
+@query(
+    """select 'src/m' || k || '.' || ending as source_file, relation, replace(target, '#', k) as target, a as source_line from (select p_partkey::varchar as k from part) cross join
+    (values ('ts', 'IMPORTS', './lib#', 1), ('ts', 'EXTENDS', 'Base', 2), ('ts', 'EXTENDS', 'Shape', 2), ('ts', 'CALLS', 'Box#.walk', 4), ('ts', 'CALLS', 'helper#', 4), ('ts', 'CALLS', 'deep', 7), ('go', 'IMPORTS', 'fmt', 2), ('go', 'CALLS', 'Println', 5), ('go', 'TESTS', 'Make', 7),
+    ('rs', 'IMPORTS', 'a::b', 1), ('rs', 'EXTENDS', 'Shape', 3), ('rs', 'CALLS', 'Box#.side', 5), ('rs', 'CALLS', 'g', 7), ('rb', 'IMPORTS', 'set', 1), ('rb', 'EXTENDS', 'Base', 3), ('rb', 'CALLS', 'helper', 5)) t(ending, relation, target, a)""",
+    graph=False,
+)
+def i2_scoped_references(spark, d):
+    return scopes.scoped_symbols(_scoped(spark, d))[1].select("source_file", "relation", "target", "source_line")
