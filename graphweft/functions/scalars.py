@@ -67,3 +67,8 @@ def rotate_to_least(values: Column) -> Column:
     """The array turned so that its smallest element comes first."""
     at = F.array_position(values, F.array_min(values)).cast("int")
     return F.concat(F.slice(values, at, F.size(values)), F.slice(values, F.lit(1), at - 1))
+
+
+def nearest_second(at: Column) -> Column:
+    """The seconds since 1970 that a timestamp is nearest to, the even one of two."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / 1e6).cast("bigint")

@@ -149,7 +149,7 @@ def j9_u3_orphans(spark, d):
     graph=False,
 )
 def j11_w7_innermost_interval(spark, d):
-    e = tg.table(spark, d, "events").withColumn("at", F.unix_timestamp("ts"))
+    e = tg.table(spark, d, "events").withColumn("at", scalars.nearest_second(F.col("ts")))
     points = e.filter("event_type <> 'click'").selectExpr("user_id", "event_id as point_id", "at")
     spans = e.filter("event_type = 'click'").selectExpr("user_id", "event_id as span_id", "at as first", "at + 21600 as last")
     return rel.innermost(points, spans, "user_id", width=21600)
