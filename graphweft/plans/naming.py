@@ -121,8 +121,8 @@ def f22_signatures(spark, d):
 )
 def f23_ages(spark, d):
     at = lambda s: F.to_timestamp(F.lit(s))
-    ts = F.date_trunc("second", "ts")
-    return tg.table(spark, d, "events").select("event_id", texts.days_ago(ts, at("2024-02-01 00:00:00")).alias("days"), texts.relative_time(ts, at("2024-01-30 12:00:00")).alias("said"))
+    nearest = F.timestamp_seconds(scalars.nearest_second(F.col("ts")))  # whole days are told from the nearest second, the rest from the one begun
+    return tg.table(spark, d, "events").select("event_id", texts.days_ago(nearest, at("2024-02-01 00:00:00")).alias("days"), texts.relative_time(F.date_trunc("second", "ts"), at("2024-01-30 12:00:00")).alias("said"))
 
 
 @query(

@@ -31,3 +31,9 @@ def test_intervals_begin_and_end_at_the_nearest_second(spark, tmp_path):
         (7, 3, "click", "2024-01-10 10:00:00.2"), (8, 3, "click", "2024-01-10 10:00:00.8"), (9, 3, "view", "2024-01-10 10:00:01.1"), (10, 3, "click", "2024-01-10 10:00:00.5"),
     ]
     assert not differs_from_duckdb(spark, "j11_w7_innermost_interval", events=events(spark, tmp_path, rows))
+
+
+def test_days_are_told_from_the_nearest_second(spark, tmp_path):
+    times = ["2024-01-10 23:59:59.6", "2024-01-10 23:59:59.5", "2024-01-10 23:59:59.4", "2024-01-11 00:00:00.3", "2024-01-11 00:00:00", "2024-01-11 00:00:00.6", "2024-01-29 11:59:59.7", "2024-01-30 11:59:15.9"]
+    path = events(spark, tmp_path, [(k, 1, "view", t) for k, t in enumerate(times)])
+    assert not differs_from_duckdb(spark, "f23_ages", events=path)
