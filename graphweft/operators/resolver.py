@@ -205,10 +205,10 @@ def chains(refs: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def probed(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (ref_id, path) with file: the first of the probed files that exists, null if none does."""
-    tried = imports.select("ref_id", F.posexplode(paths.probes(F.col("path"))).alias("rank", "file"))
-    hit = tried.join(files.select("file").distinct(), "file").groupBy("ref_id").agg(F.min_by("file", "rank").alias("file"))
-    return imports.join(hit, "ref_id", "left")
+    """imports (ref_id, path) with file: the first of the probed files that exists, null if none does. Each path is probed once, however many imports name it."""
+    tried = imports.select("path").distinct().select("path", F.posexplode(paths.probes(F.col("path"))).alias("rank", "file"))
+    hit = tried.join(files.select("file").distinct(), "file").groupBy("path").agg(F.min_by("file", "rank").alias("file"))
+    return imports.join(hit, "path", "left")
 
 
 def aliased(specifier: Column, importer: Column, aliases: dict[str, str]) -> Column:

@@ -37,3 +37,12 @@ def test_days_are_told_from_the_nearest_second(spark, tmp_path):
     times = ["2024-01-10 23:59:59.6", "2024-01-10 23:59:59.5", "2024-01-10 23:59:59.4", "2024-01-11 00:00:00.3", "2024-01-11 00:00:00", "2024-01-11 00:00:00.6", "2024-01-29 11:59:59.7", "2024-01-30 11:59:15.9"]
     path = events(spark, tmp_path, [(k, 1, "view", t) for k, t in enumerate(times)])
     assert not differs_from_duckdb(spark, "f23_ages", events=path)
+
+
+def test_a_path_is_probed_by_itself(spark):
+    from graphweft.operators import resolver
+
+    imports = spark.createDataFrame([(1, "src/a"), (1, "src/b"), (2, "src/a"), (3, "src/none"), (4, None)], "ref_id int, path string")
+    files = spark.createDataFrame([("src/a.ts",), ("src/a.js",), ("src/b/index.js",)], "file string")
+    found = resolver.probed(imports, files)
+    assert {(r.ref_id, r.path, r.file) for r in found.collect()} == {(1, "src/a", "src/a.js"), (1, "src/b", "src/b/index.js"), (2, "src/a", "src/a.js"), (3, "src/none", None), (4, None, None)}
