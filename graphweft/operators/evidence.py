@@ -54,15 +54,17 @@ def split_definitions(references: DataFrame, definitions: DataFrame) -> DataFram
     return references.join(places, ["file", "line"], "left").withColumn("is_definition", F.coalesce("is_definition", F.lit(False)))
 
 
-def defined_symbols(records: DataFrame, nodes: DataFrame) -> DataFrame:
+def defined_symbols(records: DataFrame, nodes: DataFrame, width: int = 200) -> DataFrame:
     """(symbol, node, first, last, file): the node that each symbol's definition lies in; callables before others, made up last.
 
     records are (seq, symbol, file, line), nodes (id, type, file_path, start_line, end_line). Of the nodes around a
-    definition functions win, then the innermost. A definition in no node stands for itself.
+    definition functions win, then the innermost. A definition in no node stands for itself. Nodes are met by the
+    stretches of `width` lines that they reach into; take about the usual length of a node.
     """
     spans = nodes.filter("end_line >= start_line and file_path <> ''").select(F.col("file_path").alias("file"), "id", "type", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
     callable_ = F.col("type").isin("Function", "Method").cast("int")
-    around = records.join(spans, "file").filter("line between first and last")
+    met = spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    around = records.withColumn("stretch", F.floor(F.col("line") / width)).join(met, ["file", "stretch"]).filter("line between first and last")
     best = around.groupBy("seq").agg(F.max(F.struct(callable_.alias("callable"), "first", (-F.col("last")).alias("end"), "id")).alias("b"))
     own = records.join(best, "seq", "left")
     made = F.concat(F.lit("ci:lsp:"), F.sha1("symbol"))

@@ -412,7 +412,7 @@ symbols as (select symbol, file, coalesce(id, 'ci:lsp:' || sha1(symbol)) as node
 
 def _defined(spark, d):
     records = tg.table(spark, d, "part").filter("p_partkey % 5 = 0").selectExpr("p_partkey as seq", "concat('y', p_partkey) as symbol", "concat('s', p_partkey % 8, '.cpp') as file", "int(p_partkey div 8 * 4 + 2) as line")
-    return evidence.defined_symbols(records, _spans(spark, d))
+    return evidence.defined_symbols(records, _spans(spark, d), width=20)
 
 
 @query(f"with {_SYMBOLS} select symbol, node, first, last, file from symbols", graph=False)

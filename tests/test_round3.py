@@ -46,3 +46,13 @@ def test_a_path_is_probed_by_itself(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/a.js",), ("src/b/index.js",)], "file string")
     found = resolver.probed(imports, files)
     assert {(r.ref_id, r.path, r.file) for r in found.collect()} == {(1, "src/a", "src/a.js"), (1, "src/b", "src/b/index.js"), (2, "src/a", "src/a.js"), (3, "src/none", None), (4, None, None)}
+
+
+def test_definitions_meet_the_nodes_of_their_stretch(spark):
+    from graphweft.operators import evidence
+
+    nodes = spark.createDataFrame([("A", "Class", "f", 1, 1000), ("B", "Method", "f", 10, 450), ("C", "Class", "f", 395, 405), ("D", "Method", "f", 500, 500)], "id string, type string, file_path string, start_line int, end_line int")
+    records = spark.createDataFrame([(1, "s", "f", 400), (2, "t", "f", 460), (3, "u", "f", 1001), (4, "v", "f", 500)], "seq int, symbol string, file string, line int")
+    found = evidence.defined_symbols(records, nodes, width=100)
+    assert {(r.symbol, r.node[:6]) for r in found.collect()} == {("s", "B"), ("t", "A"), ("u", "ci:lsp"), ("v", "D")}
+    assert "stretch" in found._jdf.queryExecution().optimizedPlan().toString()
