@@ -82,9 +82,10 @@ def proven_calls(references: DataFrame, symbols: DataFrame, nodes: DataFrame, wi
     spans = nodes.filter("type <> 'File' and end_line >= start_line and file_path <> ''").select(F.col("file_path").alias("file"), F.col("id").alias("span_key"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
     # the pick among equal spans goes by a number
     spans = spans.withColumn("span_id", F.xxhash64("span_key"))
-    points = references.select("file", F.col("ref").alias("point_id"), F.col("line").alias("at"))
-    inner = innermost(points, spans.drop("span_key"), "file", width).join(spans.select("span_id", F.col("span_key").alias("caller")), "span_id").select(F.col("point_id").alias("ref"), "caller")
-    met = references.join(inner, "ref", "left").join(symbols.select("symbol", "node", "first", "last", F.col("file").alias("own_file")), "symbol")
+    # a line is looked up once, however many references stand on it
+    points = references.select("file", F.col("line").alias("point_id"), F.col("line").alias("at")).distinct()
+    inner = innermost(points, spans.drop("span_key"), "file", width).join(spans.select("span_id", F.col("span_key").alias("caller")), "span_id").select("file", F.col("point_id").alias("line"), "caller")
+    met = references.join(inner, ["file", "line"], "left").join(symbols.select("symbol", "node", "first", "last", F.col("file").alias("own_file")), "symbol")
     caller = F.coalesce("caller", F.concat(F.lit("file:"), "file"))
     inside = (F.col("file") == F.col("own_file")) & F.col("line").between(F.col("first"), F.col("last"))
     calls = met.select(caller.alias("from_id"), F.col("node").alias("to_id"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), "confidence", inside.alias("inside")).filter("not inside and from_id <> to_id")

@@ -56,3 +56,13 @@ def test_definitions_meet_the_nodes_of_their_stretch(spark):
     found = evidence.defined_symbols(records, nodes, width=100)
     assert {(r.symbol, r.node[:6]) for r in found.collect()} == {("s", "B"), ("t", "A"), ("u", "ci:lsp"), ("v", "D")}
     assert "stretch" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_with_one_number_are_placed_by_their_line(spark):
+    from graphweft.operators import evidence
+
+    nodes = spark.createDataFrame([("A", "Method", "f", 1, 9), ("B", "Method", "g", 1, 9), ("T", "Method", "h", 1, 9)], "id string, type string, file_path string, start_line int, end_line int")
+    refs = spark.createDataFrame([(1, "t", "f", 5, "high"), (1, "t", "g", 5, "high"), (2, "t", "g", 20, "low"), (3, "t", "g", 5, "low")], "ref int, symbol string, file string, line int, confidence string")
+    symbols = spark.createDataFrame([("t", "T", 1, 9, "h")], "symbol string, node string, first int, last int, file string")
+    found = evidence.proven_calls(refs, symbols, nodes)
+    assert sorted((r.from_id, r.to_id, r.source_line) for r in found.collect()) == [("A", "T", 5), ("B", "T", 5), ("file:g", "T", 20)]
