@@ -223,7 +223,8 @@ _SCOPED = {
 
 
 def _scoped(spark, d):
-    parts = tg.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    # keys are dealt out before they become files: the table can be a single split
+    parts = tg.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism)
     one = lambda end, language, text: F.struct(F.concat(F.lit("src/m"), "k", F.lit(f".{end}")).alias("file_path"), F.lit(language).alias("language"), F.replace(F.lit(text.encode().decode("unicode_escape")), F.lit("#"), F.col("k")).alias("content"))
     return parts.select(F.inline(F.array(*[one(end, *told) for end, told in _SCOPED.items()])))
 

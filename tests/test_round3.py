@@ -66,3 +66,9 @@ def test_references_with_one_number_are_placed_by_their_line(spark):
     symbols = spark.createDataFrame([("t", "T", 1, 9, "h")], "symbol string, node string, first int, last int, file string")
     found = evidence.proven_calls(refs, symbols, nodes)
     assert sorted((r.from_id, r.to_id, r.source_line) for r in found.collect()) == [("A", "T", 5), ("B", "T", 5), ("file:g", "T", 20)]
+
+
+def test_files_to_scan_are_dealt_out(spark):
+    from graphweft.plans import reading
+
+    assert reading._scoped(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
