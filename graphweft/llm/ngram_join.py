@@ -17,7 +17,7 @@ classes so far meet each other. Nothing is gathered by key: meetings are joins,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,11 +178,13 @@ def _apart(entries: DataFrame, nodes: DataFrame, classes: DataFrame, percent: in
     return pairs.join(left, ["g", "a"]).join(right, ["h", "b"]).select(*_ordered(F.col("u"), F.col("v")))
 
 
-def set_classes(spark: SparkSession, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def set_classes(spark: SparkSession, docs: DataFrame, words: int, percent: int, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, _h, node, n, component) for rows of docs (doc_id, _h, text), in which doc_id and _h name a text.
 
     node is the hash of the text's set of shingles, n its size, component the smallest node that it is linked with
     through any number of links. Texts without words have a node of their own, which links with nothing.
+    `candidates` gives, for the nodes (node, doc_id, _h, ...), pairs (u, v), u > v, that another method takes for likely links:
+    they are compared with the leaders' pairs, and what they link meets no more.
     """
     small_batches(spark)
     rows = materialise(spark, _prefixes(docs.select("doc_id", "_h", "text"), words, percent, counters(docs, words)), "shingle-prefixes")
@@ -194,7 +196,10 @@ def set_classes(spark: SparkSession, docs: DataFrame, words: int, percent: int)
     leaders = entries.groupBy("key").agg(F.min("x").alias("lead"), F.count("*").alias("k")).filter("k > 1").select("key", "lead")
     leaders = materialise(spark, leaders, "key-leaders")
     entries = materialise(spark, entries.join(leaders.select("key"), "key", "left_semi"), "key-entries")
-    tried = materialise(spark, _led(nodes, groups, entries, leaders, percent).distinct(), "led")
+    first = _led(nodes, groups, entries, leaders, percent)
+    if candidates is not None:
+        first = first.union(candidates(nodes))
+    tried = materialise(spark, first.distinct(), "led")
     links = materialise(spark, _verified(tried, docs, nodes, words, percent), "set-links")
     classes = materialise(spark, connected_components(spark, links), "set-classes")
     more = _apart(entries, nodes, classes, percent).distinct().join(tried, ["u", "v"], "left_anti")

@@ -32,16 +32,16 @@ def fingerprint_of(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, and fp: one row per document, fp the 64 bits as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint_of(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint_of(t.as_py(), words_per_shingle) for t in batch.column(len(keys))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*keys, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, fp bigint")
+    kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    return docs.select(*keys, "text").mapInArrow(scan, f"{kinds}fp bigint")
 
 
 def covering_masks(radius: int = 2, bits: int = 64) -> list[int]:
@@ -99,17 +99,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words_per_shingle: int
     )
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_pairs(spark: SparkSession, nodes: DataFrame, fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, v), u > v: pairs of nodes (node, doc_id, _h) that connect all whose fingerprints (doc_id, _h, fp) are equal or close."""
+    own = nodes.select("node", "doc_id", "_h").join(fps, ["doc_id", "_h"]).select("fp", "node").distinct()
+    own = materialise(spark, own, "fingerprint-nodes")
+    firsts = materialise(spark, own.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-firsts")
+    equal = own.join(firsts.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return equal.unionByName(close_links(firsts, radius)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of docs, one per group of near copies: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Texts whose sets of word shingles have a Jaccard index of `similarity` or more are near copies,
-    and so are those linked through others (ngram_join.set_classes); texts without words, null ones
+    and so are those linked through others. Candidates are the texts whose fingerprints differ in at most `radius` bits
+    (close_links); each pair's sets are compared. A pair of that index can differ in more bits: what the fingerprints left
+    in different classes meets by shingles (ngram_join.set_classes), so that no link is lost. Texts without words, null ones
     too, have the same empty set. Of rows with equal id and text one stays. Other columns keep their values
     whatever their names. No documents give no rows.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     marked = docs.select("doc_id", "text", F.struct(*rest, F.lit(0)).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    known = ngram_join.set_classes(spark, marked.filter("doc_id is not null").select("doc_id", "_h", "text"), words_per_shingle, round(100 * similarity))
+    named = marked.filter("doc_id is not null").select("doc_id", "_h", "text")
+    fps = materialise(spark, fingerprints(named, words_per_shingle, ("doc_id", "_h")), "fingerprints")
+    known = ngram_join.set_classes(spark, named, words_per_shingle, round(100 * similarity), lambda nodes: near_pairs(spark, nodes, fps, radius))
     kept = known.groupBy("component").agg(F.min(F.struct("doc_id", "_h")).alias("kept")).select("kept.doc_id", "kept._h")
     # one row by id and text: of repeated ids the text that was chosen stays
     one = marked.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])

@@ -72,3 +72,16 @@ def test_files_to_scan_are_dealt_out(spark):
     from graphweft.plans import reading
 
     assert reading._scoped(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_near_dedup_takes_its_candidates_from_fingerprints(spark, monkeypatch):
+    from graphweft.llm import simhash_dedup
+
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    long = words("x", 3000)
+    texts = [long, long + " more", long + " more again", words("y", 40), "last", words("y", 37) + " a b c", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    met, own = [], simhash_dedup.near_pairs
+    monkeypatch.setattr(simhash_dedup, "near_pairs", lambda *a: met.append(own(*a)) or met[-1])
+    assert {r.doc_id for r in simhash_dedup.keep_one(spark, docs).collect()} == {0, 3, 4, 6}
+    assert len(met) == 1 and met[0].count() >= 2  # the long ones; those of "y" differ in more bits
