@@ -85,3 +85,19 @@ def test_near_dedup_takes_its_candidates_from_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "near_pairs", lambda *a: met.append(own(*a)) or met[-1])
     assert {r.doc_id for r in simhash_dedup.keep_one(spark, docs).collect()} == {0, 3, 4, 6}
     assert len(met) == 1 and met[0].count() >= 2  # the long ones; those of "y" differ in more bits
+
+
+def test_edges_are_moved_as_numbers(spark, tmp_path):
+    from graphweft.sources import store, testgraph
+
+    sf_dir = "/root/testdata/sf0.001"
+    narrow = testgraph._edges(spark, sf_dir)
+    assert "string" not in dict(narrow.dtypes).values()
+    assert narrow.select("kind", "start", "end").distinct().count() == narrow.count()
+    store.save(spark.range(3).selectExpr("string(id) as id"), narrow, str(tmp_path / "g"), told=testgraph._told())
+    own = store.load(spark, str(tmp_path / "g"))
+    assert own.outgoing.columns == ["from_id", "to_id", "relation", "source_line", "confidence", "provenance"]
+    assert own.outgoing.exceptAll(own.incoming).isEmpty() and own.outgoing.count() == own.incoming.count() == narrow.count()
+    for frame, key in ((own.outgoing, "from_id"), (own.incoming, "to_id")):
+        for part in frame.select(key).rdd.glom().collect():
+            assert part == sorted(part)
