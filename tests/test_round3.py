@@ -101,3 +101,16 @@ def test_edges_are_moved_as_numbers(spark, tmp_path):
     for frame, key in ((own.outgoing, "from_id"), (own.incoming, "to_id")):
         for part in frame.select(key).rdd.glom().collect():
             assert part == sorted(part)
+
+
+def test_communities_are_the_same_by_names_and_in_longs_or_decimals(spark):
+    """Nodes go by numbers in the order of their names; weights that are large enough leave the longs and nothing else changes."""
+    from graphweft.operators import clusters
+
+    rows = [(f"n{i % 13}", f"n{i * 7 % 11}", 1 + i % 3) for i in range(40)]
+    frame = spark.createDataFrame(rows, "src string, dst string, w bigint")
+    names = {r.node: r.name for r in clusters._by_number(frame)[0].collect()}
+    assert [names[n] for n in sorted(names)] == sorted(names.values())
+    assert clusters._times({"m2": 10, "most": 5})[0] == "bigint" and clusters._times({"m2": 1 << 40, "most": 1 << 30})[0] == "decimal(18,0)"
+    few, many = (sorted(map(tuple, clusters.communities(f, 4).collect())) for f in (frame, frame.selectExpr("src", "dst", "w * 100000000 as w")))
+    assert few == many and {node for node, _ in few} == set(names.values())
