@@ -126,7 +126,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     """
     spark = docs.sparkSession
     pairs = materialise(spark, pairs.select("u", "v").distinct(), "candidates")
-    known = lambda node, name: nodes.select(F.col("node").alias(node), F.struct("n", "prefix").alias(name))
+    some = materialise(spark, pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "candidate-nodes")
+    met = nodes.join(F.broadcast(some) if some.count() <= MOST_BROADCAST else some, "node", "left_semi")  # without the prefixes that meet nothing
+    known = lambda node, name: met.select(F.col("node").alias(node), F.struct("n", "prefix").alias(name))
     rest = F.greatest(*(F.col(f"{x}.n") - F.size(f"{x}.prefix") for x in "ab"))
     able = pairs.join(known("u", "a"), "u").join(known("v", "b"), "v")
     able = able.filter(_enough(F.size(F.array_intersect("a.prefix", "b.prefix")) + rest, F.col("a.n"), F.col("b.n"), percent))
@@ -193,9 +195,10 @@ def set_classes(spark: SparkSession, docs: DataFrame, words: int, percent: int,
     groups = nodes.groupBy("grp").agg(F.min("node").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     groups = materialise(spark, groups, "prefix-groups")
     entries = groups.select("grp", "first", "n", F.posexplode("prefix").alias("at", "key")).select("key", F.struct("at", "n", "grp", "first").alias("x"))
-    leaders = entries.groupBy("key").agg(F.min("x").alias("lead"), F.count("*").alias("k")).filter("k > 1").select("key", "lead")
-    leaders = materialise(spark, leaders, "key-leaders")
-    entries = materialise(spark, entries.join(leaders.select("key"), "key", "left_semi"), "key-entries")
+    # most keys are of one group: they go by their number alone, before anything else of theirs is moved
+    shared = materialise(spark, entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "shared-keys")
+    entries = materialise(spark, entries.join(shared, "key", "left_semi"), "key-entries")
+    leaders = materialise(spark, entries.groupBy("key").agg(F.min("x").alias("lead")), "key-leaders")
     first = _led(nodes, groups, entries, leaders, percent)
     if candidates is not None:
         first = first.union(candidates(nodes))

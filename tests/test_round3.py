@@ -114,3 +114,21 @@ def test_communities_are_the_same_by_names_and_in_longs_or_decimals(spark):
     assert clusters._times({"m2": 10, "most": 5})[0] == "bigint" and clusters._times({"m2": 1 << 40, "most": 1 << 30})[0] == "decimal(18,0)"
     few, many = (sorted(map(tuple, clusters.communities(f, 4).collect())) for f in (frame, frame.selectExpr("src", "dst", "w * 100000000 as w")))
     assert few == many and {node for node, _ in few} == set(names.values())
+
+
+def test_keys_of_one_group_are_counted_by_their_number_alone(spark, tmp_path):
+    """Where no two texts share anything, the stage that counts the keys of all prefixes moves little more than these."""
+    import random
+
+    from graphweft.llm import ngram_join
+
+    draw = random.Random(3)
+    rows = [(i, i, " ".join(f"{draw.getrandbits(40):x}" for _ in range(500))) for i in range(60)]
+    store = spark._jsc.sc().statusStore()
+    listed = lambda: list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = {x.stageId() for x in listed()}
+    found = ngram_join.set_classes(spark, spark.createDataFrame(rows, "doc_id bigint, _h bigint, text string"), 5, 80)
+    assert found.filter("component = node").count() == 60
+    keys = 60 * (496 - 397 + 1)
+    moved = [x.shuffleWriteBytes() / keys for x in listed() if x.stageId() not in before and x.shuffleWriteRecords() == keys]
+    assert moved and max(moved) < 20
