@@ -21,17 +21,22 @@ def _path_sql(start: str, end: str, own: str, most: int) -> str:
     select d::int as hop, par.via.a as from_id, way.id as to_id, par.via.r as relation from way join par using (id) where d > 0"""
 
 
+def _or_none(spark, path):
+    """The path; no row where there is none."""
+    return spark.createDataFrame([], "hop int, from_id string, to_id string, relation string") if path is None else path
+
+
 _RANKS = " ".join(f"when '{r}' then {k}" for k, r in enumerate(_ROUTE, 1))
 
 
 @query(", " + _path_sql("R0", "P5", f"select from_id as a, to_id as b, relation, case relation {_RANKS} end as rank from edges where relation in {in_list(_ROUTE)}", 6))
 def t9_a14_v39_shortest_path(spark, d):
-    return paths.shortest_path(tg.edges(spark, d), "R0", "P5", _ROUTE, 6, tg.incoming(spark, d))
+    return _or_none(spark, paths.shortest_path(tg.edges(spark, d), "R0", "P5", _ROUTE, 6, tg.incoming(spark, d)))
 
 
 @query(", " + _path_sql("P1", "P2", "select from_id as a, to_id as b, relation, 1 as rank from edges where relation = 'REFERENCES' union all select to_id, from_id, relation, 1 from edges where relation = 'REFERENCES'", 6))
 def t11_undirected_path(spark, d):
-    return paths.shortest_path(paths.both_ways(tg.edges(spark, d)), "P1", "P2", ["REFERENCES"], 6)
+    return _or_none(spark, paths.shortest_path(paths.both_ways(tg.edges(spark, d)), "P1", "P2", ["REFERENCES"], 6))
 
 
 @query(
