@@ -14,19 +14,24 @@ def reach(edges: DataFrame, seeds: list[str] | DataFrame, relations: list[str] |
 
     A node is in one frontier only, the first that meets it: cycles end, and each edge is found once. A hop's
     edges are written to the shared folder once; the next frontier is read from there, and is broadcast only
-    if its size allows. The depth is held to 1 to 10.
+    if its size allows. Seeds in a list (a short one) are named in a filter that reaches the scan. The depth is held to 1 to 10.
     """
     depth = depth_of(depth)
     here, there = ("to_id", "from_id") if incoming else ("from_id", "to_id")
     own = edges.select("from_id", "to_id", "relation", *(["confidence", "provenance", "source_line"] if "confidence" in edges.columns else []))
     if relations is not None:
         own = own.filter(F.col("relation").isin(relations))
-    if not isinstance(seeds, DataFrame):
-        seeds = edges.sparkSession.createDataFrame([(s,) for s in seeds], "node string")
+    named = None if isinstance(seeds, DataFrame) else list(dict.fromkeys(seeds))
+    if named is not None:
+        seeds = edges.sparkSession.range(1).select(F.explode(F.lit(named).cast("array<string>")).alias("node"))
     frontier = seen = seeds.select("node").distinct()
     found = None
     for hop in range(1, depth + 1):
-        step = own.join(frontier, own[here] == frontier["node"], "left_semi").withColumn("depth", F.lit(hop))
+        if hop == 1 and named is not None:
+            step = own.filter(F.col(here).isin(named))
+        else:
+            step = own.join(frontier, own[here] == frontier["node"], "left_semi")
+        step = step.withColumn("depth", F.lit(hop))
         if hop < depth:
             step = cut(step)
             frontier = step.select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti")

@@ -33,3 +33,19 @@ def test_no_path_is_no_row(spark, stored):
         assert found.columns == ["hop", "from_id", "to_id", "relation"] and found.collect() == []
     folder = stored([("O1", "P1", "REFERENCES"), ("O1", "P2", "REFERENCES")])
     assert [tuple(r) for r in registry.QUERIES["t11_undirected_path"](spark, folder).collect()] == [(1, "P1", "O1", "REFERENCES"), (2, "O1", "P2", "REFERENCES")]
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_seeds_move_no_edges(spark, stored):
+    """Seeds in a list are a filter of the scan; as a table of unknown size they made each traversal shuffle all edges for its first hop."""
+    stored([("a", "b", "CALLS"), ("c", "b", "CALLS"), ("d", "c", "CALLS"), ("x", "y", "CALLS")])
+    edges = next(iter(g.outgoing for (app, folder), g in tg._stored.items() if folder == "a folder of no tables"))
+    first = traverse.reach(edges, ["b", "b"], ["CALLS"], 1)
+    assert "Exchange" not in _plan(first)
+    assert sorted(tuple(r) for r in first.select("from_id", "depth").collect()) == [("a", 1), ("c", 1)]
+    both = traverse.reach(edges, ["b", "y"], ["CALLS"], 2).select("from_id", "to_id", "depth")
+    assert sorted(map(tuple, both.collect())) == [("a", "b", 1), ("c", "b", 1), ("d", "c", 2), ("x", "y", 1)]
+    assert traverse.reach(edges, [], ["CALLS"], 2).count() == 0
