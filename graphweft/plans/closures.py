@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphweft.functions import scalars
-from graphweft.operators import algorithms, traverse
+from graphweft.operators import algorithms, lineage, traverse
 from graphweft.plans.base import query
 from graphweft.sources import testgraph as tg
 
@@ -17,8 +17,8 @@ from graphweft.sources import testgraph as tg
 def rolled_up_with_a_class(spark, d):
     e = tg.edges(spark, d)
     held = e.filter("from_id = 'N3' and relation = 'CONTAINS'").select(F.col("to_id").alias("id"))
-    targets = held.union(spark.createDataFrame([("N3",)], "id string")).distinct()
-    into = e.join(targets, F.col("to_id") == F.col("id"))
+    targets = lineage.cut(held.union(spark.range(1).select(F.lit("N3"))).distinct())  # its size is known then: edges are shuffled only if it is large
+    into = tg.incoming(spark, d).join(targets, F.col("to_id") == F.col("id"))
     return into.groupBy("from_id").agg(F.count("*").alias("fan_in"), F.max_by("source_line", F.struct("confidence", -F.col("source_line"))).alias("line"))
 
 

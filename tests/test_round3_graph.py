@@ -49,3 +49,22 @@ def test_named_seeds_move_no_edges(spark, stored):
     both = traverse.reach(edges, ["b", "y"], ["CALLS"], 2).select("from_id", "to_id", "depth")
     assert sorted(map(tuple, both.collect())) == [("a", "b", 1), ("c", "b", 1), ("d", "c", 2), ("x", "y", 1)]
     assert traverse.reach(edges, [], ["CALLS"], 2).count() == 0
+
+
+@pytest.fixture
+def moved(spark):
+    """Small limits for broadcasts, and how many rows were shuffled since."""
+    view = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    listed = lambda: list(view.asJava(spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before, usual = {x.stageId() for x in listed()}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+    yield lambda: sum(x.shuffleWriteRecords() for x in listed() if x.stageId() not in before)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_targets_of_a_roll_up_dont_move_the_edges(spark, stored, moved):
+    """Few targets are sent to the edges, which stay where they are."""
+    folder = stored([(f"N{3 if k < 20 else 4}", f"C{k}", "CONTAINS") for k in range(2000)] + [(f"O{k}", f"C{k}", "CALLS") for k in range(2000)] + [("R0", "N3", "CONTAINS")])
+    found = sorted(map(tuple, registry.QUERIES["rolled_up_with_a_class"](spark, folder).collect()))
+    assert found == sorted([("N3", 20, 1), ("R0", 1, 1)] + [(f"O{k}", 1, 1) for k in range(20)])
+    assert moved() < 500
