@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphweft import model
 from graphweft.operators import relational as rel
-from graphweft.operators import traverse
+from graphweft.operators import lineage, traverse
 from graphweft.plans.base import in_list, query
 from graphweft.sources import testgraph as tg
 
@@ -60,15 +60,16 @@ def v27_module_tree(spark, d):
     union all select 'in', relation, a.file_path, count(*) from edges join nodes a on from_id = a.id join nodes b on to_id = b.id where b.file_path = 'orders/f1.py' and b.file_path <> a.file_path group by all"""
 )
 def v28_file_digest(spark, d):
-    n, e = tg.nodes(spark, d).select("id", "file_path"), tg.edges(spark, d)
-    own = n.filter("file_path = 'orders/f1.py'").select(F.col("id").alias("own_id"))
+    n = tg.nodes(spark, d).select("id", "file_path")
+    own = lineage.cut(n.filter("file_path = 'orders/f1.py'").select(F.col("id").alias("own_id")))  # its size is known then
     others = n.filter("file_path <> 'orders/f1.py'").select(F.col("id").alias("other_id"), F.col("file_path").alias("other"))
 
-    def side(direction: str, here: str, there: str):
-        met = e.join(own, F.col(here) == F.col("own_id")).join(others, F.col(there) == F.col("other_id"))
-        return met.groupBy(F.lit(direction).alias("direction"), "relation", "other").agg(F.count("*").alias("n"))
+    def side(direction: str, edges, here: str, there: str):
+        met = edges.join(own, F.col(here) == F.col("own_id"), "left_semi")
+        return met.groupBy(F.lit(direction).alias("direction"), "relation", F.col(there).alias("other_id")).agg(F.count("*").alias("n"))
 
-    return side("out", "from_id", "to_id").unionByName(side("in", "to_id", "from_id"))
+    met = lineage.cut(side("out", tg.edges(spark, d), "from_id", "to_id").unionByName(side("in", tg.incoming(spark, d), "to_id", "from_id")))
+    return met.join(others, "other_id").groupBy("direction", "relation", "other").agg(F.sum("n").alias("n"))
 
 
 @query(

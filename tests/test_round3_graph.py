@@ -68,3 +68,12 @@ def test_targets_of_a_roll_up_dont_move_the_edges(spark, stored, moved):
     found = sorted(map(tuple, registry.QUERIES["rolled_up_with_a_class"](spark, folder).collect()))
     assert found == sorted([("N3", 20, 1), ("R0", 1, 1)] + [(f"O{k}", 1, 1) for k in range(20)])
     assert moved() < 500
+
+
+def test_a_digest_moves_only_the_edges_of_its_file(spark, stored, moved):
+    """The file's nodes are few and are sent to the edges, however many nodes there are."""
+    edges = [(f"C{k % 50}", f"O{k}", "CALLS") for k in range(4000)] + [(f"O{k}", f"P{k % 70}", "REFERENCES") for k in range(4000)]
+    files = [(f"O{k}", f"orders/f{1 if k < 20 else 2 + k % 90}.py") for k in range(4000)] + [(f"C{k}", f"ASIA/{k % 2}") for k in range(50)] + [(f"P{k}", "") for k in range(70)]
+    found = sorted(map(tuple, registry.QUERIES["v28_file_digest"](spark, stored(edges, files)).collect()))
+    assert found == [("in", "CALLS", "ASIA/0", 10), ("in", "CALLS", "ASIA/1", 10), ("out", "REFERENCES", "", 20)]
+    assert moved() < 6000  # nodes may move once; 8,000 edges moved twice
