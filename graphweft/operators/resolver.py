@@ -118,8 +118,30 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None)
     with the only node there is, else the only one of the same file, else of the same folder. Nodes of the
     reference's own language family go first; for most relations others don't count. A common name resolves
     within its file only. The answer is ambiguous if several nodes had the key.
+    What a reference asks is asked once, however many ask it (see `_questions`).
     """
-    return resolve_by_keys(refs, node_keys(nodes), None if imports is None else imported(refs.filter(~F.col("target").isin(COMMON_NAMES)), nodes, imports))
+    asked = _questions(refs)
+    return _told(refs, _resolved(asked, nodes, imports))
+
+
+#: What the answer to a reference depends on.
+QUESTION = ["source_file", "relation", "target", "extractor"]
+
+
+def _questions(refs: DataFrame) -> DataFrame:
+    """The different questions that refs ask, with numbers as ref_id: a name that a million references of a file call is one row. Written, so that the numbers stay."""
+    return cut(refs.select(QUESTION).distinct().withColumn("ref_id", F.monotonically_increasing_id()))
+
+
+def _resolved(asked: DataFrame, nodes: DataFrame, imports: DataFrame | None) -> DataFrame:
+    return resolve_by_keys(asked, node_keys(nodes), None if imports is None else imported(asked.filter(~F.col("target").isin(COMMON_NAMES)), nodes, imports))
+
+
+def _told(refs: DataFrame, answers: DataFrame) -> DataFrame:
+    """refs with what answers (QUESTION, rule, to_id, provenance) say; these are written first, and sent to refs if they are few."""
+    known = cut(answers.filter("to_id is not null").select(*[F.col(c).alias(f"_{c}") for c in QUESTION], "rule", "to_id", "provenance"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in QUESTION]
+    return refs.join(known, same, "left").select(*refs.columns, "rule", "to_id", "provenance")
 
 
 def resolve_by_keys(refs: DataFrame, keys: DataFrame, proven: DataFrame | None = None) -> DataFrame:
@@ -176,12 +198,13 @@ def resolve_with_bases(refs: DataFrame, nodes: DataFrame, contains: DataFrame, i
     Bases are what the refs themselves say: those of EXTENDS and IMPLEMENTS are resolved with the others, before
     the first member is looked for. No base is found through a member, so that one pass of each is all.
     """
-    first = cut(resolve(refs, nodes, imports))
-    bases = first.filter(F.col("relation").isin(BASES) & F.col("to_id").isNotNull())
-    more = inherited(first.filter("to_id is null").select(refs.columns), nodes, contains, bases).withColumnRenamed("to_id", "found")
-    all_ = first.join(more, "ref_id", "left")
+    asked = _questions(refs)
+    first = cut(_resolved(asked, nodes, imports))
+    bases = _told(refs.filter(F.col("relation").isin(BASES)), first.filter(F.col("relation").isin(BASES))).filter("to_id is not null")
+    more = inherited(first.filter("to_id is null").select("ref_id", *QUESTION), nodes, contains, bases).withColumnRenamed("to_id", "found")
     late = F.col("found").isNotNull()
-    return all_.select(*refs.columns, F.when(late, 5).otherwise(F.col("rule")).alias("rule"), F.coalesce("to_id", "found").alias("to_id"), F.when(late, "INFERRED").otherwise(F.col("provenance")).alias("provenance"))
+    rule, provenance = (F.when(late, F.lit(new)).otherwise(F.col(c)).alias(c) for c, new in (("rule", 5), ("provenance", "INFERRED")))
+    return _told(refs, first.join(more, "ref_id", "left").select(*QUESTION, rule, F.coalesce("to_id", "found").alias("to_id"), provenance))
 
 
 def externals(unresolved: DataFrame) -> DataFrame:

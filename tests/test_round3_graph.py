@@ -77,3 +77,34 @@ def test_a_digest_moves_only_the_edges_of_its_file(spark, stored, moved):
     found = sorted(map(tuple, registry.QUERIES["v28_file_digest"](spark, stored(edges, files)).collect()))
     assert found == [("in", "CALLS", "ASIA/0", 10), ("in", "CALLS", "ASIA/1", 10), ("out", "REFERENCES", "", 20)]
     assert moved() < 6000  # nodes may move once; 8,000 edges moved twice
+
+
+_REF = "ref_id string, from_id string, source_file string, relation string, target string, extractor string"
+
+
+def _names(spark):
+    nodes = [("K1", "Class", "Base", "pkg.Base", "a.py", "python"), ("K2", "Class", "Own", "pkg.Own", "a.py", "python"), ("K1.save", "Method", "save", "", "a.py", "python")]
+    return spark.createDataFrame(nodes, "id string, type string, label string, qname string, file_path string, language string"), spark.createDataFrame([("K1", "K1.save")], "from_id string, to_id string")
+
+
+def test_equal_references_are_resolved_once(spark, moved):
+    """3,000 references that ask three questions: questions are resolved, and references get the answers without being moved."""
+    from graphweft.operators import resolver
+
+    nodes, _ = _names(spark)
+    kinds = [("a.py", "CALLS", "pkg.Base", "python"), (None, "CALLS", "Own", None), ("b.py", "CALLS", "nowhere", "python")]
+    refs = spark.createDataFrame([(f"r{k}", f"O{k}", *kinds[k % 3]) for k in range(3000)], _REF)
+    found = {tuple(r) for r in resolver.resolve(refs, nodes).select("ref_id", "to_id", "rule").collect()}
+    assert found == {(f"r{k}", *[("K1", 0), ("K2", 4), (None, None)][k % 3]) for k in range(3000)}
+    assert moved() < 1000
+
+
+def test_equal_calls_climb_to_bases_once(spark, moved):
+    """3,000 calls of one inherited member: the levels of bases are climbed by the question."""
+    from graphweft.operators import resolver
+
+    nodes, contains = _names(spark)
+    refs = [("e", "K2", "a.py", "EXTENDS", "Base", "python")] + [(f"r{k}", f"O{k}", "b.py", "CALLS", "Own.save", "python") for k in range(3000)]
+    found = {tuple(r) for r in resolver.resolve_with_bases(spark.createDataFrame(refs, _REF), nodes, contains).select("ref_id", "to_id", "rule").collect()}
+    assert found == {("e", "K1", 4)} | {(f"r{k}", "K1.save", 5) for k in range(3000)}
+    assert moved() < 1000
