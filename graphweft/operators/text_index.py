@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from graphweft.operators.lineage import cut
 from graphweft.operators.relational import top_per_group
 from graphweft.operators.search import MOST_TOKENS, query_tokens
 
+BLOCK = 8_000_000  # bytes of texts whose postings a task holds at once; a longer text is a block of its own
 _AFTER = "{"  # the character behind z: tokens hold digits and small letters only
 
 
@@ -28,24 +33,56 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of about BLOCK bytes of texts (key, text): the keys that hold it, how often, and their lengths.
+
+    Under the empty term stand all keys.
+    """
+    letter = np.zeros(256, bool)
+    letter[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        block = np.maximum(np.cumsum(sizes) - 1, 0) // BLOCK
+        for at, end in zip(starts := np.flatnonzero(np.r_[True, np.diff(block) > 0]), np.r_[starts[1:], len(block)]):
+            keys, rows = batch.column(0).slice(at, end - at), int(end - at)
+            texts = [t.lower().encode() for t in batch.column(1).slice(at, rows).to_pylist()]
+            data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+            own = letter[data]
+            edges = np.flatnonzero(np.diff(np.r_[False, own]))
+            first, last = edges[::2], edges[1::2]
+            doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, "right")
+            offsets = np.r_[0, np.cumsum(last - first)].astype(np.int32)
+            words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[own].tobytes())).dictionary_encode()
+            met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * rows + doc, return_counts=True)
+            term, doc = np.r_[met // rows, np.full(rows, len(words.dictionary))], np.r_[met % rows, np.arange(rows)]
+            n = np.bincount(met % rows, tf, rows).astype(np.int32)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(term, minlength=len(words.dictionary) + 1))], pa.int32())
+            columns = (keys.take(pa.array(doc)), pa.array(np.r_[tf, np.zeros(rows)], pa.int32()), pa.array(n[doc]))
+            names = pa.concat_arrays([words.dictionary, pa.array([""])])
+            yield pa.RecordBatch.from_arrays([names, *(pa.ListArray.from_arrays(ends, c) for c in columns)], ["term", "key", "tf", "n"])
+
+
 def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     """Write the index of the texts under path. Keys are unique; texts without tokens count in the totals only.
 
-    A text's tokens are counted before the shuffle. Postings are ordered by term and key, so that a
-    frequent term spreads over ranges.
+    A task turns its texts into blocks of postings, a row a term, and blocks are shuffled once. They are ordered by
+    term and first key, so that a frequent term spreads over ranges.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).alias("key"), tokens_of(F.col(text)).alias("tokens")).select("key", "tokens", F.size("tokens").alias("n"))
-    own.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.parquet(f"{path}/totals")
-    counted = own.select("key", "n", F.explode("tokens").alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
-    ordered = counted.select("term", "key", "tf", "n").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = own.schema["key"].dataType.simpleString()
+    blocks = cut(own.mapInArrow(_in_blocks, f"term string, key array<{kind}>, tf array<int>, n array<int>"))
+    lengths = blocks.filter("term = ''").select(F.explode("n").alias("n"))
+    lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.parquet(f"{path}/totals")
+    ordered = blocks.filter("term <> ''").repartitionByRange("term", F.col("key")[0]).sortWithinPartitions("term", F.col("key")[0])
     ordered.write.parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("key")).alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+    blocks, terms, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals"))
+    return TextIndex(blocks.select("term", F.inline(F.arrays_zip("key", "tf", "n"))), terms, totals)
 
 
 def _within(prefix: str) -> Column:

@@ -42,6 +42,17 @@ def test_many_searches_equal_single_ones(spark, texts):
         assert own == [tuple(r) for r in search.full_text(docs, "id", "text", query or "", 7).collect()], query
 
 
+def test_postings_are_dealt_out_in_blocks(spark, monkeypatch):
+    rows = [(f"d{k}", f"The word{k % 3} \u212aelvin \u0130stanbul caf\u00e9") for k in range(300)]
+    path = lineage.scratch_path(spark, "text-index-test")
+    docs = spark.createDataFrame(rows, _SCHEMA).coalesce(1)
+    text_index.build(docs, "id", "text", path)
+    assert spark.read.parquet(f"{path}/postings").count() < 30  # 2,100 with a row a posting
+    index = text_index.load(spark, path)
+    for query in ("kelvin i", "caf stanbul", "word1 the"):
+        assert [tuple(r) for r in text_index.search(index, query, 400).collect()] == [tuple(r) for r in search.full_text(docs, "id", "text", query, 400).collect()]
+
+
 def test_an_index_of_nothing_finds_nothing(spark):
     for rows in ([], [("a", None), ("b", "")]):
         _, index = index_of(spark, rows)
