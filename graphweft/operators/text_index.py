@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft.operators.lineage import cut
@@ -16,6 +17,7 @@ from graphweft.operators.relational import top_per_group
 from graphweft.operators.search import MOST_TOKENS, query_tokens
 
 BLOCK = 8_000_000  # bytes of texts whose postings a task holds at once; a longer text is a block of its own
+FIRST, STEPS = 256, 512  # how many texts of a list a query looks at first; the steps that weights are told apart by, up to 2.2
 _AFTER = "{"  # the character behind z: tokens hold digits and small letters only
 
 
@@ -122,22 +124,62 @@ def search(index: TextIndex, query: str, limit: int) -> DataFrame:
 def search_many(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, key, score, rn): the best texts for each of many queries (query_id, query), each as in `search`.
 
-    Prefixes find their terms by an equality join: a term stands under its beginnings of the lengths asked for. A
-    prefix is scored once for all queries that hold it, and queries of the same prefixes are answered once. A query
-    without tokens, or without a hit, has no row.
+    Queries of the same prefixes are answered once. What a text holds of the prefixes asked for is gathered into a row.
+    Each prefix lists its texts by weight, BM25 without the idf. A query looks into the first `FIRST` of each of its
+    lists, and scores what it meets there in full. It ends when its last hit beats the sum of the weights where its
+    lists were left, which no other text can reach, or when one of its lists is read to its end; the others look eight times as
+    deep, so that the rounds are the logarithm of the texts. A query without tokens, or without a hit, has no row.
     """
     first = F.array_sort(F.slice(tokens_of(F.col("query")), 1, MOST_TOKENS))
-    own = queries.select("query_id", first.alias("prefixes")).filter(F.size("prefixes") > 0)
-    asked = own.select("prefixes").distinct().select("prefixes", F.explode("prefixes").alias("prefix"))
-    prefixes = asked.select("prefix").distinct()
+    own = cut(queries.select("query_id", first.alias("prefixes")).filter(F.size("prefixes") > 0))
+    sets = cut(own.select("prefixes").distinct().withColumn("set", F.monotonically_increasing_id()))
+    prefixes = sets.select(F.explode("prefixes").alias("prefix")).distinct()
+    held = _held(index, prefixes)
+    frequency = held.select(F.explode("held.prefix").alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    frequency = frequency.crossJoin(F.broadcast(index.totals)).select("prefix", idf.alias("idf"))
+    parts = sets.select("set", F.size("prefixes").alias("size"), F.explode("prefixes").alias("prefix")).join(frequency, "prefix")
+    parts = parts.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("prefix", "idf"))).alias("parts"))
+    left = cut(parts.filter(F.size("parts") == F.col("size")).select("set", "parts"))
+    # of texts that hold the same, only the first keys can be among the best
+    kept = top_per_group(held, ["n", "held"], ["key"], limit).crossJoin(F.broadcast(index.totals.select("mean")))
+    texts = cut(kept.select("key", "n", "mean", F.map_from_entries("held").alias("held")))
+    each = texts.select("key", "n", "mean", F.explode("held").alias("prefix", "tf"))
+    each = each.select("prefix", "key", F.floor(_weight(F.lit(1.0), F.col("tf")) * STEPS).cast("int").alias("step"))
+    steps = each.groupBy("prefix", "step").agg(F.count("*").alias("n"))  # 2.2 * STEPS rows a prefix at most
+    down = W.partitionBy("prefix").orderBy(F.desc("step"))
+    steps = cut(steps.withColumn("seen", F.sum("n").over(down)).withColumn("last", F.min("step").over(W.partitionBy("prefix"))))
+    kind = index.postings.schema["key"].dataType.simpleString()
+    found, depth = own.sparkSession.createDataFrame([], f"set bigint, key {kind}, score double, rn int"), FIRST
+    while not left.isEmpty():
+        read = steps.filter((F.col("seen") >= depth) | (F.col("step") == F.col("last")))
+        read = read.groupBy("prefix").agg(F.max("step").alias("least"), (F.max("step") == F.first("last")).alias("whole"))
+        asked = left.select("set", F.explode("parts").alias("part")).select("set", "part.prefix", "part.idf")
+        bounds = cut(asked.join(read, "prefix").groupBy("set").agg(F.sum(F.col("idf") * F.col("least") / STEPS).alias("bound"), F.bool_or("whole").alias("whole")))
+        lists = each.join(read.join(asked, "prefix", "left_semi"), "prefix").filter("step >= least").select("prefix", "key")
+        met = lists.join(asked.select("prefix", "set").distinct(), "prefix").select("key", "set").distinct()
+        scored = met.join(texts, "key").join(left, "set").select("set", "key", F.round(_score(), 6).alias("score")).filter("score is not null")
+        best = cut(top_per_group(scored, "set", [F.desc("score"), "key"], limit))
+        worst = best.groupBy("set").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+        done = bounds.join(worst, "set", "left").filter((F.col("n") >= limit) & (F.col("worst") > F.col("bound") + 1e-6) | F.col("whole"))  # 1e-6: scores are rounded
+        found = found.unionByName(best.join(done, "set", "left_semi"))
+        left, depth = cut(left.join(done, "set", "left_anti")), depth * 8
+    return own.join(sets, "prefixes").join(found, "set").select("query_id", "key", "score", "rn")
+
+
+def _held(index: TextIndex, prefixes: DataFrame) -> DataFrame:
+    """(key, n, held): how often a text holds words of each prefix asked for, by prefix."""
     lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row of as many numbers as lengths of tokens
-    started = index.terms.crossJoin(F.broadcast(lengths)).select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("size"))
-    terms = started.select("term", F.expr("left(term, size)").alias("prefix")).join(prefixes, "prefix")
-    counts = cut(index.postings.join(terms, "term").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"), F.max("n").alias("n")))
-    frequency = counts.groupBy("prefix").agg(F.count("*").alias("df"))
-    scored = counts.join(frequency, "prefix").crossJoin(F.broadcast(index.totals))
-    scored = scored.select("prefix", "key", _bm25(F.col("tf"), F.col("n"), F.col("df")).alias("part"))
-    met = asked.join(scored, "prefix").groupBy("prefixes", "key").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
-    hits = met.filter(F.col("found") == F.size("prefixes")).select("prefixes", "key", F.round("score", 6).alias("score"))
-    best = top_per_group(hits, "prefixes", [F.desc("score"), "key"], limit)
-    return own.join(best, "prefixes").select("query_id", "key", "score", "rn")
+    started = index.postings.crossJoin(F.broadcast(lengths)).select("term", "key", "tf", "n", F.explode(F.filter("lengths", lambda k: k <= F.length("term"))).alias("size"))
+    met = started.select("key", "n", "tf", F.expr("left(term, size)").alias("prefix")).join(prefixes, "prefix")
+    counted = met.repartition("key").groupBy("key", "n", "prefix").agg(F.sum("tf").cast("int").alias("tf"))
+    return cut(counted.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("prefix", "tf"))).alias("held")))
+
+
+def _weight(idf: Column, tf: Column) -> Column:
+    return idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
+
+
+def _score() -> Column:
+    """BM25 of the text's `held` by the query's `parts`; null unless it holds all of them."""
+    return F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + _weight(p["idf"], F.col("held")[p["prefix"]]))

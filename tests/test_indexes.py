@@ -42,6 +42,34 @@ def test_many_searches_equal_single_ones(spark, texts):
         assert own == [tuple(r) for r in search.full_text(docs, "id", "text", query or "", 7).collect()], query
 
 
+def test_many_searches_are_exact_however_little_they_look_at_first(spark, texts, monkeypatch):
+    monkeypatch.setattr(text_index, "FIRST", 1)
+    docs, index = texts
+    asked = ["th", "the zz", "zzz the r", "the the", "re z th a", "zz th"]
+    for limit in (1, 5):
+        many = text_index.search_many(index, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), limit).orderBy("query_id", "rn").collect()
+        for k, query in enumerate(asked):
+            assert [(r["key"], r["score"]) for r in many if r["query_id"] == k] == [tuple(r) for r in search.full_text(docs, "id", "text", query, limit).collect()], query
+
+
+def test_many_searches_score_a_part_of_the_texts_that_hold_their_words(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"d{k:04}", " ".join(["aa"] * rng.randint(1, 9) + ["bb"] * rng.randint(1, 9) + ["x"] * rng.randint(1, 40))) for k in range(3000)]
+    rows += [(f"same{k:04}", "aa bb bb") for k in range(500)]
+    docs, index = index_of(spark, rows)
+    scored, best = [], text_index.top_per_group
+
+    def counted(frame, group, order, k):
+        if "score" in frame.columns:
+            scored.append(frame.count())
+        return best(frame, group, order, k)
+
+    monkeypatch.setattr(text_index, "top_per_group", counted)
+    found = text_index.search_many(index, spark.createDataFrame([(1, "aa bb")], "query_id int, query string"), 5).orderBy("rn").collect()
+    assert [(r["key"], r["score"]) for r in found] == [tuple(r) for r in search.full_text(docs, "id", "text", "aa bb", 5).collect()]
+    assert sum(scored) < 2000
+
+
 def test_postings_are_dealt_out_in_blocks(spark, monkeypatch):
     rows = [(f"d{k}", f"The word{k % 3} \u212aelvin \u0130stanbul caf\u00e9") for k in range(300)]
     path = lineage.scratch_path(spark, "text-index-test")
