@@ -18,7 +18,7 @@ from graphweft.operators.relational import top_per_group
 
 MOST_FITTED = 200_000  # rows that the cells are fitted on, by a hash of the id; all rows are dealt into them
 MOST_CELLS = 4096
-MEMBERS, ASKED = 8192, 512  # rows and queries of a block: what one task holds of a cell, however full
+MEMBERS, ASKED, AT_ONCE = 8192, 4096, 64  # rows and queries of a block: what one task holds of a cell, however full; AT_ONCE queries are compared at a time
 _SLACK = 1e-5  # covers the rounding of similarities to six digits
 _FAR = 2.0  # squared distance of unit vectors at a right angle: similarity 0
 
@@ -55,7 +55,8 @@ def build(vectors: DataFrame, key: str, column: str, dim: int, cells: int | None
     """The index of the rows, written to the shared folder; None if no row can be near another.
 
     Cells are centers of k-means (by rows: by blocks it fails on fewer different rows than centers), by default the
-    square root of the rows. Each cell keeps the distance of its
+    square root of the rows. They start from random rows: choosing them by k-means|| ends in clustering candidates on the driver, which grows with the
+    square of the cells. Each cell keeps the distance of its
     farthest member. A cell's rows lie in blocks of about MEMBERS, so that a cell with a third of all rows is many tasks.
     """
     own = cut(units(vectors, key, column, dim))
@@ -65,7 +66,7 @@ def build(vectors: DataFrame, key: str, column: str, dim: int, cells: int | None
     share = min(1.0, MOST_FITTED / rows)
     sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else own
     k = min(cells or int(rows**0.5) + 1, MOST_CELLS)
-    model = KMeans(k=k, seed=seed, maxIter=8, featuresCol="features", solver="row").fit(sample.select(array_to_vector("unit").alias("features"))) if k > 1 else None
+    model = KMeans(k=k, seed=seed, maxIter=8, featuresCol="features", solver="row", initMode="random").fit(sample.select(array_to_vector("unit").alias("features"))) if k > 1 else None
     centers = np.array(model.clusterCenters()) if model else np.zeros((1, dim))
     placed = cut(own.withColumn("at", _nearest_cell(centers)("unit")).select("id", "unit", "at.cell", "at.off"))
     sizes = placed.groupBy("cell").agg(F.max("off").alias("radius"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
@@ -91,7 +92,7 @@ def _probes(index: VectorIndex, done: int, width: int):
                 order = np.lexsort((np.broadcast_to(away, least.shape), least), axis=1)[:, done : done + width]
                 bound = np.sqrt(some["far"].to_numpy(float))[:, None] + 1e-7
                 row, place = np.nonzero(np.take_along_axis(least, order, 1) <= bound)
-                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "cell": order[row, place].astype("int32")})
+                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "cell": order[row, place].astype("int32"), "far": some["far"].to_numpy(float)[row]})
 
     return probe
 
@@ -100,16 +101,24 @@ def _best_of(k: int):
     def best(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or members.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        near = np.array(asked["unit"].tolist(), dtype=float) @ np.array(members["unit"].tolist(), dtype=float).T
-        near = np.round(near, 6)
-        ids = members["id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        near, ids = near[:, by_id], ids[by_id]
+        members = members.sort_values("id", kind="stable")
+        ids, rows = members["id"].to_numpy(), np.array(members["unit"].tolist(), dtype=float)
         out = []
-        for row, query in zip(near, asked["query_id"]):
-            order = np.argsort(-row, kind="stable")  # ties by id
-            first = order[(row[order] > 0) & (ids[order] != query)][:k]
-            out.append(pd.DataFrame({"query_id": query, "id": ids[first], "similarity": row[first]}))
+        for at in range(0, len(asked), AT_ONCE):
+            some = asked.iloc[at : at + AT_ONCE]
+            near, queries = np.array(some["unit"].tolist(), dtype=float) @ rows.T, some["query_id"].to_numpy()
+            least = 1 - some["far"].to_numpy(float) / 2
+            many = (near >= least[:, None]).sum(1) > 4 * k
+            if many.any() and len(ids) > k + 1:  # itself and k others, and what is rounded to the last one's similarity
+                least[many] = np.maximum(least[many], np.partition(near[many], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] - _SLACK)
+            row, place = np.nonzero(near >= least[:, None])
+            similarity = np.round(near[row, place], 6)
+            other = (similarity > 0) & (ids[place] != queries[row])
+            row, place, similarity = row[other], place[other], similarity[other]
+            order = np.lexsort((place, -similarity, row))  # ties by id
+            row, place, similarity = row[order], place[order], similarity[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query_id": queries[row[first]], "id": ids[place[first]], "similarity": similarity[first]}))
         return pd.concat(out)
 
     return best
@@ -132,13 +141,13 @@ def nearest_many(index: VectorIndex, queries: DataFrame, k: int, first: int = 4)
         kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("least")).filter(F.col("n") >= k)
         far = F.coalesce(2 - 2 * (F.col("least") - _SLACK), F.lit(_FAR))
         limits = own.join(kth, "query_id", "left").select("query_id", "unit", far.alias("far"))
-        pairs = cut(limits.mapInPandas(_probes(index, done, width), f"query_id {kind}, cell int"))
+        pairs = cut(limits.mapInPandas(_probes(index, done, width), f"query_id {kind}, cell int, far double"))
         if pairs.isEmpty():
             break
         lanes = pairs.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("lanes"))  # a row a cell
         sizes = lanes.join(index.blocks, "cell")
         asked = pairs.join(F.broadcast(sizes), "cell").join(spread, "query_id").withColumn("lane", F.pmod("lane", "lanes").cast("int"))
-        asked = asked.select("cell", "lane", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "unit")
+        asked = asked.select("cell", "lane", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "unit", "far")
         rows = index.members.join(F.broadcast(sizes.select("cell", "lanes")), "cell")
         rows = rows.select("cell", "block", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "id", "unit")
         keys = ["cell", "lane", "block"]

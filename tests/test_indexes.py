@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,20 @@ def test_nearest_of_many_are_exact_whatever_the_cells(spark, monkeypatch):
         assert found_by(spark, list(vectors.items()) + broken, queries, 6, cells=cells) == brute(vectors, valid, 6)
 
 
+def test_a_block_gives_only_what_may_be_among_the_best(monkeypatch):
+    monkeypatch.setattr(vector_index, "AT_ONCE", 2)
+    rng = random.Random(9)
+    unit = lambda: [x / 3 for x in rng.choice([(1, 2, 2), (2, 1, 2), (2, 2, 1), (-1, 2, 2), (1, -2, 2)])]
+    members = pd.DataFrame({"id": range(60), "unit": [unit() for _ in range(60)]}).sample(frac=1, random_state=1)
+    asked = pd.DataFrame({"query_id": range(5), "unit": [unit() for _ in range(5)], "far": 2.0})
+    found = vector_index._best_of(4)(asked, members)
+    for q, own in zip(asked["query_id"], asked["unit"]):
+        near = sorted((-round(sum(a * b for a, b in zip(own, u)), 6), i) for i, u in zip(members["id"], members["unit"]) if i != q)
+        assert [tuple(r) for r in found[found.query_id == q][["id", "similarity"]].values] == [(i, -s) for s, i in near[:4] if s < 0]
+    asked["far"] = -0.1  # nearer rows than any are known already
+    assert len(vector_index._best_of(4)(asked, members)) == 0
+
+
 def test_vectors_with_nobody_near(spark):
     assert found_by(spark, [(1, None), (2, [0.0, 0.0, 0.0])], [1], 3) is None
     assert found_by(spark, [(1, [1.0, 0.0, 0.0])], [1], 3) == set()
