@@ -316,7 +316,7 @@ def g23_layer_span(spark, d):
 def g27_feature_io(spark, d):
     n = tg.nodes(spark, d).filter("file_path <> ''").select("id", "file_path")
     a, b = (n.select(F.col("id").alias(f"{k}_id"), F.col("file_path").alias(f"{k}_file")) for k in ("from", "to"))
-    crossing = tg.edges(spark, d).filter("relation = 'CALLS'").join(a, "from_id").join(b, "to_id").select("from_file", "to_file").distinct()
+    crossing = tg.calls(spark, d).join(a, "from_id").join(b, "to_id").select("from_file", "to_file").distinct()
     return overlays.feature_io(crossing, overlays.membership(_file_table(spark, d), _features(spark, d)))
 
 

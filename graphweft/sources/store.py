@@ -7,6 +7,7 @@ source for outgoing ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ class Graph:
 _TABLES = {"nodes": "id", "incoming": "to_id", "outgoing": "from_id"}
 
 
-def save(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists", told: dict[str, Column] | None = None) -> None:
-    """Write the graph's tables under path, side by side: each by itself leaves executors idle at its end.
+def save(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists", told: dict[str, Column] | None = None, names: Sequence[str] = tuple(_TABLES)) -> None:
+    """Write the graph's tables, or those named, under path, side by side: each by itself leaves executors idle at its end.
 
     `told` gives the columns of an edge by those of `edges`, if these hold numbers and codes in place of ids and names: only numbers are moved then, and sorted with the key alone.
     """
@@ -36,7 +37,7 @@ def save(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexis
         dealt.select(*[(F.col("_key") if c == key else column).alias(c) for c, column in whole.items()]).write.mode(mode).parquet(f"{path}/{name}")
 
     with ThreadPoolExecutor(len(_TABLES)) as pool:
-        done = [pool.submit(write, name, key, frame) for (name, key), frame in zip(_TABLES.items(), (nodes, edges, edges))]
+        done = [pool.submit(write, name, _TABLES[name], nodes if name == "nodes" else edges) for name in names]
         for one in done:
             one.result()
 
