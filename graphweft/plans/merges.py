@@ -18,7 +18,7 @@ from graphweft.sources import testgraph as tg
     (select from_id, to_id, relation, provenance, 0 as seq from edges where relation = 'CALLS' union all select * from incoming) group by 1, 2, 3"""
 )
 def m2_insert_or_promote(spark, d):
-    old = tg.edges(spark, d).filter("relation = 'CALLS'")
+    old = tg.calls(spark, d)
     verified = F.when(F.col("source_line") % 2 == 0, model.VERIFIED).otherwise("INFERRED")
     keys = ["from_id", "to_id", "relation"]
     return merge.insert_or_promote(old.select(*keys, "provenance"), old.select(*keys, verified.alias("provenance")), keys)
@@ -26,14 +26,14 @@ def m2_insert_or_promote(spark, d):
 
 @query("select from_id, to_id, 'LSP_VERIFIED' as provenance, case when provenance = 'LSP_VERIFIED' then null else provenance end as was from edges where relation = 'CALLS' and confidence < 1")
 def m3_promotion_with_stash(spark, d):
-    own = tg.edges(spark, d).filter("relation = 'CALLS' and confidence < 1").select("from_id", "to_id", "provenance")
+    own = tg.calls(spark, d).filter("confidence < 1").select("from_id", "to_id", "provenance")
     once = merge.promote(own)
     return merge.promote(once)  # a second promotion keeps the first origin
 
 
 @query("select from_id, to_id, provenance from edges where relation = 'CALLS' and confidence < 1")
 def m5_restore_promoted(spark, d):
-    own = tg.edges(spark, d).filter("relation = 'CALLS' and confidence < 1").select("from_id", "to_id", "provenance")
+    own = tg.calls(spark, d).filter("confidence < 1").select("from_id", "to_id", "provenance")
     return merge.restore(merge.promote(own))
 
 

@@ -7,7 +7,7 @@ from graphweft.sources import store
 from graphweft.sources import testgraph as tg
 
 
-@pytest.mark.parametrize("name", ["g27_feature_io"])
+@pytest.mark.parametrize("name", ["m2_insert_or_promote", "g27_feature_io", "m3_promotion_with_stash"])
 def test_calls_are_read_without_storing_all_edges(spark, tmp_path, monkeypatch, name):
     for k in "ab":
         (tmp_path / k).symlink_to("/root/testdata/sf0.001")
