@@ -8,6 +8,9 @@ share a deletion, so that no key grows with the texts.
 
 A word's form is its most frequent near word, if that is frequent enough beside it. Forms only lead to more
 frequent words; following them doubles the step with each join.
+
+Joins of words and of their keys are merges: Spark sizes words by their compressed files and keys as if each word had one, so
+that it would broadcast tables that grow with the texts.
 """
 
 from __future__ import annotations
@@ -117,8 +120,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     words = words.select(F.xxhash64("word").alias("id"), "word", "n")
     keyed = _keyed(words)
-    met = keyed.join(keyed.withColumnRenamed("id", "other"), "key").filter("id < other").select("id", "other").distinct()
-    x, y = (words.select(F.col("id").alias(i), F.struct("word", "n").alias(name)) for i, name in (("id", "x"), ("other", "y")))
+    met = keyed.join(keyed.withColumnRenamed("id", "other").hint("merge"), "key").filter("id < other").select("id", "other").distinct()
+    x, y = (words.select(F.col("id").alias(i), F.struct("word", "n").alias(name)).hint("merge") for i, name in (("id", "x"), ("other", "y")))
     pairs = met.join(x, "id").join(y, "other").select(F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n"))
     pairs = pairs.mapInArrow(tidy(verify), pairs.schema).select(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n")).alias("x"), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n")).alias("y"))
     both = pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
@@ -133,7 +136,7 @@ def roots(spark: SparkSession, forms: DataFrame) -> DataFrame:
     """
     now = materialise(spark, forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        step = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        step = now.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge")
         after = now.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         after = materialise(spark, after, "roots")
         now = after.select("word", "root")
@@ -152,9 +155,9 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small_batches(spark)
     words = materialise(spark, word_counts(docs), "words")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.max("near_n").alias("form_n"), F.min(F.struct((-F.col("near_n")).alias("rank"), "near")).alias("best"))
-    known = words.join(near, "word", "left")
+    known = words.join(near.hint("merge"), "word", "left")
     has = F.col("form_n") >= TIMES_OVER * F.col("n")
     known = known.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, F.col("best.near")).alias("form"), F.when(has, F.col("form_n")).alias("form_n"))
     known = materialise(spark, known, "forms")
     led = roots(spark, known.filter("form is not null"))
-    return known.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(led.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -254,6 +254,15 @@ def test_spelling_of_chains_ties_and_long_words(spark):
     assert spelling.report(spark, docs.limit(0)).count() == 0
 
 
+def test_spelling_broadcasts_no_table_that_grows_with_the_texts(spark):
+    words = spark.createDataFrame([("abcdef", 3), ("abcdeg", 9)], "word string, n bigint")
+    plans = [spelling.near_words(words), spelling.report(spark, docs_of(spark, [(1, "abcdef " * 3 + "abcdeg " * 9)]))]
+    for frame in plans:
+        assert frame.count() == 2
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_every_deletion_has_its_own_hash():
     random.seed(1)
     seen = {}
